@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from .common import batches, read, text_or_empty
 
 #: Most pieces a worker remembers the encoding of; beyond, it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 #: Longer pieces are encoded each time.
 CACHED_LENGTH = 64
+#: Characters of text that are split and encoded together.
+GROUP_CHARS = 4 << 20
 
 
 class Vocabulary:
@@ -38,9 +40,15 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        #: Tokens that merging can produce; others only ever stand for a whole piece.
-        self._made: dict[int, bool] = {}
+        #: Tokens by their bytes from last to first; a token's id is at ``-1``.
+        self.endings: dict = {}
+        for token, rank in ranks.items():
+            node = self.endings
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[-1] = rank
+        self._pairs: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -63,34 +71,78 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None if its bytes don't merge to it, or for a byte."""
+        if token in self._halves:
+            return self._halves[token]
+        data, ranks = self.tokens[token], self.ranks
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 2:
+            best, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
+            if best == 1 << 60:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self._halves[token] = found = (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
+        return found
+
     def made(self, token: int) -> bool:
-        known = self._made.get(token)
-        if known is None:
-            known = self._made[token] = self.merge(self.tokens[token]) == [token]
-        return known
+        """Whether merging the token's bytes gives the token; others only ever stand for a whole piece."""
+        return len(self.tokens[token]) == 1 or self.halves(token) is not None
 
     def follows(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-        return known
+        """Whether the bytes of ``left`` and ``right`` together encode as these two tokens.
+
+        Goes back in time from the two tokens: of the parts at their border the one merged last came
+        apart first. If two parts that met there would have merged before either went into a larger
+        part, the border would be gone. Of equal ranks the left merge is done first.
+        """
+        tokens, ranks = self.tokens, self.ranks
+        never = 1 << 60
+        left_until = right_until = never
+        while True:
+            merged = ranks.get(tokens[left] + tokens[right])
+            if merged is not None and merged < left_until and merged <= right_until and merged < never:
+                return False
+            left_born = left if len(tokens[left]) > 1 else -1
+            right_born = right if len(tokens[right]) > 1 else -1
+            if left_born < 0 and right_born < 0:
+                return True
+            if left_born > right_born:
+                halves = self.halves(left)
+                if halves is None:
+                    return False
+                left_until, left = left, halves[1]
+            else:
+                halves = self.halves(right)
+                if halves is None:
+                    return False
+                right_until, right = right, halves[0]
 
     def extend(self, data: bytes, last: list[int], start: int, stop: int) -> None:
         """Fill ``last[start:stop]``: the last token of each prefix's encoding, by the prefix's end."""
-        ranks, longest, follows, made = self.ranks, self.longest, self.follows, self.made
+        pairs, endings = self._pairs, self.endings
+        if len(pairs) > 2_000_000:
+            pairs.clear()
         for end in range(start, stop):
-            for size in range(min(end, longest), 0, -1):
-                token = ranks.get(data[end - size : end])
-                if token is None:
-                    continue
-                if size == end:
-                    if made(token):
+            node, at, found = endings, end, []
+            while at:  # the tokens that end here, shortest first
+                at -= 1
+                node = node.get(data[at])
+                if node is None:
+                    break
+                if -1 in node:
+                    found.append((at, node[-1]))
+            for at, token in reversed(found):
+                if at == 0:
+                    if self.made(token):
                         last[end] = token
                         break
-                elif follows(last[end - size], token):
+                    continue
+                key = last[at] << 24 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = pairs[key] = self.follows(last[at], token)
+                if fits:
                     last[end] = token
                     break
 
@@ -101,6 +153,29 @@ class Vocabulary:
             return [whole]
         return Prefixes(self, piece).tokens()
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """``encode_piece`` of sorted pieces: what a piece shares with the one before isn't computed again."""
+        ranks, tokens = self.ranks, self.tokens
+        before, last = b"", [-1]
+        for piece in pieces:
+            whole = ranks.get(piece)
+            if whole is not None:
+                yield (whole,)
+                continue
+            shared = 0
+            for a, b in zip(piece, before):  # noqa: B905
+                if a != b:
+                    break
+                shared += 1
+            end = len(piece)
+            last[shared + 1 :] = [-1] * (end - shared)
+            self.extend(piece, last, shared + 1, end + 1)
+            before, out = piece, []
+            while end:
+                out.append(last[end])
+                end -= len(tokens[last[end]])
+            yield tuple(out[::-1])
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -139,26 +214,30 @@ class Prefixes:
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
+        tokens, last = self.vocabulary.tokens, self.last
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
+            out.append(last[end])
+            end -= len(tokens[last[end]])
         return out[::-1]
 
 
 class _Pieces(dict):
-    """Piece to (ids, ids as text), computed when first asked for."""
+    """Piece to ids, computed when first asked for."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
+    def learn(self, found: list[list[str]]) -> None:
+        """Encode the new pieces of a batch together, in order, so that they share prefixes."""
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        new = set(chain.from_iterable(found)).difference(self)
+        order = sorted((p.encode(), p) for p in new if len(p) <= CACHED_LENGTH)
+        self.update(zip((p for _, p in order), self.vocabulary.encode_sorted([b for b, _ in order]), strict=True))
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = tuple(self.vocabulary.encode_piece(piece.encode()))
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = found
-        return found
+        return tuple(self.vocabulary.encode_piece(piece.encode()))
 
 
 @lru_cache(maxsize=2)
@@ -167,6 +246,20 @@ def _coder(path: str, pattern: str) -> tuple[Vocabulary, _Pieces, regex.Pattern]
     return vocabulary, _Pieces(vocabulary), regex.compile(pattern)
 
 
+def _encode_all(texts: list[str], path: str, pattern: str) -> Iterator[list[int]]:
+    """The ids of each text; texts are taken in groups, whose new pieces are encoded together."""
+    _, pieces, split = _coder(path, pattern)
+    start = held = 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= GROUP_CHARS or k + 1 == len(texts):
+            found = list(map(split.findall, texts[start : k + 1]))
+            pieces.learn(found)
+            for f in found:
+                yield list(chain.from_iterable(map(pieces.__getitem__, f)))
+            start, held = k + 1, 0
+
+
 def encode(text: str, path: str, pattern: str) -> list[int]:
     """Token ids of a text; each match of ``pattern`` is encoded by itself, without special tokens."""
     _, pieces, split = _coder(path, pattern)
@@ -189,7 +282,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = pa.array([encode(t, path, pattern) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array(_encode_all(batch.column(batch.num_columns - 1).to_pylist(), path, pattern), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
 
     return source.mapInArrow(run, ddl)
@@ -210,12 +303,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, str] = {}
         for batch in it:
-            vocabulary, pieces, split = _coder(path, pattern)
+            vocabulary = _coder(path, pattern)[0]
             if not names:
                 names.update((i, str(i)) for i in vocabulary.tokens)
             made = []
-            for text in batch.column(1).to_pylist():
-                ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(text))))
+            for ids in _encode_all(batch.column(1).to_pylist(), path, pattern):
                 written = ",".join(map(names.__getitem__, ids)).encode()
                 made.append((len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(vocabulary.decode(ids)).hexdigest()))
             for part in batches(_DIGESTS, made, size=len(made) or 1):
