@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, licenses, pii, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, pii, toxicity, warc
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
     "op2_license_scan": licenses.SQL,
+    "op8_decontamination": decontaminate.SQL,
     "op9_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
