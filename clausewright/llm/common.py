@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -46,8 +47,15 @@ class Scratch:
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(label))
+        self.free()
         return self.read(label, df)
 
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of frames that nothing refers to any more: what the
+        table replaced needn't take disk until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def read(self, label: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(label))
 

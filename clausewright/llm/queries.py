@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, pii, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, pii, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_language_id": language_id.op3_language_id,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_license_scan": licenses.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_warc": warc.SQL,
