@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, pii, substring_dedup, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, ngram_join, pii, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_language_id": language_id.op3_language_id,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op2_license_scan": licenses.SQL,
+    "op5_ngram_jaccard_join": ngram_join.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
