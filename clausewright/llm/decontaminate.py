@@ -52,7 +52,7 @@ def _hash(shingle: Column) -> Column:
     return F.xxhash64(*(F.xxhash64(F.get(parts, F.lit(k))) for k in range(SHINGLE)))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -77,18 +77,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     sketch = scratch.table(sketch.select("item", F.explode(F.slice("hashes", F.lit(1), F.col("needed"))).alias("h")), "sketch")
 
     hashes = docs.select(F.col(id_col).alias("id"), F.explode(shingles(words(text_or_empty(text_col)), hashed=True)).alias("h"))
-    candidates = scratch.table(hashes.join(_small(sketch), "h").select("id", "item").distinct(), "candidates")
+    candidates = scratch.table(hashes.join(small(sketch), "h").select("id", "item").distinct(), "candidates")
 
     # Verification reads the texts of candidate documents only.
-    asked = _small(scratch.table(candidates.select("id").distinct(), "asked"))
+    asked = small(scratch.table(candidates.select("id").distinct(), "asked"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.join(asked.withColumnRenamed("id", "asked"), F.col("id").eqNullSafe(F.col("asked")), "left_semi")
     present = texts.select("id", F.explode(shingles(words(F.col("text")), hashed=False)).alias("shingle"))
-    shared = present.join(_small(parts), "shingle").groupBy("id", "item").agg(F.count_distinct("shingle").alias("n_shared"))
+    shared = present.join(small(parts), "shingle").groupBy("id", "item").agg(F.count_distinct("shingle").alias("n_shared"))
     pairs = candidates.withColumnsRenamed({"id": "c_id", "item": "c_item"})
     shared = shared.join(pairs, F.col("id").eqNullSafe(F.col("c_id")) & F.col("item").eqNullSafe(F.col("c_item")), "left_semi")
     sized = sizes.select(F.col("item").alias("s_item"), "n_shingles")
-    found = shared.join(_small(sized), F.col("item").eqNullSafe(F.col("s_item"))).filter(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
+    found = shared.join(small(sized), F.col("item").eqNullSafe(F.col("s_item"))).filter(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
     return found.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_shingles", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment")
     )

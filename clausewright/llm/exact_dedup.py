@@ -45,7 +45,7 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[tuple]:
         n = made = 0
         for batch in it:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for id_, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 norm = text.encode().translate(None, BLANKS)
                 digest = hashlib.sha256(norm).digest()
                 same = classes.setdefault(digest, [])
@@ -57,7 +57,7 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known = [base + made, norm, 1]
                     same.append(known)
                     made += 1
-                yield base + n, known[0], id_, len(text), digest, None, None
+                yield base + n if row is None else row, known[0], id_, len(text), digest, None, None
                 n += 1
         for digest, same in classes.items():
             for class_, norm, count in same:
@@ -66,9 +66,11 @@ def _local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(_SCHEMA, records())
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
+    With ``row_col``, a column of distinct longs, that column comes first in the result.
+
     Texts are equal when identical after deleting ASCII white space. The row with the most code
     points stays, then the one with the smallest id.
 
@@ -78,7 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact_dedup")
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"), F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row"))
     local = scratch.table(source.mapInArrow(_local, _DDL), "local")
     rows = local.filter(F.col("row").isNotNull()).select("row", "class", F.col("id").cast(id_type).alias("id"), "n_chars", "digest")
     classes = local.filter(F.col("row").isNull()).select("class", "digest", "text", "n")
@@ -99,6 +101,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result = scratch.table(alone.unionByName(together), "winners")
     scratch.drop("merging", "merged", "spread")
     return rows.join(result, "class").select(
+        *([F.col("row").alias(row_col)] if row_col else []),
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),

@@ -293,12 +293,15 @@ def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) ->
     return compared
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, n_links, copies.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, class_id, n_links, copies, first.
+
+    With ``row_col``, a column of distinct longs, that column comes first in the result.
 
     ``n_links`` counts the other rows whose shingle sets have a Jaccard similarity of at least 0.8
     with this row's, rows with the same set included; ``copies`` counts the rows with the same set,
-    this one included; ``class_id`` is the smallest id that chains of links reach.
+    this one included; ``class_id`` is the smallest id that chains of links reach, and ``first`` tells
+    the one row of each class that has it.
 
     Defined results: words are lower-case runs of letters and digits; a text of one to four words is
     one shingle; texts without words, null texts among them, are not similar to anything, each its
@@ -307,7 +310,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     not read.
     """
     scratch = Scratch(docs.sparkSession, "ngram_join")
-    base = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "base")
+    base = scratch.table(docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "base")
     signed = scratch.table(base.select("row", "text").mapInArrow(_sign, "row long, k1 long, k2 long, sign binary"), "signed")
     sets = scratch.table(signed.filter("sign is not null").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "sets")
     signs = scratch.table(signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "sign"), "signs")
@@ -333,10 +336,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.join(found, ["k1", "k2"], "left")
     rows = rows.withColumn("root", F.when(F.col("bare"), F.col("row")).otherwise(F.col("root")))
     rows = scratch.table(rows.select("row", "id", "root", F.when(F.col("bare"), 1).otherwise(F.col("copies")).alias("copies"), F.when(F.col("bare"), 0).otherwise(F.col("links")).alias("links")), "rows")
-    named = scratch.table(rows.groupBy("root").agg(F.min("id").alias("class_id")), "named")
+    named = scratch.table(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")), "named")
     scratch.drop("base", "signed", "compared", "found", "placed", "families", "blocks", "sets")
     return rows.join(named, "root").select(
-        F.col("id").alias(id_col), "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("copies")
+        *([F.col("row").alias(row_col)] if row_col else []),
+        F.col("id").alias(id_col), F.col("best.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("copies"), (F.col("row") == F.col("best.row")).alias("first")
     )
 
 
