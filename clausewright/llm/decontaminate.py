@@ -61,11 +61,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     Defined results: null texts count as empty; an item of fewer than five words has no shingles and
     is never found; rows of ``docs`` with the same id count as one document, and so do rows with a
-    null id; repeated items with the same id count as one item; empty tables give an empty result;
+    null id; the same holds for items; empty tables give an empty result;
     other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    parts = items.select(F.col(item_col).alias("item"), F.explode(shingles(words(text_or_empty(item_text_col)), hashed=False)).alias("shingle")).distinct()
+    # Ids in a struct: equal as null-safe equality has it, and still keys of equi-joins.
+    key = lambda c: F.struct(F.col(c).alias("v"))
+    parts = items.select(key(item_col).alias("item"), F.explode(shingles(words(text_or_empty(item_text_col)), hashed=False)).alias("shingle")).distinct()
     parts = scratch.table(parts.withColumn("h", _hash(F.col("shingle"))), "item_shingles")
 
     # Sizes and their partitions: powers of two. The sketch of a partition serves its largest size.
@@ -76,21 +78,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     sketch = parts.join(needed, "item").groupBy("item", "needed").agg(F.array_sort(F.collect_set("h")).alias("hashes"))
     sketch = scratch.table(sketch.select("item", F.explode(F.slice("hashes", F.lit(1), F.col("needed"))).alias("h")), "sketch")
 
-    hashes = docs.select(F.col(id_col).alias("id"), F.explode(shingles(words(text_or_empty(text_col)), hashed=True)).alias("h"))
+    hashes = docs.select(key(id_col).alias("id"), F.explode(shingles(words(text_or_empty(text_col)), hashed=True)).alias("h"))
     candidates = scratch.table(hashes.join(small(sketch), "h").select("id", "item").distinct(), "candidates")
 
     # Verification reads the texts of candidate documents only.
     asked = small(scratch.table(candidates.select("id").distinct(), "asked"))
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    texts = texts.join(asked.withColumnRenamed("id", "asked"), F.col("id").eqNullSafe(F.col("asked")), "left_semi")
+    texts = docs.select(key(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(asked, "id", "left_semi")
     present = texts.select("id", F.explode(shingles(words(F.col("text")), hashed=False)).alias("shingle"))
     shared = present.join(small(parts), "shingle").groupBy("id", "item").agg(F.count_distinct("shingle").alias("n_shared"))
-    pairs = candidates.withColumnsRenamed({"id": "c_id", "item": "c_item"})
-    shared = shared.join(pairs, F.col("id").eqNullSafe(F.col("c_id")) & F.col("item").eqNullSafe(F.col("c_item")), "left_semi")
-    sized = sizes.select(F.col("item").alias("s_item"), "n_shingles")
-    found = shared.join(small(sized), F.col("item").eqNullSafe(F.col("s_item"))).filter(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
+    found = shared.join(candidates, ["id", "item"], "left_semi").join(small(sizes.select("item", "n_shingles")), "item")
+    found = found.filter(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
     return found.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_shingles", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment")
+        F.col("id.v").alias(id_col), F.col("item.v").alias(item_col), "n_shared", "n_shingles", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment")
     )
 
 
