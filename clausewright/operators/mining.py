@@ -14,6 +14,8 @@ MODE_SHARE = 0.70
 LOW, HIGH = 0.10, 0.90
 LEAST_VALUES = 5
 REBIND_SIMILARITY = 0.85
+#: Vectors of the small side of an argmax that may be sent to every executor.
+BROADCAST_ROWS = 20_000
 
 # Plausible bounds by the ending of a field's name.
 BOUNDS_BY_NAME = {"_days": (0, 730), "_hours": (0, 720), "_months": (0, 120), "_years": (0, 50), "_percent": (0, 100)}
@@ -104,10 +106,12 @@ def soft_rebind(bindings: DataFrame, clusters: DataFrame, least: float = REBIND_
     """binding_id, cluster_id, confidence, rebound: the most similar cluster, ties by id.
 
     ``bindings``: binding_id, label_embedding; ``clusters``: cluster_id, embedding. Every binding is
-    scored against the clusters, a stated query set against a table of one row a cluster, which is
-    sent to the tasks in one piece.
+    scored against the clusters, a stated query set against a table of one row a cluster: sent to
+    the tasks in one piece up to ``BROADCAST_ROWS`` clusters, and beyond that joined in blocks, with
+    the best of each block found before anything is shuffled.
     """
-    scored = bindings.join(F.broadcast(clusters)).select("binding_id", "cluster_id", cosine(F.col("label_embedding"), F.col("embedding")).alias("confidence"))
+    small = clusters.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    scored = bindings.crossJoin(F.broadcast(clusters) if small else clusters).select("binding_id", "cluster_id", cosine(F.col("label_embedding"), F.col("embedding")).alias("confidence"))
     best = scored.groupBy("binding_id").agg(F.min(F.struct((-F.col("confidence")).alias("far"), "cluster_id")).alias("best"))
     return best.select("binding_id", "best.cluster_id", (-F.col("best.far")).alias("confidence"), (-F.col("best.far") >= least).alias("rebound"))
 
