@@ -23,6 +23,8 @@ UNDETERMINED = "und"
 #: The labelled sample: rows of a language, lowest hash of the id first, and characters of their text.
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 80_000
+#: Shorter samples count as this long: else a phrase of a hardly known language would cost too little.
+LEAST_CHARS = 4096
 #: Words a worker remembers, and the longest word it remembers.
 CACHE_WORDS = 400_000
 CACHED_LENGTH = 64
@@ -97,15 +99,17 @@ class Languages:
     """The automata of all languages and the phrase counts of words, packed into one integer each."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
-        self.names = [name for name, _ in samples]
-        self.automata, self.bits = [], []
-        for _, text in samples:
+        self.names, self.automata, self.bits = [], [], []
+        for name, text in samples:
             words = sorted({_framed(run) for run in _LETTERS.findall(text)})
+            if not words:  # a language known by name only can't be told
+                continue
+            self.names.append(name)
             automaton = SuffixAutomaton()
             for word in words:
                 automaton.add(word)
             self.automata.append(automaton)
-            self.bits.append(math.log2(2 + sum(map(len, words))))
+            self.bits.append(math.log2(max(LEAST_CHARS, sum(map(len, words)))))
         self.counts = _Counts(self)
 
     def count(self, token: str) -> int:
@@ -153,19 +157,26 @@ def _languages(samples: tuple[tuple[str, str], ...]) -> Languages:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
     """(language, sample text) pairs: for each language the rows with the lowest hash of the id.
 
-    The sample is bounded by ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters a language, so it
-    fits the driver at any input size.
+    The sample is bounded by ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters a language; about
+    twice the rows reach the driver at any input size. Rows of one id count once.
     """
-    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    lang = F.col(lang_col).cast("string")
+    counts = labelled.select(lang.alias("lang")).filter("lang is not null").groupBy("lang").count().collect()
+    if not counts:
+        return ()
+    # The hash below which a language has about twice the wanted rows: one scan serves all languages.
+    span = 1 << 64
+    limits = {r["lang"]: -(1 << 63) + min(span - 1, span * 2 * SAMPLE_ROWS // r["count"]) for r in counts}
+    table = labelled.sparkSession.createDataFrame(sorted(limits.items()), "lang string, most long")  # a row a language
+    rows = labelled.select(h.alias("h"), lang.alias("lang"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text")).filter("text is not null")
+    chosen = rows.join(F.broadcast(table), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples = []
-    for name in names:
-        own = rows.filter(F.col("lang") == name)
-        last = own.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-        got = own.filter(F.col("h") <= last).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_ROWS).collect()
+    for name in sorted(limits):
+        own = sorted((r.h, r.text) for r in chosen if r.lang == name)[:SAMPLE_ROWS]
         text, room = [], SAMPLE_CHARS
-        for r in got:
-            text.append(r.text[:room])
+        for _, t in own:
+            text.append(t[:room])
             room -= len(text[-1])
             if room <= 0:
                 break

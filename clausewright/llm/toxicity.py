@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         prior = marks.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0] or 0.0
     positive = marks.filter("y = 1").select("id").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(POSITIVE_ROWS)
     unlabelled = docs.select(F.col(id_col).alias("id")).filter("id is not null").join(marks.select("id"), "id", "left_anti").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(UNLABELLED_ROWS)
-    chosen = [(r.id, True) for r in positive.collect()] + [(r.id, False) for r in unlabelled.collect()]
+    chosen = [(r.id, True) for r in positive.collect()] + [(i, False) for i in dict.fromkeys(r.id for r in unlabelled.collect())]
     id_type = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
     sample = spark.createDataFrame(chosen, f"id {id_type}, positive boolean")
