@@ -9,7 +9,7 @@ compared by brute force on signatures; runs repeat until the target recall.
 
 What the buckets link forms candidate families. Within a family all pairs are compared exactly on
 their shingles, in blocks, and only counted: no pair leaves the task that compares it, but a
-spanning forest of the links does, from which the classes follow.
+link from every connected row to the smallest does, from which the classes follow.
 """
 
 from __future__ import annotations
@@ -144,11 +144,10 @@ def _groups(it: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple,
 
 
 class _Forest:
-    """Union-find over 0 to n - 1 that records the links that joined two trees."""
+    """Union-find over rows; its links lead every row straight to the smallest one of its tree."""
 
-    def __init__(self, n: int):
-        self.root = list(range(n))
-        self.links: list[tuple[int, int]] = []
+    def __init__(self, rows: list[int]):
+        self.rows, self.root = rows, list(range(len(rows)))
 
     def find(self, x: int) -> int:
         while self.root[x] != x:
@@ -159,8 +158,12 @@ class _Forest:
     def join(self, a: int, b: int) -> None:
         x, y = self.find(a), self.find(b)
         if x != y:
-            self.root[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+            if self.rows[y] < self.rows[x]:
+                x, y = y, x
+            self.root[y] = x
+
+    def links(self) -> list[tuple[int, int]]:
+        return [(self.rows[k], self.rows[self.find(k)]) for k in range(len(self.rows)) if self.root[k] != k]
 
 
 def _edge_batch(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
@@ -168,17 +171,17 @@ def _edge_batch(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _brute_force(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs of a bucket whose signatures agree enough."""
+    """Links to the smallest row, for what pairs of a bucket connect whose signatures agree enough."""
     out: list[tuple] = []
     for _, members in _groups(it, 1):
         rows = [m[0] for m in members]
         signs = np.frombuffer(b"".join(m[1] for m in members), np.uint32).reshape(-1, PLACES)
-        forest = _Forest(len(rows))
+        forest = _Forest(rows)
         for i in range(len(rows) - 1):
             agree = (signs[i + 1 :] == signs[i]).sum(axis=1)
             for j in np.flatnonzero(agree >= LEAST_AGREEMENT * PLACES).tolist():
                 forest.join(i, i + 1 + j)
-        out += [(rows[a], rows[b]) for a, b in forest.links]
+        out += forest.links()
         if len(out) >= 50_000:
             yield _edge_batch(("a", "b"), out)
             out = []
@@ -208,7 +211,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block pair of a family: links of each set, weighted by copies, and a spanning forest.
+    """For each block pair of a family: links of each set, weighted by copies, and links to the smallest row.
 
     A row with ``b`` null holds a count, one with ``n`` null a link.
     """
@@ -225,15 +228,14 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = shared >= THRESHOLD * union - 1e-9
         if same:
             np.fill_diagonal(linked, False)
-        forest = _Forest(len(left) + len(right))
+        forest = _Forest([m[1] for m in (left if same else left + right)])
         for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
             forest.join(i, j if same else len(left) + j)
-        names = [m[1] for m in (left if same else left + right)]
         copies = [np.array([m[2] for m in side], np.int64) for side in sides]
         out += [(m[1], None, int(n)) for m, n in zip(left, linked @ copies[1], strict=True) if n]
         if not same:
             out += [(m[1], None, int(n)) for m, n in zip(right, linked.T @ copies[0], strict=True) if n]
-        out += [(names[a], names[b], None) for a, b in forest.links]
+        out += [(a, b, None) for a, b in forest.links()]
         if len(out) >= 50_000:
             yield _edge_batch(("a", "b", "n"), out)
             out = []
@@ -248,8 +250,12 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     the logarithm of the longest path.
     """
     now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-0")
-    k, before = 0, None
+    k = 0
     while True:
+        # Done when every row has one link and none leads to a row that has a link itself.
+        state = now.agg(F.count("*").alias("n"), F.count_distinct("a").alias("rows")).first()
+        if state.n == state.rows and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            return now.select(F.col("a").alias("row"), F.col("b").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), f"{label}-low-{k}")
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -257,14 +263,9 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         least = scratch.table(large.groupBy("a").agg(F.min("b").alias("low")), f"{label}-least-{k}")
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b")))
-        after = scratch.table(small.filter("a <> b").distinct(), f"{label}-{k + 1}")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = scratch.table(small.filter("a <> b").distinct(), f"{label}-{k + 1}")
         scratch.drop(f"{label}-{k}", f"{label}-low-{k}", f"{label}-large-{k}", f"{label}-least-{k}")
         k += 1
-        now = after
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("row"), F.col("b").alias("root"))
-        before = state
 
 
 def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) -> DataFrame:
@@ -275,7 +276,7 @@ def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) ->
     for depth in range(1, DEPTH + 1):
         sizes = scratch.table(paths.groupBy("node").agg(F.count("*").alias("size"), F.min("row").alias("low")).filter("size > 1"), f"sizes-{depth}")
         together = paths.join(sizes, "node")
-        buckets.append(scratch.table(together.filter(F.col("size") <= BUCKET).select("node", "row"), f"buckets-{depth}"))
+        buckets.append(together.filter(F.col("size") <= BUCKET).select("node", "row"))
         if sizes.filter(F.col("size") > BUCKET).isEmpty():
             break
         large = together.filter(F.col("size") > BUCKET)
@@ -316,7 +317,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signs = scratch.table(signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "sign"), "signs")
 
     family = components(candidate_links(signs, scratch, target_recall), scratch, "family")
-    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes", "buckets") for d in range(1, DEPTH + 1)), "large", "signs")
+    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes") for d in range(1, DEPTH + 1)), "large", "signs")
     roots = family.select("root").distinct().select(F.col("root").alias("row"), "root")
     family = scratch.table(family.unionByName(roots), "families")
     blocks = scratch.table(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
