@@ -5,7 +5,8 @@ node has a signature of minimum hashes, a sample of shared tokens: two sets agre
 the probability of their Jaccard similarity. A run starts with all nodes in one group and splits
 groups by one place of the signature, sometimes by two, chosen by a hash of the path so far; over
 the places chosen, a pair at the threshold stays together once a level on average. Small groups are
-compared by brute force on signatures; runs repeat until the target recall.
+compared by brute force on signatures; sets of a larger one that are near several of its pivots are
+linked to these and leave the recursion; runs repeat until the target recall.
 
 What the buckets link forms candidate families. Within a family all pairs are compared exactly on
 their shingles, in blocks, and only counted: no pair leaves the task that compares it, but a
@@ -35,6 +36,10 @@ RUN_RECALL = 0.5
 #: Groups up to this size are compared by brute force; larger ones are split, down to this depth.
 BUCKET = 250
 DEPTH = 8
+#: Sets of a large node that its other sets are compared with, about; and near how many of them a
+#: set is settled: what is similar to it is near some of them too, so the family has both.
+PIVOTS = 16
+NEAR_PIVOTS = 3
 #: Signatures that agree in a smaller share aren't similar: five standard deviations below the threshold.
 LEAST_AGREEMENT = 0.55
 #: Families are compared in blocks of about this many sets.
@@ -122,11 +127,47 @@ def _first_level(runs: int):
     return run
 
 
-def _next_level(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_or_split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a large node against its pivots: those near several leave the recursion, the rest go on.
+
+    Rows with a null ``link`` are paths of the next level; the others link a row, or a pivot, to the
+    smallest pivot that members of the batch connect it with.
+    """
     for batch in it:
-        if batch.num_rows:
-            node, row = batch.column("node").to_numpy().view(np.uint64), batch.column("row").to_numpy()
-            yield _path_batch(list(_children(node, row, _matrix(batch.column("sign")))))
+        if not batch.num_rows:
+            continue
+        node, row, signs = batch.column("node").to_numpy().view(np.uint64), batch.column("row").to_numpy(), _matrix(batch.column("sign"))
+        links: list[tuple[int, int]] = []
+        stays = np.ones(len(row), bool)
+        for name in np.unique(node):
+            members = np.flatnonzero(node == name)
+            pivots = batch.column("pivots")[int(members[0])].as_py() or []
+            if not pivots:
+                continue
+            rows = [p["row"] for p in pivots]
+            theirs = np.frombuffer(b"".join(p["sign"] for p in pivots), np.uint32).reshape(-1, PLACES)
+            forest = _Forest(rows)
+            near = np.stack([(signs[members] == t).sum(axis=1) >= LEAST_AGREEMENT * PLACES for t in theirs], axis=1)
+            for k, of_row in zip(members.tolist(), near, strict=True):
+                found = np.flatnonzero(of_row).tolist()
+                for f in found[1:]:
+                    forest.join(found[0], f)
+                if found:
+                    links.append((int(row[k]), rows[found[0]]))
+                stays[k] = len(found) < NEAR_PIVOTS
+            links += forest.links()
+        paths = list(_children(node[stays], row[stays], signs[stays]))
+        child, of = (np.concatenate(c) for c in zip(*paths, strict=True))
+        a, b = (np.array(c, np.int64) for c in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
+        none = np.zeros(len(of), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([child.view(np.int64), np.zeros(len(a), np.int64)]), pa.int64()),
+                pa.array(np.concatenate([of, a]), pa.int64()),
+                pa.array(np.concatenate([none, b]), pa.int64(), mask=np.concatenate([np.ones(len(of), bool), np.zeros(len(a), bool)])),
+            ],
+            names=["node", "row", "link"],
+        )
 
 
 def _groups(it: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -283,12 +324,18 @@ def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) ->
         if depth == DEPTH:  # so many agreeing places: the exact comparison will tell
             links.append(scratch.table(large.select(F.col("row").alias("a"), F.col("low").alias("b")), "large"))
             break
-        more = large.select("node", "row").join(signs, "row").select("node", "row", "sign")
-        paths = scratch.table(more.mapInArrow(_next_level, "node long, row long"), f"paths-{depth + 1}")
+        signed = large.select("node", "row", "size").join(signs.hint("merge"), "row")
+        is_pivot = F.pmod(F.xxhash64("node", "row"), F.ceil(F.col("size") / PIVOTS)) == 0
+        pivots = signed.filter(is_pivot).groupBy("node").agg(F.collect_list(F.struct("row", "sign")).alias("pivots"))
+        pivots = scratch.table(pivots, f"pivots-{depth}")
+        compared = signed.join(pivots, "node", "left").select("node", "row", "sign", "pivots")
+        went = scratch.table(compared.mapInArrow(_settle_or_split, "node long, row long, link long"), f"went-{depth}")
+        links.append(went.filter("link is not null").select(F.col("row").alias("a"), F.col("link").alias("b")))
+        paths = went.filter("link is null").select("node", "row")
     members = buckets[0]
     for b in buckets[1:]:
         members = members.unionByName(b)
-    compared = members.join(signs, "row").select("node", "row", "sign").repartition("node").sortWithinPartitions("node").mapInArrow(_brute_force, "a long, b long")
+    compared = members.join(signs.hint("merge"), "row").select("node", "row", "sign").repartition("node").sortWithinPartitions("node").mapInArrow(_brute_force, "a long, b long")
     for other in links:
         compared = compared.unionByName(other)
     return compared
@@ -317,13 +364,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signs = scratch.table(signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "sign"), "signs")
 
     family = components(candidate_links(signs, scratch, target_recall), scratch, "family")
-    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes") for d in range(1, DEPTH + 1)), "large", "signs")
+    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes", "pivots", "went") for d in range(1, DEPTH + 1)), "large", "signs")
     roots = family.select("root").distinct().select(F.col("root").alias("row"), "root")
     family = scratch.table(family.unionByName(roots), "families")
     blocks = scratch.table(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     placed = family.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     placed = placed.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
-    texts = base.select("row", "text").join(scratch.table(placed, "placed"), "row")
+    texts = base.select("row", "text").join(scratch.table(placed, "placed").hint("merge"), "row")  # the same plan at every size
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "row", "copies", "text")
     keys = ["root", "first", "second"]

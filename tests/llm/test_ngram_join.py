@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from clausewright.llm import ngram_join as J
 
 
@@ -33,7 +34,8 @@ def test_nothing(no_documents):
     assert J.similar_documents(no_documents).collect() == []
 
 
-def test_blocks_of_a_large_family_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("depth", [1, 3])
+def test_blocks_of_a_large_family_match_brute_force(spark, monkeypatch, depth):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -45,7 +47,7 @@ def test_blocks_of_a_large_family_match_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     monkeypatch.setattr(J, "BLOCK", 10)
     monkeypatch.setattr(J, "BUCKET", 5)
-    monkeypatch.setattr(J, "DEPTH", 3)
+    monkeypatch.setattr(J, "DEPTH", depth)
     got = J.similar_documents(docs).collect()
     want, _ = brute(docs.collect())
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
