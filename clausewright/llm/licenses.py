@@ -20,37 +20,131 @@ from .common import read, text_or_empty
 
 THRESHOLD = 0.9
 
-# The usual short notices by which a text declares its licence.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies.",
+# The names under which notices mention a licence, in the usual spellings.
+_NAMES = (
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("Apache-2.0", "the Apache License 2.0"),
+    ("Apache-2.0", "the Apache 2.0 License"),
+    ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-ND-4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-SA-4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-ND-4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("GPL-2.0", "the GNU General Public License, version 2"),
+    ("GPL-3.0", "the GNU General Public License, version 3"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3"),
+    ("ISC", "the ISC License"),
+    ("MIT", "the MIT License"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"),
+)
+
+# The sentences around these names.
+_NOTICES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is released under {}.")
+
+_GNU = (
+    "This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License "
+    "as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT '
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+    "You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language '
+    "governing permissions and limitations under the License.",
+)
+#: What the long licences are known by, in texts of their own as in the files they cover: standard headers and clauses that name the licence.
+_HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", _APACHE[0]),
+    ("Apache-2.0", " ".join(_APACHE[:2])),
+    ("Apache-2.0", " ".join(_APACHE)),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    *(
+        (f"{name}-{version if '.' in version else version + '.0'}", _GNU.format(what=what, stop=stop, kind=kind, comma=comma, version=version))
+        for name, kind, version, stop, comma in (("GPL", "", "1", ";", ";"), ("LGPL", "Library ", "2", ";", ";"), ("GPL", "", "2", ";", ";"), ("GPL", "", "3", ":", ","), ("LGPL", "Lesser ", "2.1", ";", ";"), ("LGPL", "Lesser ", "3", ":", ","), ("AGPL", "Affero ", "3", ":", ","))
+        for what in (("library", "program") if name == "LGPL" else ("program",))
     ),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
-        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
-        "shall be included in all copies or substantial portions of the Software.",
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    *((key, name.removeprefix("a ").removesuffix("License") + "Public License") for key, name in _NAMES if name.startswith("a ")),
+)
+
+# Notices, headers, and the short licences' full texts, whole and by those paragraphs that no other licence has.
+TEMPLATES = (
+    *((key, notice.format(name)) for key, name in _NAMES for notice in _NOTICES),
+    *_HEADERS,
+    ("BSD-2-Clause", " ".join(_BSD[:3])),
+    ("BSD-2-Clause", " ".join((*_BSD[:3], _BSD[4]))),
+    ("BSD-3-Clause", _BSD[3]),
+    ("BSD-3-Clause", " ".join(_BSD[:4])),
+    ("BSD-3-Clause", " ".join(_BSD)),
+    ("ISC", _ISC[0]),
+    ("ISC", _ISC[1]),
+    ("ISC", " ".join(_ISC)),
+    ("MIT", _MIT[0]),
+    ("MIT", _MIT[1]),
+    ("MIT", _MIT[2]),
+    ("MIT", " ".join(_MIT)),
+    ("MIT", " ".join(_MIT[:2])),
 )
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -79,6 +173,7 @@ class Templates:
         self.keys = [key for _, key, _ in made]
         self.sets = [b for _, _, b in made]
         self.vocabulary = {w for b in self.sets for pair in b for w in pair}
+        self.known = set().union(*self.sets)
         self.threshold = threshold
         self.low, self.high = threshold / (2 - threshold), (2 - threshold) / threshold
 
@@ -88,6 +183,8 @@ class Templates:
         if n < 1 or not self.sizes or n < self.sizes[0] * self.low - 1e-9:
             return None
         own = bigrams(tokens)
+        if len(own & self.known) < len(own) * self.low - 1e-9:  # a template at the threshold shares as many
+            return None
         first, last = bisect_left(self.sizes, len(own) * self.low - 1e-9), bisect_right(self.sizes, len(own) * self.high + 1e-9)
         found = None
         for k in range(first, last):

@@ -62,6 +62,31 @@ def test_licenses(spark, documents, no_documents):
     assert {r.license for r in licenses.scan_licenses(documents).collect()} == {None}
 
 
+def test_usual_wordings_headers_and_full_texts():
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    mit, isc, bsd = licenses._MIT, licenses._ISC, licenses._BSD
+    own = "Copyright (c) 2020 Some Holder\n\n"
+    texts = [
+        ("MIT", "Some prose.\nReleased under the MIT License."),
+        ("MIT", "MIT License\n\n" + own + mit[0] + "\n\n" + mit[1] + "\n\n" + mit[2]),
+        ("MIT", mit[0]), ("MIT", mit[1]), ("MIT", mit[2]),
+        ("ISC", "ISC License\n\n" + own + isc[0] + "\n\n" + isc[1]), ("ISC", isc[1]),
+        ("BSD-2-Clause", own + "\n\n".join((*bsd[:3], bsd[4]))),
+        ("BSD-2-Clause", "\n".join((*bsd[:3], "", bsd[4]))),
+        ("BSD-3-Clause", own + "\n\n".join(bsd)),
+        ("BSD-3-Clause", own + "\n".join(bsd)),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+        ("Apache-2.0", own + "\n\n".join(licenses._APACHE)),
+        ("Apache-2.0", "# Copyright 2020 A. Holder\n#\n# " + "\n#\n# ".join(licenses._APACHE)),
+        ("GPL-3.0", licenses._GNU.format(what="program", stop=":", kind="", comma=",", version="3").replace(" GNU ", "\nGNU ")),
+        ("LGPL-2.1", licenses._GNU.format(what="library", stop=";", kind="Lesser ", comma=";", version="2.1")),
+        ("MPL-2.0", "// This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ]
+    assert [(known.scan(t)[0], t) for _, t in texts] == texts
+    assert [known.scan(t)[0] for _, t in licenses.TEMPLATES] == [k for k, _ in licenses.TEMPLATES]
+
+
 def test_size_bounds_lose_no_template():
     rng = random.Random(6)
     known = licenses.Templates(licenses.TEMPLATES, 0.8)
