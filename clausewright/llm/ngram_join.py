@@ -5,8 +5,9 @@ node has a signature of minimum hashes, a sample of shared tokens: two sets agre
 the probability of their Jaccard similarity. A run starts with all nodes in one group and splits
 groups by one place of the signature, sometimes by two, chosen by a hash of the path so far; over
 the places chosen, a pair at the threshold stays together once a level on average. Small groups are
-compared by brute force on signatures; sets of a larger one that are near several of its pivots are
-linked to these and leave the recursion; runs repeat until the target recall.
+compared by brute force on signatures. Sets of a larger one are compared with its pivots; a set
+leaves the recursion there only if its signature is a pivot's, so that the pivot links whatever that
+set could be linked to. Runs repeat until the target recall.
 
 What the buckets link forms candidate families. Within a family all pairs are compared exactly on
 their shingles, in blocks, and only counted: no pair leaves the task that compares it, but a
@@ -19,6 +20,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,8 @@ RUN_RECALL = 0.5
 #: Groups up to this size are compared by brute force; larger ones are split, down to this depth.
 BUCKET = 250
 DEPTH = 8
-#: Sets of a large node that its other sets are compared with, about; and near how many of them a
-#: set is settled: what is similar to it is near some of them too, so the family has both.
+#: Sets of a large node that its other sets are compared with, about.
 PIVOTS = 16
-NEAR_PIVOTS = 3
 #: Signatures that agree in a smaller share aren't similar: five standard deviations below the threshold.
 LEAST_AGREEMENT = 0.55
 #: Families are compared in blocks of about this many sets.
@@ -128,7 +128,10 @@ def _first_level(runs: int):
 
 
 def _settle_or_split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a large node against its pivots: those near several leave the recursion, the rest go on.
+    """Members of a large node against its pivots: those with a pivot's signature leave the recursion, the rest go on.
+
+    All members of the node are compared with the pivot, so what such a member could be linked to in
+    this node or below it is linked to the pivot here; of a member that is only near one, that isn't so.
 
     Rows with a null ``link`` are paths of the next level; the others link a row, or a pivot, to the
     smallest pivot that members of the batch connect it with.
@@ -147,14 +150,14 @@ def _settle_or_split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [p["row"] for p in pivots]
             theirs = np.frombuffer(b"".join(p["sign"] for p in pivots), np.uint32).reshape(-1, PLACES)
             forest = _Forest(rows)
-            near = np.stack([(signs[members] == t).sum(axis=1) >= LEAST_AGREEMENT * PLACES for t in theirs], axis=1)
-            for k, of_row in zip(members.tolist(), near, strict=True):
+            agree = np.stack([(signs[members] == t).sum(axis=1) for t in theirs], axis=1)
+            stays[members] = agree.max(axis=1) < PLACES
+            for k, of_row in zip(members.tolist(), agree >= LEAST_AGREEMENT * PLACES, strict=True):
                 found = np.flatnonzero(of_row).tolist()
                 for f in found[1:]:
                     forest.join(found[0], f)
                 if found:
                     links.append((int(row[k]), rows[found[0]]))
-                stays[k] = len(found) < NEAR_PIVOTS
             links += forest.links()
         paths = list(_children(node[stays], row[stays], signs[stays]))
         child, of = (np.concatenate(c) for c in zip(*paths, strict=True))
@@ -313,11 +316,13 @@ def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) ->
     """Links (a, b) that connect all sets that some run leaves together in a bucket."""
     runs = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - RUN_RECALL)))
     paths = scratch.table(signs.mapInArrow(_first_level(runs), "node long, row long"), "paths-1")
-    buckets, links = [], []
+    links = []
     for depth in range(1, DEPTH + 1):
         sizes = scratch.table(paths.groupBy("node").agg(F.count("*").alias("size"), F.min("row").alias("low")).filter("size > 1"), f"sizes-{depth}")
         together = paths.join(sizes, "node")
-        buckets.append(together.filter(F.col("size") <= BUCKET).select("node", "row"))
+        bucket = together.filter(F.col("size") <= BUCKET).select("node", "row").join(signs.hint("merge"), "row").select("node", "row", "sign")
+        near = bucket.repartition("node").sortWithinPartitions("node").mapInArrow(_brute_force, "a long, b long")
+        links.append(scratch.table(near, f"near-{depth}"))  # level by level: shuffles and paths of one don't wait for the others
         if sizes.filter(F.col("size") > BUCKET).isEmpty():
             break
         large = together.filter(F.col("size") > BUCKET)
@@ -332,13 +337,8 @@ def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) ->
         went = scratch.table(compared.mapInArrow(_settle_or_split, "node long, row long, link long"), f"went-{depth}")
         links.append(went.filter("link is not null").select(F.col("row").alias("a"), F.col("link").alias("b")))
         paths = went.filter("link is null").select("node", "row")
-    members = buckets[0]
-    for b in buckets[1:]:
-        members = members.unionByName(b)
-    compared = members.join(signs.hint("merge"), "row").select("node", "row", "sign").repartition("node").sortWithinPartitions("node").mapInArrow(_brute_force, "a long, b long")
-    for other in links:
-        compared = compared.unionByName(other)
-    return compared
+        scratch.drop(f"paths-{depth}", f"sizes-{depth}", f"pivots-{depth}")
+    return reduce(DataFrame.unionByName, links)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL, row_col: str | None = None) -> DataFrame:
@@ -364,7 +364,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     signs = scratch.table(signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "sign"), "signs")
 
     family = components(candidate_links(signs, scratch, target_recall), scratch, "family")
-    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes", "pivots", "went") for d in range(1, DEPTH + 1)), "large", "signs")
+    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes", "near", "went") for d in range(1, DEPTH + 1)), "large", "signs")
     roots = family.select("root").distinct().select(F.col("root").alias("row"), "root")
     family = scratch.table(family.unionByName(roots), "families")
     blocks = scratch.table(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")

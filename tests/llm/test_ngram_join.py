@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from clausewright.llm import ngram_join as J
 
@@ -53,6 +54,49 @@ def test_blocks_of_a_large_family_match_brute_force(spark, monkeypatch, depth):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
 
 
+def test_no_set_leaves_the_recursion_without_its_partners():
+    """Of two sets in a large node that agree enough, one goes on alone only if both are linked to the pivots."""
+    rng = np.random.default_rng(7)
+    core = rng.integers(0, 1 << 32, J.PLACES, dtype=np.uint32)
+    signs = []
+    for k in range(200):
+        x = np.where(rng.random(J.PLACES) < [0.55, 0.75, 0.97][k % 3], core, rng.integers(0, 1 << 32, J.PLACES, dtype=np.uint32))
+        y = x.copy()  # differs from x in places that x shares with the core
+        y[rng.permutation(np.flatnonzero(x == core))[:16]] = rng.integers(0, 1 << 32, 16, dtype=np.uint32)
+        signs += [x, y]
+    pivots = [{"row": k, "sign": signs[k].tobytes()} for k in range(0, 48, 2)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(400, np.int64)), pa.array(np.arange(400)), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array([pivots] * 400, pa.list_(pa.struct([("row", pa.int64()), ("sign", pa.binary())])))],
+        names=["node", "row", "sign", "pivots"],
+    )
+    went = [r for b in J._settle_or_split(iter([batch])) for r in b.to_pylist()]
+    on = {r["row"] for r in went if r["link"] is None}
+    tied = {r["row"] for r in went if r["link"] is not None} | {r["link"] for r in went}
+    agree = np.array([[(x == y).sum() for y in signs] for x in signs])
+    pairs = [(a, b) for a, b in zip(*np.nonzero(agree >= J.LEAST_AGREEMENT * J.PLACES), strict=True) if a != b]
+    assert all(a in on and b in on or a in tied and b in tied for a, b in pairs)
+    assert 0 < len(on) < 400
+
+
+def test_pairs_of_a_loose_cluster_match_brute_force(spark, monkeypatch):
+    """Members have similarities of 0.56; a few have a partner at 0.81 that is at 0.41 to the others."""
+    core, texts = [f"c{i}" for i in range(60)], []
+    for k in range(400):
+        own = [f"own{k}x{i}" for i in range(22)]
+        texts.append(" ".join(core + own))
+        if k % 10 == 0:
+            texts.append(" ".join(core[15:] + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(J, "BUCKET", 30)
+    hashes = J._WordHashes()
+    sets = [J.shingle_set(t, hashes) for t in texts]
+    shared, sizes = J.shared_counts(sets, sets), np.array([len(s) for s in sets])
+    linked = shared >= 0.8 * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+    assert (linked.sum(axis=1) - 1).sum() == 80
+    got = J.similar_documents(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(k, int(row.argmax()), int(row.sum()) - 1) for k, row in enumerate(linked)]
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     left, right = ([np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 90, 12)] for _ in range(2))
