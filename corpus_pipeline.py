@@ -41,10 +41,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct()
+    """Documents that contain an item of the benchmark go, each row by its own text."""
+    rows = _numbered(docs, "drop_contaminated_rows")
+    found = decontaminate.find_contamination(rows, read(spark, sf_dir, "benchmark"), id_col=ROW).select(ROW).distinct()
     found = decontaminate.small(Scratch(spark, "drop_contaminated").table(found, "found"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found")), "left_anti")
+    return rows.join(found, ROW, "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,17 @@ def test_stages_take_messy_documents(spark, documents, tmp_path):
     assert all(texts) and len({re.sub(r"\s", "", t) for t in texts}) == len(texts)
 
 
+def test_contaminated_rows_leave_others_of_their_id(spark):
+    """Null and repeated ids: a row goes by its own text, and an item spread over rows isn't in any of them."""
+    item = next(t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id").fetchall() if len(t.split()) >= 20)
+    w = item.split()
+    rows = [(None, "before it " + item), (None, "a clean text without an id"), (7, item), (7, "a clean text under a repeated id"), (8, " ".join(w[: len(w) // 2 + 2])), (8, " ".join(w[len(w) // 2 - 2 :])), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if r.text is None or item not in r.text)
+
+
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
     assert set(SQL) <= set(QUERIES)
