@@ -1,9 +1,9 @@
 """Personal data: fixed base patterns, widened by bootstrapped contextual extraction.
 
-One pass over the texts finds the base entities and every other token that looks like an identifier,
+One pass over the texts finds the base entities and every other number, of one or several tokens,
 each with the words around it. The base entities are seeds. Over the small table of mentions, Spark
-then scores the graph between lexical patterns (the words around, with the token's shape) and
-instances (the tokens): a pattern is as sure as the mean score of its distinct instances, an
+then scores the graph between lexical patterns (the words around, whatever stands between them) and
+instances (the values): a pattern is as sure as the mean score of its distinct instances, an
 instance as sure as its best pattern. Sure patterns turn their unseen instances into new seeds, and
 the next round scores again.
 """
@@ -30,14 +30,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: A token is a possible identifier from this many digits on.
+#: A run of tokens with digits is a possible identifier from this many digits on.
 LEAST_DIGITS = 5
 #: What makes a pattern sure: mean score of its distinct instances, and seeds among them.
 SURE = 0.8
 LEAST_SEEDS = 3
 ROUNDS = 4
 
-_TOKEN = re.compile(r"\S*[0-9]\S*")
+#: Tokens with digits that only blanks part; a token that ends a clause ends the run.
+_TOKEN = re.compile(r"(?<!\S)\S*[0-9]\S*")
+_TOKENS = re.compile(_TOKEN.pattern + r"(?:(?<![.,;:!?])[\x20\t]+\S*[0-9]\S*)*")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -87,22 +89,15 @@ def _word(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalpha())
 
 
-def _shape(value: str) -> str:
-    """Letters as a, digits as 9, runs of each as one, and the length in steps of four."""
-    classes = re.sub(r"9+", "9", re.sub(r"a+", "a", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in value)))
-    return f"{classes[:40]}/{len(value) // 4}"
-
-
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The two words before; the word before and the word after; each with the token's shape."""
+    """The two words before; the word before and the word after."""
     before = [w for w in map(_word, text[max(0, start - 200) : start].split()) if w][-2:]
     after = [w for w in map(_word, text[end : end + 100].split()) if w][:1]
-    shape = _shape(text[start:end])
     out = []
     if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _ |{shape}")
+        out.append(f"{before[0]} {before[1]} _")
     if before and after:
-        out.append(f"{before[-1]} _ {after[0]} |{shape}")
+        out.append(f"{before[-1]} _ {after[0]}")
     return out
 
 
@@ -111,18 +106,23 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str
     taken = sorted((s, e) for _, s, e in base)
     for kind, s, e in base:
         yield kind, s, e, _digest(text[s:e]), patterns(text, s, e)
+    free = lambda s, e, k: not any(a < e and s < b for a, b in taken[k : k + 4])
     k = 0
-    for m in _TOKEN.finditer(text):
-        value = m.group()
-        if sum(map(str.isdigit, value)) < LEAST_DIGITS:
-            continue
-        inner = value.strip("\"'`.,;:!?()[]{}<>*&%$#|=")
-        s = m.start() + value.find(inner)
-        e = s + len(inner)
-        while k < len(taken) and taken[k][1] <= s:
+    for m in _TOKENS.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if inner and not any(a < e and s < b for a, b in taken[k : k + 4]):
-            yield None, s, e, _digest(inner), patterns(text, s, e)
+        # Beside a base entity, each token of the run is by itself.
+        for part in [m] if free(*m.span(), k) else _TOKEN.finditer(text, *m.span()):
+            value = part.group()
+            if sum(map(str.isdigit, value)) < LEAST_DIGITS:
+                continue
+            inner = value.strip("\"'`.,;:!?()[]{}<>*&%$#|=")
+            s = part.start() + value.find(inner)
+            e = s + len(inner)
+            while k < len(taken) and taken[k][1] <= s:
+                k += 1
+            if inner and free(s, e, k):
+                yield None, s, e, _digest(inner), patterns(text, s, e)
 
 
 def _digest(value: str) -> str:

@@ -49,6 +49,18 @@ def test_context_finds_unseen_identifiers(spark):
     assert got[22].base_sha256 == hashlib.sha256(got[22].spans.encode()).hexdigest()
 
 
+def test_context_finds_numbers_of_other_shapes(spark):
+    """Phones follow "call me at"; so do one without + and one in blanks. Contexts that hold other numbers, too, add none."""
+    rows = [(k, f"please call me at +1 (017) 555-77{k}3 or not") for k in range(10, 30)]
+    rows += [(k, f"the number +1 (018) 555-77{k}3 was read out") for k in range(30, 34)] + [(k, f"the number 9{k}123 was read out") for k in range(40, 44)]
+    rows += [(50, "so call me at 555-123-4567 on Monday"), (51, "or call me at 030 1234 5678."), (52, "a build 030 1234 5679 here"), (53, "call me at 12 on Monday")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "phone:14:26" and got[51] == "phone:14:27"
+    assert all(got[k] == "" for k in (40, 41, 42, 43, 52, 53))
+    text = "ab 123456 10.0.0.1 x"
+    assert [m[:3] for m in pii.mentions(text, pii.base_spans(text))] == [("ip", 10, 18), (None, 3, 9)]
+
+
 def test_licenses(spark, documents, no_documents):
     apache = "Licensed under the Apache License, Version 2.0."
     mit = dict(licenses.TEMPLATES)["MIT"]
