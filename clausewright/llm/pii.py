@@ -11,6 +11,7 @@ the next round scores again.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,7 +36,6 @@ LEAST_DIGITS = 5
 #: What makes a pattern sure: mean score of its distinct instances, and seeds among them.
 SURE = 0.8
 LEAST_SEEDS = 3
-ROUNDS = 4
 
 #: Tokens with digits that only blanks part; a token that ends a clause ends the run.
 _TOKEN = re.compile(r"(?<!\S)\S*[0-9]\S*")
@@ -163,18 +163,20 @@ def bootstrap(seen: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(seen.select("pattern", "value").distinct(), "edges")
     seeds = scratch.table(seen.filter("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "instances-0")
     sizes = scratch.table(edges.groupBy("pattern").agg(F.count("*").alias("size")), "sizes")
-    scores, before = seeds, -1
-    for k in range(1, ROUNDS + 1):
+    # Scores, and with them what is sure, only ever rise: rounds end once none does, to six places.
+    scores, before = seeds, None
+    for k in itertools.count(1):
         known = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds"))
         sure = known.join(sizes, "pattern").withColumn("sureness", F.col("sum") / F.col("size")).filter((F.col("sureness") >= SURE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "kind", "sureness")
         sure = scratch.table(sure, f"patterns-{k}")
         found = edges.join(sure, "pattern").groupBy("value", "kind").agg(F.max("sureness").alias("score"))
         found = found.join(seeds.select("value"), "value", "left_anti").select("value", "kind", "score")
         scores = scratch.table(seeds.unionByName(found), f"instances-{k}")
-        now = scores.count()
-        if now == before or now == seeds.count():
+        now = scores.agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("sum")).first(), sure.count()
+        if now == before:
             break
         before = now
+        scratch.drop(f"patterns-{k}", *([f"instances-{k - 1}"] if k > 1 else []))
     # A value that two kinds claim goes to the one that is surer, then first in the list.
     order = F.expr("array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), kind)")
     best = scores.filter("score < 1.0").join(seeds.select("value"), "value", "left_anti")

@@ -61,6 +61,14 @@ def test_context_finds_numbers_of_other_shapes(spark):
     assert [m[:3] for m in pii.mentions(text, pii.base_spans(text))] == [("ip", 10, 18), (None, 3, 9)]
 
 
+def test_bootstrap_follows_long_chains(spark):
+    """Each pattern is sure only with the instance that the one before it found."""
+    rows = [("card", f"seed{k}", f"p{i}") for i in range(1, 8) for k in range(8 if i == 1 else 6)]
+    rows += [(None, f"v{i}", f"p{j}") for i in range(1, 8) for j in (i, i + 1) if j < 8]
+    got = pii.bootstrap(spark.createDataFrame(rows, "kind string, value string, pattern string"), pii.Scratch(spark, "chain"))
+    assert sorted((r.value, r.kind) for r in got.collect()) == [(f"v{i}", "card") for i in range(1, 8)]
+
+
 def test_licenses(spark, documents, no_documents):
     apache = "Licensed under the Apache License, Version 2.0."
     mit = dict(licenses.TEMPLATES)["MIT"]
