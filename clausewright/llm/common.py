@@ -11,6 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of at most this many rows and bytes of text are broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+#: Folders of scratch tables made since the last ``clear``.
+_ROOTS: list[str] = []
+
 #: ASCII white space as the contracts define it: 0x20 and 0x09 to 0x0D.
 SPACE = r"\x20\x09-\x0D"
 
@@ -35,19 +41,23 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables an operator writes to the shared folder to cut lineage.
 
-    A lost executor costs at most the tasks since the last table. ``drop`` frees a table that no
-    returned frame reads any more.
+    A lost executor costs at most the tasks since the last table. ``drop`` frees tables that no
+    returned frame reads any more, ``keep`` all but those that one does; ``clear`` frees the rest
+    once the caller has read the result.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.made: set[str] = set()
+        _ROOTS.append(self.root)
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(label))
+        self.made.add(label)
         self.free()
         return self.read(label, df)
 
@@ -61,16 +71,37 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(label))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(label))
+            self.made.discard(label)
+
+    def keep(self, *labels: str) -> None:
+        self.drop(*(self.made - set(labels)))
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Frees the tables that this session's operators still hold, once their results have been read; how many folders."""
+    left, _ROOTS[:] = list(_ROOTS), []
+    for root in left:
+        _delete(spark, root)
+    return len(left)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small(df: DataFrame, text: str | None = None) -> DataFrame:
+    """Marks a stored table for broadcast if its rows, and the bytes of its ``text`` column, are within the bounds."""
+    got = df.agg(F.count("*").alias("rows"), (F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if got.rows <= BROADCAST_ROWS and got.bytes <= BROADCAST_BYTES else df
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -3,15 +3,19 @@
 A text is the set of its five-word shingles; texts with equal sets are one node of the join. Each
 node has a signature of minimum hashes, a sample of shared tokens: two sets agree in a place with
 the probability of their Jaccard similarity. A run starts with all nodes in one group and splits
-groups by one place of the signature, sometimes by two, chosen by a hash of the path so far; over
-the places chosen, a pair at the threshold stays together once a level on average. Small groups are
-compared by brute force on signatures. Sets of a larger one are compared with its pivots; a set
-leaves the recursion there only if its signature is a pivot's, so that the pivot links whatever that
-set could be linked to. Runs repeat until the target recall.
-
-What the buckets link forms candidate families. Within a family all pairs are compared exactly on
-their shingles, in blocks, and only counted: no pair leaves the task that compares it, but a
-link from every connected row to the smallest does, from which the classes follow.
+groups by one place of the signature, sometimes by more, chosen by a hash of the path so far, so
+that a pair at the threshold stays together once a level on average. The first level is a shuffle;
+a group that fits a task is split further there, and small groups are compared by brute force on
+signatures. Runs repeat until the target recall.
+
+Dense groups don't go down all levels. Places that differ are a metric: a set within ``h`` places of
+a pivot has all its possible partners within ``h`` places more than a pair may differ in. Such a set
+leaves the recursion once everything that near is linked to the pivot, so no pair is lost by it.
+
+What the buckets link forms candidate families. Within a family all pairs that sizes allow are
+compared exactly on their shingles, in blocks of bounded size, and only counted: no pair leaves the
+task that compares it, but a link from every connected row to the smallest does, from which the
+classes follow.
 """
 
 from __future__ import annotations
@@ -32,18 +36,25 @@ from .common import Scratch, read, text_or_empty
 SHINGLE = 5
 THRESHOLD = 0.8
 PLACES = 64
-#: Pairs at the threshold found by all runs together; a run alone finds at least half of them.
+#: Pairs at the threshold found by all runs together; a run alone finds at least this share of them.
 TARGET_RECALL = 0.999
-RUN_RECALL = 0.5
-#: Groups up to this size are compared by brute force; larger ones are split, down to this depth.
+RUN_RECALL = 0.4
+#: Groups up to this size are compared by brute force; larger ones are split, and compared whole at this depth.
 BUCKET = 250
 DEPTH = 8
-#: Sets of a large node that its other sets are compared with, about.
+#: Sets of a large group that its other sets are compared with, about.
 PIVOTS = 16
-#: Signatures that agree in a smaller share aren't similar: five standard deviations below the threshold.
-LEAST_AGREEMENT = 0.55
-#: Families are compared in blocks of about this many sets.
-BLOCK = 100
+#: Signatures that agree in fewer places aren't similar: five standard deviations below the threshold.
+LEAST_PLACES = 36
+#: A set that agrees with a pivot in as many places leaves the recursion.
+SETTLED_PLACES = 48
+#: Groups of more sets are split by a shuffle, not within a task.
+GROUP_SETS = 100_000
+#: Bounds of a block of sets; a family is compared in pairs of blocks.
+BLOCK_SETS = 2048
+BLOCK_SHINGLES = 1 << 20
+#: Similar sets are of the same or of neighbouring size classes: their sizes differ by a factor of 1.25 at most.
+SIZE_CLASS = 1.26
 CACHE_WORDS = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -90,52 +101,62 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in it:
-        keys, signs = [], []
+        keys, signs, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, hashes)
+            sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             signs.append(signature(s).tobytes() if len(s) else None)
         key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(k), pa.int64()) for k in key.T), pa.array(signs, pa.binary())], names=["row", "k1", "k2", "sign"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(k), pa.int64()) for k in key.T), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], names=["row", "k1", "k2", "n_shingles", "sign"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, PLACES)
+def _matrix(column: pa.Array, dtype=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, PLACES)
 
 
-def _children(node: np.ndarray, row: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The next nodes of each path: by one chosen place, and for a quarter of the paths by another."""
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column, without a Python object for each."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _children(node: np.ndarray, row: np.ndarray, signs: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The next groups of each path: by one chosen place, and for a quarter of the paths by another."""
     for turn, takes in ((1, np.ones(len(node), bool)), (2, _mix(node ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(4) == 0)):
         place = _mix(node + np.uint64(turn)) % np.uint64(PLACES)
-        value = signs[np.arange(len(node)), place.astype(np.int64)].astype(np.uint64)
+        value = values[np.arange(len(node)), place.astype(np.int64)].astype(np.uint64)
         child = _mix(node ^ _mix((place << np.uint64(32) | value) + np.uint64(turn)))
-        yield child[takes], row[takes]
-
+        yield child[takes], row[takes], signs[takes]
 
-def _path_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    node, row = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64), pa.int64()), pa.array(row, pa.int64())], names=["node", "row"])
 
+def _first_level(runs: int, with_sets: bool):
+    """The paths of all runs after one level. What goes on of a signature is a byte a place."""
 
-def _first_level(runs: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                row, signs = batch.column("row").to_numpy(), _matrix(batch.column("sign"))
-                yield _path_batch([p for r in range(runs) for p in _children(_mix(np.full(len(row), r + 1, np.uint64)), row, signs)])
+        for whole in it:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                row, values = batch.column("row").to_numpy(), _matrix(batch.column("sign"), np.uint32)
+                signs = values.astype(np.uint8)
+                parts = [p for r in range(runs) for p in _children(_mix(np.full(len(row), r + 1, np.uint64)), row, signs, values)]
+                node, of, sign = (np.concatenate(c) for c in zip(*parts, strict=True))
+                node = pa.array(node.view(np.int64))
+                yield pa.RecordBatch.from_arrays([node, pa.array(of), _fixed(sign)], names=["node", "row", "sign"]) if with_sets else pa.RecordBatch.from_arrays([node], names=["node"])
 
     return run
 
 
 def _settle_or_split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a large node against its pivots: those with a pivot's signature leave the recursion, the rest go on.
+    """Members of a group too large for a task against its pivots: those near one leave the recursion, the rest go on.
 
-    All members of the node are compared with the pivot, so what such a member could be linked to in
-    this node or below it is linked to the pivot here; of a member that is only near one, that isn't so.
+    All members of the group are compared with the pivot, so whatever a member that leaves could be
+    linked to in this group or below it is linked to the pivot here.
 
     Rows with a null ``link`` are paths of the next level; the others link a row, or a pivot, to the
     smallest pivot that members of the batch connect it with.
     """
+    reach = LEAST_PLACES - (PLACES - SETTLED_PLACES)
     for batch in it:
         if not batch.num_rows:
             continue
@@ -148,31 +169,155 @@ def _settle_or_split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not pivots:
                 continue
             rows = [p["row"] for p in pivots]
-            theirs = np.frombuffer(b"".join(p["sign"] for p in pivots), np.uint32).reshape(-1, PLACES)
+            theirs = np.frombuffer(b"".join(p["sign"] for p in pivots), np.uint8).reshape(-1, PLACES)
             forest = _Forest(rows)
             agree = np.stack([(signs[members] == t).sum(axis=1) for t in theirs], axis=1)
-            stays[members] = agree.max(axis=1) < PLACES
-            for k, of_row in zip(members.tolist(), agree >= LEAST_AGREEMENT * PLACES, strict=True):
+            stays[members] = agree.max(axis=1) < SETTLED_PLACES
+            for k, of_row in zip(members.tolist(), agree >= reach, strict=True):
                 found = np.flatnonzero(of_row).tolist()
                 for f in found[1:]:
                     forest.join(found[0], f)
                 if found:
                     links.append((int(row[k]), rows[found[0]]))
             links += forest.links()
-        paths = list(_children(node[stays], row[stays], signs[stays]))
-        child, of = (np.concatenate(c) for c in zip(*paths, strict=True))
+        child, of, sign = (np.concatenate(c) for c in zip(*_children(node[stays], row[stays], signs[stays], signs[stays]), strict=True))
         a, b = (np.array(c, np.int64) for c in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
         none = np.zeros(len(of), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([child.view(np.int64), np.zeros(len(a), np.int64)]), pa.int64()),
-                pa.array(np.concatenate([of, a]), pa.int64()),
-                pa.array(np.concatenate([none, b]), pa.int64(), mask=np.concatenate([np.ones(len(of), bool), np.zeros(len(a), bool)])),
+                pa.array(np.concatenate([child.view(np.int64), np.zeros(len(a), np.int64)])),
+                pa.array(np.concatenate([of, a])),
+                _fixed(np.concatenate([sign, np.zeros((len(a), PLACES), np.uint8)])),
+                pa.array(np.concatenate([none, b]), mask=np.concatenate([np.ones(len(of), bool), np.zeros(len(a), bool)])),
             ],
-            names=["node", "row", "link"],
+            names=["node", "row", "sign", "link"],
         )
 
 
+class _Group:
+    """A group of the recursion within a task: a forest over its members, of what it connects."""
+
+    def __init__(self, rows: np.ndarray, signs: np.ndarray, bucket: int = BUCKET, depth: int = DEPTH):
+        self.rows, self.signs, self.bucket, self.depth = rows, signs, bucket, depth
+        self.parent = list(range(len(rows)))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, members: list[int]) -> None:
+        """Connects the members; the smallest row of a tree is its root."""
+        roots = {self.find(m) for m in members}
+        low = min(roots, key=self.rows.__getitem__)
+        for r in roots:
+            self.parent[r] = low
+
+    def compare(self, members: np.ndarray) -> None:
+        """Brute force: each member against all that nothing has reached yet, breadth first."""
+        left = members
+        while len(left):
+            reached, front, left = [left[:1]], left[:1], left[1:]
+            while len(front) and len(left):
+                step = max(1, (1 << 22) // (len(left) * PLACES))
+                own, front = front[:step], front[step:]
+                near = ((self.signs[own][:, None, :] == self.signs[left][None, :, :]).sum(axis=2) >= LEAST_PLACES).any(axis=0)
+                if near.any():
+                    reached.append(left[near])
+                    front, left = np.concatenate([front, left[near]]), left[~near]
+            if len(reached) > 1:
+                self.join(np.concatenate(reached).tolist())
+
+    def solve(self, node: int) -> None:
+        """Connects all members that some path of this group leaves together in a bucket."""
+        _, first, of = np.unique(np.ascontiguousarray(self.signs).view(f"V{PLACES}").ravel(), return_index=True, return_inverse=True)
+        if len(first) < len(of):  # equal signatures are one member
+            order = np.argsort(of, kind="stable")
+            for same in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                if len(same) > 1:
+                    self.join(same.tolist())
+        todo = [(np.uint64(node & (1 << 64) - 1), np.sort(first), 1)]
+        while todo:
+            key, members, depth = todo.pop()
+            if len(members) <= max(self.bucket, PIVOTS) or depth >= self.depth:
+                self.compare(members)
+                continue
+            signs = self.signs[members]
+            constant = (signs == signs[0]).all(axis=0)
+            c = int(constant.sum())
+            if c >= LEAST_PLACES:  # all pairs agree in as many places
+                self.join(members.tolist())
+                continue
+            with np.errstate(over="ignore"):
+                drawn = _mix(self.rows[members].view(np.uint64) ^ key)
+                pivots = np.argpartition(drawn, PIVOTS)[:PIVOTS]
+                agree = np.stack([(signs == signs[p]).sum(axis=1) for p in pivots.tolist()], axis=1)
+                best = agree.argmax(axis=1)
+                most = agree[np.arange(len(members)), best]
+                settled = most >= SETTLED_PLACES
+                for k in range(PIVOTS):
+                    of_pivot = most[settled & (best == k)]
+                    if len(of_pivot):
+                        reach = LEAST_PLACES - (PLACES - int(of_pivot.min()))
+                        self.join(members[agree[:, k] >= reach].tolist())
+                members, signs = members[~settled], signs[~settled]
+                # Of the places that still tell members apart, so many that a pair at the threshold stays together once on average.
+                wanted = (PLACES - c) / (THRESHOLD * PLACES - c)
+                turns = int(wanted) + (int(_mix(np.array([key ^ np.uint64(0x5851F42D4C957F2D)], np.uint64))[0]) / 2**64 < wanted - int(wanted))
+                free = np.flatnonzero(~constant)
+                order = np.argsort(_mix(key + free.astype(np.uint64)))
+                for place in free[order[:turns]].tolist():
+                    value = signs[:, place]
+                    by_value = np.argsort(value, kind="stable")
+                    for part in np.split(by_value, np.flatnonzero(np.diff(value[by_value])) + 1):
+                        if len(part) > 1:
+                            child = _mix(np.array([key ^ np.uint64(place << 8 | int(value[part[0]]) + 1)], np.uint64))[0]
+                            todo.append((child, members[part], depth + 1))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        root = np.array([self.find(k) for k in range(len(self.parent))], np.int64)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return self.rows[moved], self.rows[root[moved]]
+
+
+def _recurse(bucket: int, depth: int):
+    """Links to the smallest row for what each group connects; batches are sorted by group."""
+
+    def solved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, row, signs = batch.column("node").to_numpy(), batch.column("row").to_numpy(), _matrix(batch.column("sign"))
+        ends = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        sizes = np.diff(ends)
+        two = ends[:-1][sizes == 2]
+        two = two[(signs[two] == signs[two + 1]).sum(axis=1) >= LEAST_PLACES]
+        a, b = [np.maximum(row[two], row[two + 1])], [np.minimum(row[two], row[two + 1])]
+        for k in np.flatnonzero(sizes > 2).tolist():
+            group = _Group(row[ends[k] : ends[k + 1]], signs[ends[k] : ends[k + 1]], bucket, depth)
+            group.solve(int(node[ends[k]]))
+            x, y = group.links()
+            a.append(x)
+            b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last group of a batch may go on in the next one: it waits
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            cut = int(np.searchsorted(node, node[-1]))
+            if held and (cut or held[0].column("node")[0].as_py() != node[0]):
+                yield from solved(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+                held = []
+            elif cut:
+                yield from solved(batch.slice(0, cut))
+            held.append(batch.slice(cut))
+        if held:
+            yield from solved(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
 def _groups(it: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows by their first columns, from batches that are sorted by these."""
     key, held = None, []
@@ -214,72 +359,85 @@ def _edge_batch(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=list(names))
 
 
-def _brute_force(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links to the smallest row, for what pairs of a bucket connect whose signatures agree enough."""
-    out: list[tuple] = []
-    for _, members in _groups(it, 1):
-        rows = [m[0] for m in members]
-        signs = np.frombuffer(b"".join(m[1] for m in members), np.uint32).reshape(-1, PLACES)
-        forest = _Forest(rows)
-        for i in range(len(rows) - 1):
-            agree = (signs[i + 1 :] == signs[i]).sum(axis=1)
-            for j in np.flatnonzero(agree >= LEAST_AGREEMENT * PLACES).tolist():
-                forest.join(i, i + 1 + j)
-        out += forest.links()
-        if len(out) >= 50_000:
-            yield _edge_batch(("a", "b"), out)
-            out = []
-    if out:
-        yield _edge_batch(("a", "b"), out)
-
-
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every left set with every right set."""
-    if len(left) * len(right) <= 16:
-        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left], np.int64)
-    values = np.concatenate([*left, *right])
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right one, or with every other left one."""
+    sets = left if right is None else [*left, *right]
+    values = np.concatenate([*sets, np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, seen = np.unique(values, return_inverse=True, return_counts=True)
     common = seen[column] > 1
     owner, column = owner[common], column[common]
     _, column = np.unique(column, return_inverse=True)
-    out, order = np.zeros((len(left), len(right)), np.float32), np.argsort(column, kind="stable")
+    out, order = np.zeros((len(left), len(left if right is None else right)), np.float32), np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = 8192
+    # Sets of shingles as columns of zeros and ones, so many at a time; counts below 2**24 are exact.
+    width = max(64, (4 << 20) // max(1, len(sets)))
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [start, start + width])
-        dense = np.zeros((len(left) + len(right), width), np.float32)
+        dense = np.zeros((len(sets), width), np.float32)
         dense[owner[a:b], column[a:b] - start] = 1
-        out += dense[: len(left)] @ dense[len(left) :].T
+        out += dense @ dense.T if right is None else dense[: len(left)] @ dense[len(left) :].T
     return out.astype(np.int64)
 
 
+def _shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes the bytes of its set of shingles."""
+    hashes = _WordHashes()
+    for whole in it:
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            sets = [shingle_set(t, hashes).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+
+
+def _connected(linked: np.ndarray) -> np.ndarray:
+    """The least index that each index is connected with, for a symmetric matrix of links."""
+    label, n = np.arange(len(linked)), len(linked)
+    while True:
+        low = label.copy()
+        for start in range(0, n, 256):
+            part = linked[start : start + 256]
+            low[start : start + 256] = np.minimum(label[start : start + 256], np.where(part, label[None, :], n).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block pair of a family: links of each set, weighted by copies, and links to the smallest row.
+    """For each pair of blocks: links of each set, weighted by copies, and links to the smallest row.
 
     A row with ``b`` null holds a count, one with ``n`` null a link.
     """
-    hashes, out = _WordHashes(), []
+    out: list[tuple] = []
     for (_, first, second), members in _groups(it, 3):
-        # (block, row, copies, text)
-        sides = [[m for m in members if m[0] == block] for block in (first, second)]
-        sets = [[shingle_set(m[3], hashes) for m in side] for side in sides]
+        # (block, row, copies, shingles)
         same = first == second
-        left, right = sides
-        shared = shared_counts(*sets)
-        sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
-        union = sizes[0][:, None] + sizes[1][None, :] - shared
-        linked = shared >= THRESHOLD * union - 1e-9
+        members.sort(key=lambda m: (m[0] != first, m[1]))
+        n_left = sum(m[0] == first for m in members)
+        if not same and (n_left == 0 or n_left == len(members)):
+            continue
+        sets = [np.frombuffer(m[3], np.uint64) for m in members]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        copies = np.array([m[2] for m in members], np.int64)
+        if same:
+            shared, a, b = shared_counts(sets), sizes, sizes
+        else:
+            shared, a, b = shared_counts(sets[:n_left], sets[n_left:]), sizes[:n_left], sizes[n_left:]
+        linked = shared >= THRESHOLD * (a[:, None] + b[None, :] - shared) - 1e-9
         if same:
             np.fill_diagonal(linked, False)
-        forest = _Forest([m[1] for m in (left if same else left + right)])
-        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-            forest.join(i, j if same else len(left) + j)
-        copies = [np.array([m[2] for m in side], np.int64) for side in sides]
-        out += [(m[1], None, int(n)) for m, n in zip(left, linked @ copies[1], strict=True) if n]
-        if not same:
-            out += [(m[1], None, int(n)) for m, n in zip(right, linked.T @ copies[0], strict=True) if n]
-        out += [(a, b, None) for a, b in forest.links()]
+            counts, square = linked @ copies, linked
+        else:
+            counts = np.concatenate([linked @ copies[n_left:], linked.T @ copies[:n_left]])
+            square = np.zeros((len(members), len(members)), bool)
+            square[:n_left, n_left:] = linked
+            square[n_left:, :n_left] = linked.T
+        out += [(members[k][1], None, int(counts[k])) for k in np.flatnonzero(counts).tolist()]
+        order = sorted(range(len(members)), key=lambda k: members[k][1])
+        label = _connected(square[np.ix_(order, order)] if not same else square)
+        rows = [members[k][1] for k in order] if not same else [m[1] for m in members]
+        out += [(rows[k], rows[int(low)], None) for k, low in enumerate(label.tolist()) if low != k]
         if len(out) >= 50_000:
             yield _edge_batch(("a", "b", "n"), out)
             out = []
@@ -315,32 +473,64 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) -> DataFrame:
     """Links (a, b) that connect all sets that some run leaves together in a bucket."""
     runs = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - RUN_RECALL)))
-    paths = scratch.table(signs.mapInArrow(_first_level(runs), "node long, row long"), "paths-1")
+    paths, nodes = (signs.mapInArrow(_first_level(runs, whole), ddl) for whole, ddl in ((True, "node long, row long, sign binary"), (False, "node long")))
     links = []
     for depth in range(1, DEPTH + 1):
-        sizes = scratch.table(paths.groupBy("node").agg(F.count("*").alias("size"), F.min("row").alias("low")).filter("size > 1"), f"sizes-{depth}")
-        together = paths.join(sizes, "node")
-        bucket = together.filter(F.col("size") <= BUCKET).select("node", "row").join(signs.hint("merge"), "row").select("node", "row", "sign")
-        near = bucket.repartition("node").sortWithinPartitions("node").mapInArrow(_brute_force, "a long, b long")
-        links.append(scratch.table(near, f"near-{depth}"))  # level by level: shuffles and paths of one don't wait for the others
-        if sizes.filter(F.col("size") > BUCKET).isEmpty():
+        counted = nodes.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP_SETS)
+        large = scratch.table(counted, f"large-{depth}")
+        alone = large.isEmpty()
+        within = paths if alone else paths.join(large.select("node"), "node", "left_anti")
+        near = within.repartition("node").sortWithinPartitions("node").mapInArrow(_recurse(BUCKET, DEPTH), "a long, b long")
+        links.append(scratch.table(near, f"near-{depth}"))
+        if alone:
             break
-        large = together.filter(F.col("size") > BUCKET)
+        signed = paths.join(large, "node")
         if depth == DEPTH:  # so many agreeing places: the exact comparison will tell
-            links.append(scratch.table(large.select(F.col("row").alias("a"), F.col("low").alias("b")), "large"))
+            low = scratch.table(signed.groupBy("node").agg(F.min("row").alias("low")), "low")
+            links.append(signed.join(low, "node").select(F.col("row").alias("a"), F.col("low").alias("b")))
             break
-        signed = large.select("node", "row", "size").join(signs.hint("merge"), "row")
         is_pivot = F.pmod(F.xxhash64("node", "row"), F.ceil(F.col("size") / PIVOTS)) == 0
         pivots = signed.filter(is_pivot).groupBy("node").agg(F.collect_list(F.struct("row", "sign")).alias("pivots"))
         pivots = scratch.table(pivots, f"pivots-{depth}")
         compared = signed.join(pivots, "node", "left").select("node", "row", "sign", "pivots")
-        went = scratch.table(compared.mapInArrow(_settle_or_split, "node long, row long, link long"), f"went-{depth}")
+        went = scratch.table(compared.mapInArrow(_settle_or_split, "node long, row long, sign binary, link long"), f"went-{depth}")
         links.append(went.filter("link is not null").select(F.col("row").alias("a"), F.col("link").alias("b")))
-        paths = went.filter("link is null").select("node", "row")
-        scratch.drop(f"paths-{depth}", f"sizes-{depth}", f"pivots-{depth}")
+        paths = went.filter("link is null").select("node", "row", "sign")
+        nodes = paths.select("node")
     return reduce(DataFrame.unionByName, links)
 
 
+def _block_pairs(family: DataFrame, scratch: Scratch) -> DataFrame:
+    """root, first, second, block and the columns of ``family`` (root, row, n_shingles, ...) for each pair of blocks to compare.
+
+    A family within the bounds of a block is one. A larger one is parted by size class, classes into
+    blocks; blocks of classes that aren't neighbours hold no similar sets and don't meet.
+    """
+    totals = family.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
+    large = (F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)
+    totals = scratch.table(totals.select("root", large.alias("large")), "totals")
+    size_class = F.when(F.col("large"), F.floor(F.log("n_shingles") / math.log(SIZE_CLASS))).otherwise(0).cast("int")
+    placed = family.join(totals, "root").withColumn("class", size_class).drop("large")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = placed.groupBy("root", "class").agg(count.alias("blocks"))
+    # A family has as many classes as sizes have orders of magnitude: some dozens at most.
+    blocks = scratch.table(blocks.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")), "blocks")
+    placed = placed.join(blocks, "root")
+    bucket = F.pmod(F.xxhash64("row"), F.col("blocks")[F.col("class")]).cast("int")
+    name = lambda c, k: c.cast("long") * (1 << 32) + k
+    placed = placed.withColumn("block", name(F.col("class"), bucket))
+
+    def meets(step: int):
+        other = F.col("class") + step
+        return F.when(
+            F.map_contains_key("blocks", other),
+            F.transform(F.sequence(F.lit(0), F.col("blocks")[other] - 1), lambda j: F.struct(F.least("block", name(other, j)).alias("first"), F.greatest("block", name(other, j)).alias("second"))),
+        ).otherwise(F.expr("array()").cast("array<struct<first:bigint,second:bigint>>"))
+
+    placed = placed.withColumn("meets", F.concat(meets(0), meets(-1), meets(1)))
+    return placed.drop("blocks", "class")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, class_id, n_links, copies, first.
 
@@ -359,20 +549,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     scratch = Scratch(docs.sparkSession, "ngram_join")
     base = scratch.table(docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "base")
-    signed = scratch.table(base.select("row", "text").mapInArrow(_sign, "row long, k1 long, k2 long, sign binary"), "signed")
-    sets = scratch.table(signed.filter("sign is not null").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "sets")
-    signs = scratch.table(signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "sign"), "signs")
+    signed = scratch.table(base.select("row", "text").mapInArrow(_sign, "row long, k1 long, k2 long, n_shingles long, sign binary"), "signed")
+    worded = signed.filter("sign is not null")
+    sets = scratch.table(worded.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles")), "sets")
+    signs = scratch.table(worded.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "sign"), "signs")
 
     family = components(candidate_links(signs, scratch, target_recall), scratch, "family")
-    scratch.drop(*(f"{name}-{d}" for name in ("paths", "sizes", "near", "went") for d in range(1, DEPTH + 1)), "large", "signs")
+    scratch.drop("signs")
     roots = family.select("root").distinct().select(F.col("root").alias("row"), "root")
-    family = scratch.table(family.unionByName(roots), "families")
-    blocks = scratch.table(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    placed = family.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    placed = placed.join(sets.select(F.col("rep").alias("row"), "copies"), "row")
-    texts = base.select("row", "text").join(scratch.table(placed, "placed").hint("merge"), "row")  # the same plan at every size
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "row", "copies", "text")
+    family = family.unionByName(roots).join(sets.select(F.col("rep").alias("row"), "copies", "n_shingles"), "row")
+    placed = scratch.table(_block_pairs(scratch.table(family, "families"), scratch), "placed")
+    members = base.select("row", "text").join(placed.hint("merge"), "row")  # the same plan at every size
+    members = members.select("root", "block", "meets", "row", "copies", "text").mapInArrow(_shingled, "root long, block long, meets array<struct<first:bigint,second:bigint>>, row long, copies long, shingles binary")
+    pairs = members.withColumn("pair", F.explode("meets")).select("root", "pair.first", "pair.second", "block", "row", "copies", "shingles")
     keys = ["root", "first", "second"]
     compared = scratch.table(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long, n long"), "compared")
 
@@ -380,12 +569,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = components(compared.filter("b is not null").select("a", "b"), scratch, "class").withColumnRenamed("row", "rep")
     found = sets.join(links, "rep", "left").join(classes, "rep", "left")
     found = scratch.table(found.select("k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")), "found")
-    rows = signed.select("row", "k1", "k2", (F.col("sign").isNull()).alias("bare")).join(base.select("row", "id"), "row")
-    rows = rows.join(found, ["k1", "k2"], "left")
-    rows = rows.withColumn("root", F.when(F.col("bare"), F.col("row")).otherwise(F.col("root")))
-    rows = scratch.table(rows.select("row", "id", "root", F.when(F.col("bare"), 1).otherwise(F.col("copies")).alias("copies"), F.when(F.col("bare"), 0).otherwise(F.col("links")).alias("links")), "rows")
+    ids = base.select("row", "id")
+    bare = signed.filter("sign is null").select("row", F.col("row").alias("root"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))  # no set to join by
+    rows = worded.select("row", "k1", "k2").join(found, ["k1", "k2"]).select("row", "root", "copies", "links").unionByName(bare).join(ids, "row")
+    rows = scratch.table(rows, "rows")
     named = scratch.table(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")), "named")
-    scratch.drop("base", "signed", "compared", "found", "placed", "families", "blocks", "sets")
+    scratch.keep("rows", "named")
     return rows.join(named, "root").select(
         *([F.col("row").alias(row_col)] if row_col else []),
         F.col("id").alias(id_col), F.col("best.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("copies"), (F.col("row") == F.col("best.row")).alias("first")
