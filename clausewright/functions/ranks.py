@@ -15,12 +15,14 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     """One row per group: its keys, n, and for each name the value at that 0-based rank.
 
     Repeated values are counted before anything is ordered. Each group's values fall into
-    ``RANGES`` equal ranges; cumulative counts over these tell which range holds a rank, and only
-    that range's distinct values are put in order.
+    ``RANGES`` ranges, equal in the logarithm of their distance from zero, so that a few far values
+    don't crowd all others into one range; cumulative counts over these tell which range holds a
+    rank, and only that range's distinct values are put in order.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
     spans = counted.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__c").alias("n"))
-    width = F.when(F.col("__high") > F.col("__low"), (F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(F.lit(0.0))
+    scaled = lambda c: F.signum(F.col(c).cast("double")) * F.log1p(F.abs(F.col(c).cast("double")))  # noqa: E731  never falls as the value rises
+    width = F.when(scaled("__high") > scaled("__low"), (scaled("__v") - scaled("__low")) / (scaled("__high") - scaled("__low"))).otherwise(F.lit(0.0))
     placed = counted.join(spans, keys).withColumn("__r", F.least(F.floor(width * RANGES), F.lit(RANGES - 1)))
     per_range = placed.groupBy(*keys, "__r", "n").agg(F.sum("__c").alias("__c"))
     up_to = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -40,12 +40,6 @@ def mentions_none(text: Column, anti_keywords: list[str]) -> Column:
     return ~found
 
 
-def floor_quantile(values: Column, q: float) -> Column:
-    """Element ``floor(q * (n - 1))`` of the sorted array, without interpolation; 0.0 if empty."""
-    at = F.floor(F.lit(q) * (F.size(values) - 1)).cast("int")
-    return F.when(F.size(values) > 0, F.get(F.array_sort(values), at)).otherwise(F.lit(0.0))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; the denominator has 1e-9 added, so a zero vector gives 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

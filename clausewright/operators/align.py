@@ -1,7 +1,7 @@
 """Aligns agreements with rules: one scan of the agreements, all rules as columns of it.
 
-Rules live on the driver and are compiled once. The judge, the only part in Python, sees only the
-rows that its gate lets through.
+Rules live on the driver and are compiled once. The judge and the embedding of texts are the only
+parts in Python; the judge is asked only for the rows that its gate lets through.
 """
 
 from __future__ import annotations
@@ -21,11 +21,29 @@ RULES_PER_SELECT = 64
 FINDING = "rule_id string, severity string, predicate string, similarity string, deviation double, judge_asked boolean, assertion string, escalation_owner string"
 
 
-def scoped(rule: dict, clauses: Column) -> Column:
-    """The clauses a rule looks at by its ``applies_to`` and bindings; all of them without bindings."""
-    labels = [b["label_text"] for b in rule.get("bindings") or [] if b.get("entity_kind") == "cluster"]
-    if rule.get("applies_to") == "cluster" and labels:
+def resolved(rules: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Active rules with their bindings, an array of structs; one row a rule."""
+    entity = F.struct("entity_kind", "entity_id", "label_text", "confidence")
+    bound = bindings.groupBy("rule_id").agg(F.sort_array(F.collect_list(entity)).alias("bindings"))
+    return rules.filter("status = 'active'").join(bound, "rule_id", "left")
+
+
+def scoped(rule: dict, ctx: Context) -> Column:
+    """The clauses a rule looks at by its ``applies_to`` and bindings.
+
+    A document's rule looks at all clauses; a domain's at all clauses of agreements of its domains; a
+    cluster's at the clauses of its clusters. Without bindings of that kind nothing is left out. Rules
+    about fields (field, composite, cross_field) look at values and at no clause.
+    """
+    clauses, kind = ctx.all_clauses(), rule.get("applies_to")
+    labels = [b["label_text"] for b in rule.get("bindings") or [] if b.get("entity_kind") == kind]
+    none = F.slice(clauses, 1, 0)
+    if kind in ("field", "composite", "cross_field"):
+        return none
+    if kind == "cluster" and labels:
         return F.filter(clauses, lambda c: c["label"].isin(labels))
+    if kind == "domain" and labels:
+        return F.when(ctx.domain_name.isin(labels), clauses).otherwise(none)
     return clauses
 
 
@@ -39,7 +57,7 @@ def _rule_struct(rule: dict, ctx: Context, target: Column | None, scope: str) ->
     if scope == "bound":
         from dataclasses import replace
 
-        ctx = replace(ctx, clauses=scoped(rule, ctx.all_clauses()))
+        ctx = replace(ctx, clauses=scoped(rule, ctx))
     predicate = F.lit(None).cast("string")
     if rule.get("predicate") is not None:
         if rule["predicate"]:
@@ -72,18 +90,29 @@ def _rule_struct(rule: dict, ctx: Context, target: Column | None, scope: str) ->
     )
 
 
-def align(contexts: DataFrame, rules: list[dict], judge: Callable[[str, str], str] | None = None, target_col: str | None = None, ctx: Context | None = None, scope: str = "document", run_id: str = "run") -> DataFrame:
+def align(contexts: DataFrame, rules: list[dict], judge: Callable[[str, str], str] | None = None, target_col: str | None = None, ctx: Context | None = None, scope: str = "document", run_id: str = "run", embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """One finding per agreement and active rule.
 
     ``judge`` takes (assertion, evidence) and returns pass, fail or anything else for undecided.
-    ``target_col`` is an embedding of the text that similarity rules compare. With ``scope='bound'``
-    a cluster rule sees only clauses of the clusters it is bound to.
+    ``target_col`` is an embedding of the text that similarity rules compare; without it ``embed``
+    makes one of the first three clauses' texts. With ``scope='bound'`` a rule sees only the clauses
+    that its kind and bindings leave it.
     """
     ctx = ctx or Context.standard()
     active = [r for r in rules if r.get("status", "active") == "active"]
     clauses = ctx.all_clauses()
     evidence = F.transform(F.slice(clauses, 1, 3), lambda c: F.struct(c["id"].alias("clause_id"), F.substring(F.coalesce(c["text"], F.lit("")), 1, 300).alias("text")))
     heard = F.array_join(F.transform(F.slice(clauses, 1, 5), lambda c: F.coalesce(c["text"], F.lit(""))), "\n")
+    if target_col is None and embed is not None and any(r.get("reference_embedding") for r in active):
+
+        @F.pandas_udf("array<double>")
+        def embedded(texts):
+            import pandas as pd
+
+            return pd.Series([list(map(float, v)) for v in embed(texts.tolist())])
+
+        target_col = "__target"
+        contexts = contexts.withColumn(target_col, embedded(F.array_join(F.transform(F.slice(clauses, 1, 3), lambda c: F.coalesce(c["text"], F.lit(""))), " ")))
     target = F.col(target_col) if target_col else None
     parts = []
     for k in range(0, len(active), RULES_PER_SELECT):
@@ -103,11 +132,12 @@ def align(contexts: DataFrame, rules: list[dict], judge: Callable[[str, str], st
         def verdict(assertion, text):
             import pandas as pd
 
-            return pd.Series([v if (v := judge(a, t)) in ("pass", "fail") else "needs_human" for a, t in zip(assertion, text, strict=True)])
+            given = [None if a is None else judge(a, t) or "n/a" for a, t in zip(assertion, text, strict=True)]
+            return pd.Series([v if v is None or v in ("pass", "fail") else "needs_human" for v in given], dtype=object)
 
-        # Split before the Python stage: its input is the gated rows only.
-        asked = found.filter("judge_asked").withColumn("judged", verdict("assertion", "heard"))
-        found = asked.unionByName(found.filter("not judge_asked").withColumn("judged", F.lit(None).cast("string")))
+        # One pass over the agreements: rows that the gate holds back bring no text and get no verdict.
+        gated = lambda c: F.when(F.col("judge_asked"), F.coalesce(c, F.lit("")))
+        found = found.withColumn("judged", verdict(gated("assertion"), gated("heard")))
     used = F.struct(F.col("predicate").isNotNull().alias("predicate"), F.col("similarity").isNotNull().alias("similarity"), F.col("judged").isNotNull().alias("judge"))
     return found.select(
         F.lit(run_id).alias("run_id"), "agreement_id", "rule_id", "severity",
@@ -132,6 +162,19 @@ def agreement_report(findings: DataFrame) -> DataFrame:
     )
 
 
+def document_report(findings: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``agreement_report`` with the types of an agreement's clauses, how sure they are, and how many were told.
+
+    ``clauses``: agreement_id, label (null if none was told), confidence.
+    """
+    told = F.col("label").isNotNull()
+    of_clauses = clauses.groupBy("agreement_id").agg(
+        F.sort_array(F.collect_set("label")).alias("clause_types"), F.avg(F.when(told, F.col("confidence"))).alias("mean_confidence"),
+        F.count("*").alias("paragraphs_total"), F.count_if(told).alias("paragraphs_processed"),
+    )
+    return agreement_report(findings).join(of_clauses, "agreement_id", "left")
+
+
 def precision_recall(expected: DataFrame, findings: DataFrame) -> DataFrame:
     """Precision, recall and F1 of ``fail``; only the rules that ``expected`` names count. One row."""
     got = findings.select("agreement_id", "rule_id", F.col("outcome").alias("got"))

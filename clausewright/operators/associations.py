@@ -60,7 +60,7 @@ def cross_clause(rules: DataFrame, types: DataFrame, **thresholds) -> DataFrame:
     """Rules whose consequent has a clause type that the antecedent has not. ``types``: item, clause_type."""
     kinds = types.groupBy("item").agg(F.collect_set("clause_type").alias("types"))
     kept = rules.join(kinds.withColumnsRenamed({"item": "antecedent", "types": "ta"}), "antecedent").join(kinds.withColumnsRenamed({"item": "consequent", "types": "tc"}), "consequent")
-    kept = strong(kept.filter(F.size(F.array_except("tc", "ta")) > 0).drop("ta", "tc"), **(CROSS_CLAUSE | thresholds))
+    kept = strong(kept.filter(F.size(F.array_except("tc", "ta")) > 0).withColumnsRenamed({"ta": "antecedent_clauses", "tc": "consequent_clauses"}), **(CROSS_CLAUSE | thresholds))
     return kept.withColumn("rule_id", F.concat(F.lit("XC"), F.substring(F.sha2(F.concat_ws("|", "antecedent", "consequent"), 256), 1, 8)))
 
 

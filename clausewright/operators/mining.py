@@ -16,19 +16,23 @@ LEAST_VALUES = 5
 REBIND_SIMILARITY = 0.85
 #: Vectors of the small side of an argmax that may be sent to every executor.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 << 20
 
-# Plausible bounds by the ending of a field's name.
+# Plausible bounds of known fields, and by the ending of other fields' names.
+BOUNDS_BY_FIELD = {"notice_period_days": (0, 365), "cure_period_days": (0, 180), "survival_period_years": (0, 25), "ownership_threshold_percent": (0, 100), "number_of_arbitrators": (1, 9)}
 BOUNDS_BY_NAME = {"_days": (0, 730), "_hours": (0, 720), "_months": (0, 120), "_years": (0, 50), "_percent": (0, 100)}
 
-# Bucket ladders by the largest value they serve; each pair is inclusive.
+# Starts of the buckets by the largest value that a ladder serves.
 LADDERS = (
-    (10, (0, 2, 4, 6, 8)),
-    (30, (0, 5, 10, 15, 20)),
-    (100, (0, 10, 25, 50, 75)),
-    (365, (0, 30, 60, 90, 180)),
-    (1000, (0, 100, 250, 500, 750)),
-    (float("inf"), (0, 1000, 10000, 100000, 1000000)),
+    (10, (0, 2, 4, 6)),
+    (30, (0, 8, 15)),
+    (100, (0, 26, 51, 76)),
+    (365, (0, 31, 91, 181)),
+    (1000, (0, 101, 251, 501)),
+    (float("inf"), (0, 101, 1001, 10001)),
 )
+# The one set of bins for all fields, where no ladder is asked for.
+FIXED_BINS = (0, 7, 30, 60, 90, 180, 365)
 
 
 def coverage(clauses: DataFrame, threshold: float = COVERAGE, domain: str = "domain", agreement: str = "agreement_id", label: str = "label") -> DataFrame:
@@ -63,9 +67,12 @@ def categorical_mode(values: DataFrame, key: str = "field", value: str = "value"
 
 
 def centroids(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """key, centroid: the mean vector; partial sums per dimension keep hot clusters apart."""
-    each = vectors.select(key, F.posexplode(embedding).alias("at", "x")).groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
+    """key, centroid: the mean vector; sums of whole vectors are partial, so a hot cluster sends one row a task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = Summarizer.mean(array_to_vector(F.col(embedding).cast("array<double>")))
+    return vectors.filter(F.col(embedding).isNotNull()).groupBy(key).agg(vector_to_array(mean).alias("centroid"))
 
 
 def centroid_similarity(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -82,10 +89,11 @@ def outliers(vectors: DataFrame, key: str, embedding: str, least: float) -> Data
 def rank_candidates(flags: DataFrame, rule: str = "rule_id", agreement: str = "agreement_id", flagged: str = "flagged", resamples: int = 5, seed: int = 17) -> DataFrame:
     """rule, flag_rate, stability, score: the rate of flagged agreements times its agreement across resamples.
 
-    Resample ``k`` leaves out the agreements whose seeded hash falls into bucket ``k``; stability is
+    Resample ``k`` leaves out the agreements whose seeded digest falls into bucket ``k``; stability is
     one less the spread of the rates.
     """
-    bucket = F.pmod(F.xxhash64(F.col(agreement), F.lit(seed)), F.lit(resamples))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(agreement).cast("string")).cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % resamples
     hit = F.col(flagged).cast("double")
     rates = [F.avg(F.when(bucket != k, hit)).alias(f"r{k}") for k in range(resamples)]
     got = flags.groupBy(rule).agg(F.avg(hit).alias("flag_rate"), *rates)
@@ -106,12 +114,20 @@ def soft_rebind(bindings: DataFrame, clusters: DataFrame, least: float = REBIND_
     """binding_id, cluster_id, confidence, rebound: the most similar cluster, ties by id.
 
     ``bindings``: binding_id, label_embedding; ``clusters``: cluster_id, embedding. Every binding is
-    scored against the clusters, a stated query set against a table of one row a cluster: sent to
-    the tasks in one piece up to ``BROADCAST_ROWS`` clusters, and beyond that joined in blocks, with
-    the best of each block found before anything is shuffled.
+    scored against all clusters, a stated query set against a table of one row a cluster. Up to
+    ``BROADCAST_ROWS`` clusters of ``BROADCAST_BYTES`` go to the tasks in one piece; more are dealt
+    into blocks of that many rows, each binding meets each block, and only its best cluster of a
+    block goes on.
     """
-    small = clusters.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    scored = bindings.crossJoin(F.broadcast(clusters) if small else clusters).select("binding_id", "cluster_id", cosine(F.col("label_embedding"), F.col("embedding")).alias("confidence"))
+    size = clusters.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)).alias("bytes")).first()
+    score = cosine(F.col("label_embedding"), F.col("embedding")).alias("confidence")
+    if size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES:
+        scored = bindings.crossJoin(F.broadcast(clusters)).select("binding_id", "cluster_id", score)
+    else:
+        blocks = max(-(-size.rows // BROADCAST_ROWS), -(-size.bytes // BROADCAST_BYTES))
+        dealt = clusters.withColumn("block", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)))
+        asked = bindings.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        scored = asked.join(dealt, "block").select("binding_id", "cluster_id", score)
     best = scored.groupBy("binding_id").agg(F.min(F.struct((-F.col("confidence")).alias("far"), "cluster_id")).alias("best"))
     return best.select("binding_id", "best.cluster_id", (-F.col("best.far")).alias("confidence"), (-F.col("best.far") >= least).alias("rebound"))
 
@@ -121,7 +137,7 @@ def in_bounds(field: Column, value: Column, named: dict[str, tuple[float, float]
     out = F.lit(True)
     for ending, (low, high) in reversed(BOUNDS_BY_NAME.items()):
         out = F.when(F.contains(field, F.lit(ending)), value.between(low, high)).otherwise(out)
-    for name, (low, high) in (named or {}).items():
+    for name, (low, high) in (BOUNDS_BY_FIELD | (named or {})).items():
         out = F.when(field == name, value.between(low, high)).otherwise(out)
     return out
 
@@ -133,10 +149,19 @@ def bucket_start(value: Column, largest: Column) -> Column:
     """
     out = F.lit(None).cast("double")
     for top, starts in reversed(LADDERS):
-        step = F.lit(float(starts[0]))
-        for s in starts[1:]:
-            step = F.when(value >= s, float(s)).otherwise(step)
-        out = step if top == float("inf") else F.when(largest <= top, step).otherwise(out)
+        out = _start(value, starts) if top == float("inf") else F.when(largest <= top, _start(value, starts)).otherwise(out)
+    return out
+
+
+def fixed_bin(value: Column) -> Column:
+    """The start of the value's bin of ``FIXED_BINS``; null below the first."""
+    return F.when(value >= FIXED_BINS[0], _start(value, FIXED_BINS))
+
+
+def _start(value: Column, starts: tuple[int, ...]) -> Column:
+    out = F.lit(float(starts[0]))
+    for s in starts[1:]:
+        out = F.when(value >= s, float(s)).otherwise(out)
     return out
 
 
@@ -164,35 +189,82 @@ def text_examples(values: DataFrame, key: str, value: str, k: int = 5) -> DataFr
     return counts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), value))).filter(F.col("place") <= k)
 
 
+def boolean_examples(values: DataFrame, key: str, value: str, item: str, k: int = 2) -> DataFrame:
+    """The first ``k`` items of each truth value of each field, by item."""
+    flag = F.lower(F.trim(F.col(value)))
+    told = values.withColumn("flag", F.when(flag.isin("true", "yes"), True).when(flag.isin("false", "no"), False)).filter("flag is not null")
+    place = F.row_number().over(Window.partitionBy(key, "flag").orderBy(item))
+    return told.select(key, "flag", item, place.alias("place")).filter(F.col("place") <= k)
+
+
+# What a rule about a label flags, and how severely, by how usual the label is; occasional ones get no rule.
+TIER_RULES = {"expected": ("missing", "warn"), "common": ("missing", "info"), "rare": ("present", "info")}
+
+
+def tier_rules(prevalent: DataFrame, group: str, label: str) -> DataFrame:
+    """group, label, flagged, severity for each row of ``prevalence`` whose tier has a rule."""
+    flagged, severity = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (what, how) in TIER_RULES.items():
+        flagged, severity = F.when(F.col("tier") == name, what).otherwise(flagged), F.when(F.col("tier") == name, how).otherwise(severity)
+    return prevalent.select(group, label, flagged.alias("flagged"), severity.alias("severity")).filter("flagged is not null")
+
+
 def prevalence(clauses: DataFrame, group: str, agreement: str, label: str) -> DataFrame:
     """group, label, share, tier."""
     return coverage(clauses, 0.0, group, agreement, label).select(group, label, F.col("ratio").alias("share"), prevalence_tier(F.col("ratio")).alias("tier"))
 
 
-def drafts(candidates: DataFrame, miner: str, title: Column, predicate: Column, severity: str, applies_to: str, playbook_id: str, provenance: list[str]) -> DataFrame:
-    """Candidates as rows of the rule table, always drafts; ids follow from what the rule says."""
+def drafts(candidates: DataFrame, miner: str, title: Column, predicate: Column, severity: str, applies_to: str, policy_id: str, provenance: list, description: Column, tags: list, label: Column, answer_type: str | None = None, **more: Column) -> DataFrame:
+    """Candidates as rows of the rule table, always drafts; ids follow from what the rule says.
+
+    ``label`` names what the rule is about: ``candidate_bindings`` binds the rule to it.
+    """
     return candidates.select(
-        truncated_id(F.lit(playbook_id), F.lit(miner), title, predicate).alias("rule_id"), F.lit(playbook_id).alias("playbook_id"), title.alias("title"),
-        F.lit(applies_to).alias("applies_to"), F.lit(severity).alias("severity"), predicate.alias("predicate"), F.lit("draft").alias("status"),
-        F.to_json(F.struct(F.lit(miner).alias("miner"), *provenance)).alias("source_provenance"),
+        truncated_id(F.lit(policy_id), F.lit(miner), title, predicate).alias("rule_id"), F.lit(policy_id).alias("policy_id"), title.alias("title"), description.alias("description"),
+        F.lit(applies_to).alias("applies_to"), F.lit(severity).alias("severity"), predicate.alias("predicate"), F.lit(answer_type).cast("string").alias("answer_type"),
+        F.array(*(t if isinstance(t, Column) else F.lit(t) for t in tags)).alias("tags"), F.lit("draft").alias("status"), label.cast("string").alias("label"),
+        F.to_json(F.struct(F.lit(miner).alias("miner"), *provenance)).alias("source_provenance"), *(c.alias(n) for n, c in more.items()),
     )
 
 
-def coverage_rules(clauses: DataFrame, playbook_id: str, **options) -> DataFrame:
+def candidate_bindings(rules: DataFrame) -> DataFrame:
+    """A soft binding for each mined rule, to what it is about; ``soft_rebind`` finds the entity."""
+    kind = F.when(F.col("applies_to") == "field", "field").when(F.col("applies_to") == "domain", "domain").otherwise("cluster")
+    return rules.select("rule_id", kind.alias("entity_kind"), F.concat(F.lit("label:"), "label").alias("entity_id"), F.col("label").alias("label_text"), F.lit(0.5).alias("confidence"))
+
+
+def _percent(share: Column) -> Column:
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def coverage_rules(clauses: DataFrame, policy_id: str, **options) -> DataFrame:
     found = coverage(clauses, **options)
     tree = F.to_json(F.struct(F.lit("any_of").alias("op"), F.array(F.struct(F.lit("clause.classified_as").alias("op"), F.array(F.col("label")).alias("args"))).alias("args")))
-    return drafts(found, "coverage", F.concat(F.upper("domain"), F.lit(" must contain "), F.col("label")), tree, "warn", "domain", playbook_id, ["ratio", "n"])
+    about = F.concat(_percent(F.col("ratio")), F.lit(" of the agreements of "), "domain", F.lit(" have a clause of "), F.col("label"))
+    title = F.concat(F.upper("domain"), F.lit(" must contain "), F.col("label"))
+    return drafts(found, "coverage", title, tree, "warn", "domain", policy_id, ["ratio", "n"], about, [F.col("domain"), "coverage"], F.col("domain"))
 
 
-def distribution_rules(values: DataFrame, playbook_id: str, **options) -> DataFrame:
+def distribution_rules(values: DataFrame, policy_id: str, **options) -> DataFrame:
     """``values``: domain, cluster, field, value."""
     found = distribution(values, ["domain", "cluster", "field"], "value", **options)
     tree = F.concat(F.lit('{"op":"field.between","args":["'), F.col("field"), F.lit('",'), F.col("lo").cast("string"), F.lit(","), F.col("hi").cast("string"), F.lit("]}"))
     provenance = ["n", "median", "lo", "hi", F.col("lo").alias("p10"), F.col("hi").alias("p90")]
-    return drafts(found, "distribution", F.concat("cluster", F.lit("::"), "field", F.lit(" between p10 and p90")), tree, "info", "field", playbook_id, provenance)
+    about = F.concat(F.lit("median "), F.col("median").cast("string"), F.lit(", p10 "), F.col("lo").cast("string"), F.lit(", p90 "), F.col("hi").cast("string"), F.lit(" over "), F.col("n").cast("string"), F.lit(" values"))
+    title = F.concat("cluster", F.lit("::"), "field", F.lit(" between p10 and p90"))
+    return drafts(found, "distribution", title, tree, "info", "field", policy_id, provenance, about, [F.col("domain"), F.col("cluster"), "distribution"], F.col("field"), "numeric_range")
 
 
-def categorical_rules(values: DataFrame, playbook_id: str, **options) -> DataFrame:
+def categorical_rules(values: DataFrame, policy_id: str, **options) -> DataFrame:
     found = categorical_mode(values, **options)
     tree = F.to_json(F.struct(F.lit("field.eq").alias("op"), F.array("field", "value").alias("args")))
-    return drafts(found, "categorical", F.concat("field", F.lit(" is "), "value"), tree, "info", "field", playbook_id, ["n", "share"])
+    about = F.concat(_percent(F.col("share")), F.lit(" of the values are "), "value")
+    return drafts(found, "categorical", F.concat("field", F.lit(" is "), "value"), tree, "info", "field", policy_id, ["n", "share"], about, ["categorical"], F.col("field"), "enum")
+
+
+def outlier_rules(vectors: DataFrame, key: str, embedding: str, least: float, policy_id: str) -> DataFrame:
+    """A similarity rule for each cluster: its centroid is the reference, ``least`` the threshold."""
+    found = outliers(vectors, key, embedding, least).join(centroids(vectors, key, embedding), key).withColumn("outlier_pct", F.col("outlier_share"))
+    about = F.concat(_percent(F.col("outlier_share")), F.lit(" of the clauses are less similar to the centre"))
+    title = F.concat(F.col(key).cast("string"), F.lit(" is near the centre"))
+    return drafts(found, "outlier", title, F.lit(None).cast("string"), "info", "cluster", policy_id, ["outlier_pct", "n"], about, ["outlier"], F.col(key), similarity_threshold=F.lit(float(least)), reference_embedding=F.col("centroid"))

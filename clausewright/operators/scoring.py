@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import order_statistics
+
 # Weights, multipliers and tiers of the deviation score.
 WEIGHTS = {"missing_arm_consequent": 3.0, "missing_expected": 2.0, "unexpected_clause": 1.5, "rare_combination": 1.0}
 MULTIPLIERS = {"prevalence_gap": 2.0, "confidence": 1.5, "lift": 0.5}
@@ -48,9 +50,19 @@ def severity_buckets(scores: DataFrame) -> DataFrame:
 
 
 def top_outliers(scores: DataFrame, document: str, share: float = 0.1) -> DataFrame:
-    """The documents with the highest scores, ``share`` of all, ties at the border by id."""
-    n = scores.count()
-    return scores.orderBy(F.desc("score"), document).limit(-(-int(n * share * 1000) // 1000))
+    """The documents with the highest scores, ``share`` of all, ties at the border by id (a number).
+
+    The border's score and, among its ties, the last id come from order statistics; then the rows are
+    a filter, and nothing is sorted as a whole.
+    """
+    place = lambda n: n - F.ceil(n * F.lit(share) - 1e-9)
+    border = order_statistics(scores.select(F.lit(0).alias("one"), "score"), ["one"], "score", {"border": place}).select("n", "border")
+    above = scores.crossJoin(F.broadcast(border)).agg(F.count_if(F.col("score") > F.col("border")).alias("above"))  # one row each
+    line = border.crossJoin(above).withColumn("room", F.ceil(F.col("n") * F.lit(share) - 1e-9) - F.col("above"))
+    ties = scores.crossJoin(F.broadcast(line)).filter(F.col("score") == F.col("border"))
+    ids = ties.groupBy("room", "border", F.col(document).alias("id")).agg(F.count("*").alias("__n"))
+    last = order_statistics(ids.withColumn("at", F.col("room")), ["border", "room"], "id", {"last": lambda n: F.least(F.col("room"), n) - 1}).select("border", "last")
+    return scores.crossJoin(F.broadcast(last)).filter((F.col("score") > F.col("border")) | ((F.col("score") == F.col("border")) & (F.col(document) <= F.col("last")))).drop("border", "last")
 
 
 def most_missing(flags: DataFrame, label: str, k: int = 10) -> DataFrame:

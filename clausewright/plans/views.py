@@ -124,14 +124,27 @@ def field_matrix(fields: DataFrame, types: list[str]) -> DataFrame:
     return fields.groupBy("cluster_id").pivot("field_type", types).agg(F.count(F.lit(1))).fillna(0)
 
 
-def field_rollup(fields: DataFrame, extractions: DataFrame, agreements: int) -> DataFrame:
-    """field_id, name, n, coverage_pct, examples: extractions joined to their fields, top examples cut to 32 characters."""
+def field_rollup(fields: DataFrame, extractions: DataFrame, agreements: DataFrame) -> DataFrame:
+    """field_id, name, n, coverage_pct, examples: extractions joined to their fields, top examples cut to 32 characters.
+
+    Coverage is out of the distinct ids in ``agreements``: agreement_id.
+    """
     n = extractions.groupBy("field_id").agg(F.count("*").alias("n"), F.count_distinct("agreement_id").alias("have"))
     counts = extractions.groupBy("field_id", F.substring("value", 1, 32).alias("value")).agg(F.count("*").alias("c"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("field_id").orderBy(F.desc("c"), "value"))).filter("place <= 5")
     examples = top.groupBy("field_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("examples"))
     got = fields.join(n, "field_id", "left").join(examples, "field_id", "left").fillna(0, ["n", "have"])
-    return got.withColumn("coverage_pct", F.col("have") * 100.0 / F.lit(max(agreements, 1))).drop("have")
+    total = agreements.agg(F.greatest(F.count_distinct("agreement_id"), F.lit(1)).alias("agreements"))
+    return got.crossJoin(F.broadcast(total)).withColumn("coverage_pct", F.col("have") * 100.0 / F.col("agreements")).drop("have", "agreements")  # one row
+
+
+def field_enums(values: DataFrame, key: str, value: str, most: int = 12) -> DataFrame:
+    """key, distinct_values, enum_values: the sorted values of a field that has ``most`` at most, else null."""
+    each = values.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    k = each.groupBy(key).agg(F.count("*").alias("distinct_values"))
+    few = each.join(k.filter(F.col("distinct_values") <= most).select(key), key)
+    listed = few.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("enum_values"))
+    return k.join(listed, key, "left")
 
 
 def redline(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -140,12 +153,53 @@ def redline(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return findings.filter("outcome = 'fail'").join(r, "rule_id").select("agreement_id", "rule_id", "title", F.get("evidence", F.lit(0))["text"].alias("clause"), "preferred_language", "owner")
 
 
-def provenance_label(miner: Column, n: Column, share: Column) -> Column:
-    pct = F.format_string("%d%%", F.round(share * 100).cast("int"))
+def _whole_percent(share: Column) -> Column:
+    """Rounded half up."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def _tenths(x: Column) -> Column:
+    tenths = F.floor(x * 10 + 0.5)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
+def trust(rules: DataFrame) -> DataFrame:
+    """What a rule's trust rests on, as shown: lift to one place, support and confidence in percent, n.
+
+    ``rules``: lift, support, n, confidence, each of which may be null.
+    """
+    none = F.lit("—")
+    return rules.withColumns({
+        "lift_shown": F.coalesce(F.concat(_tenths(F.col("lift")), F.lit("×")), none), "support_shown": F.coalesce(_whole_percent(F.col("support")), none),
+        "n_shown": F.coalesce("n", F.lit(0)), "confidence_shown": _whole_percent(F.coalesce("confidence", F.lit(0.0))),
+    })
+
+
+def provenance_label(source: Column) -> Column:
+    """Where a rule comes from, in a few words. ``source``: a struct of miner, migrated_from, n and the miners' figures."""
+    s = lambda name: source[name].cast("string")
+    n = F.concat(F.lit(" · n="), s("n"))
     return (
-        F.when(miner == "coverage", F.concat(F.lit("found in "), pct, F.lit(" of agreements")))
-        .when(miner == "distribution", F.format_string("range of %d values", n))
-        .when(miner == "categorical", F.concat(F.lit("most common value, "), pct))
-        .when(miner == "outlier", F.concat(pct, F.lit(" lie far from the centre")))
-        .otherwise("imported")
+        F.when(source["miner"] == "coverage", F.concat(F.lit("Coverage "), _whole_percent(source["ratio"]), n))
+        .when(source["miner"] == "distribution", F.concat(F.lit("Distribution p10–p90 ["), s("p10"), F.lit(", "), s("p90"), F.lit("] · median "), s("median")))
+        .when(source["miner"] == "categorical", F.concat(F.lit('Mode "'), s("mode"), F.lit('" '), _whole_percent(source["frequency"]), n))
+        .when(source["miner"] == "outlier", F.concat(F.lit("Outlier "), _whole_percent(source["outlier_pct"]), F.lit(" off-curve"), n))
+        .when(source["miner"] == "contrastive", F.concat(F.lit("Lift ratio "), F.format_string("%.2f", source["lift_ratio"]), F.lit("×"), n))
+        .when(source["migrated_from"].isNotNull(), F.concat(F.lit("Migrated from "), s("migrated_from")))
+        .otherwise("—")
     )
+
+
+def bootstrap(findings: DataFrame) -> DataFrame:
+    """The findings of the portfolio's first agreement, what a reader sees before choosing one."""
+    first = findings.agg(F.min("agreement_id").alias("agreement_id"))  # one row
+    return findings.join(F.broadcast(first), "agreement_id").orderBy(severity_rank(F.col("severity")), "rule_id")
+
+
+def snapshot(**parts: DataFrame) -> DataFrame:
+    """One row: each part, a small report, as a JSON array in the order of its columns' values."""
+    out = None
+    for name, df in parts.items():
+        rows = df.select(F.to_json(F.struct(*df.columns)).alias("row")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]")).alias(name))
+        out = rows if out is None else out.crossJoin(rows)  # one row each
+    return out

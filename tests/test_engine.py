@@ -1,15 +1,16 @@
 import itertools
+import random
 import zipfile
 
 import pytest
 from clausewright.functions.ranks import quantile_band
-from clausewright.functions.scalars import money, word_number
+from clausewright.functions.scalars import mentions_none, money, word_number
 from clausewright.operators import align as A
 from clausewright.operators import associations as S
-from clausewright.operators import mining
+from clausewright.operators import mining, scoring
 from clausewright.sources import office, rule_logic
 from clausewright.sources.store import Store
-from clausewright.streaming.alignment import align_stream
+from clausewright.streaming.alignment import align_stream, tally_stream
 from pyspark.sql import functions as F
 
 from .test_predicates import frame
@@ -159,7 +160,7 @@ def test_narrative_import(spark, tmp_path):
 
 def test_document_import_and_soft_bindings(spark, tmp_path):
     path = f"{tmp_path}/d.docx"
-    document(path, [["Topic", "Sources", "AI Playbook Rule", "Desirable Sample Clause", "Undesirable Sample Clause"], ["Audit", "s", "Must allow audits", "good", "bad"], ["", "s", "Second", "", ""], ["Empty", "s", "", "x", "y"]])
+    document(path, [["Topic", "Sources", "AI Policy Rule", "Desirable Sample Clause", "Undesirable Sample Clause"], ["Audit", "s", "Must allow audits", "good", "bad"], ["", "s", "Second", "", ""], ["Empty", "s", "", "x", "y"]])
     rules = office.import_rules(spark, path, "p")
     assert {(r.title, r.similarity_threshold, r.reference_text) for r in rules.collect()} == {("Audit", 0.85, "good"), ("Rule 3", 0.85, None)}
     assert office.bindings(rules.withColumn("rule_id", F.lit("r"))).filter("label_text = 'Audit'").first().entity_id == "label:Audit"
@@ -170,9 +171,9 @@ def test_document_import_and_soft_bindings(spark, tmp_path):
 def test_store_round_trip(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store = Store(spark, store.root)  # opening again changes nothing
-    pid = store.create_playbook("Sales")
-    assert store.playbook(pid).first().name == "Sales" and store.playbook("none").collect() == []
-    rules = spark.createDataFrame([(pid, "B", '{"op":"field.gte","args":["cap",250000]}', "blocker", "draft"), (pid, "A", None, "warn", "draft")], "playbook_id string, title string, predicate string, severity string, status string")
+    pid = store.create_policy("Sales")
+    assert store.policy(pid).first().name == "Sales" and store.policy("none").collect() == []
+    rules = spark.createDataFrame([(pid, "B", '{"op":"field.gte","args":["cap",250000]}', "blocker", "draft"), (pid, "A", None, "warn", "draft")], "policy_id string, title string, predicate string, severity string, status string")
     store.create_rules(rules)
     a, b = store.rules(pid).collect()
     assert (a.title, b.predicate) == ("A", '{"op":"field.gte","args":["cap",250000]}')
@@ -193,3 +194,62 @@ def test_stream_gives_the_batch_findings(spark, tmp_path):
     rules = [{"rule_id": "w", "severity": "warn", "predicate": {"op": "field.gte", "args": ["cap", 1]}}]
     align_stream(spark.readStream.schema(contexts.schema).parquet(f"{tmp_path}/in"), rules, f"{tmp_path}/out", f"{tmp_path}/cp", run_id="x").awaitTermination(120)
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(str, A.align(contexts, rules, run_id="x").collect()))
+
+
+def test_counts_over_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "warn", "fail"), ("2024-01-01 00:50:00", "warn", "fail"), ("2024-01-01 01:10:00", "info", "pass"), ("2024-01-01 09:00:00", "info", "pass")]
+    spark.createDataFrame(rows, "at string, severity string, outcome string").selectExpr("cast(at as timestamp) as at", "severity", "outcome").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("at timestamp, severity string, outcome string").parquet(f"{tmp_path}/in")
+    query = tally_stream(stream, "at").writeStream.format("memory").queryName("tally").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.severity, r.n) for r in spark.table("tally").collect()) == [("info", 1), ("info", 1), ("warn", 2)]
+
+
+def test_anti_keywords(spark):
+    rows = spark.createDataFrame([("Shall NOT apply",), ("applies",), (None,)], "t string")
+    assert [r[0] for r in rows.select(mentions_none(F.col("t"), ["not", "never"])).collect()] == [False, True, True]
+
+
+def test_quantiles_beside_far_values(spark):
+    values = [float(k) for k in range(-300, 300)] + [1e300, -1e300, 0.5]
+    (got,) = quantile_band(spark.createDataFrame([("a", v) for v in values], "k string, v double"), ["k"], "v").collect()
+    s, n = sorted(values), len(values)
+    assert (got.lo, got.hi, got.median) == (s[int(0.1 * (n - 1))], s[int(0.9 * (n - 1))], s[n // 2])
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 95])
+def test_top_outliers_match_sorting(spark, n):
+    rows = [(k, float(k * 7 % 5)) for k in range(n)]
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[: -(-n // 10)]
+    got = scoring.top_outliers(spark.createDataFrame(rows, "doc_id long, score double"), "doc_id")
+    assert sorted((r.doc_id, r.score) for r in got.collect()) == sorted(want)
+    assert scoring.top_outliers(spark.createDataFrame([], "doc_id long, score double"), "doc_id").collect() == []
+
+
+def test_soft_rebind_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    clusters = spark.createDataFrame([(k, vector()) for k in range(40)], "cluster_id long, embedding array<double>")
+    asked = spark.createDataFrame([(k, vector()) for k in range(30)], "binding_id long, label_embedding array<double>")
+    whole = sorted(map(tuple, mining.soft_rebind(asked, clusters).collect()))
+    for bound, value in (("BROADCAST_ROWS", 7), ("BROADCAST_BYTES", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(mining, bound, value)
+            assert sorted(map(tuple, mining.soft_rebind(asked, clusters).collect())) == whole
+
+
+def test_judge_is_asked_in_one_pass(spark):
+    """The plan reads the agreements once, and the store's YAML keeps odd texts."""
+    rows = frame(spark, [CONTEXT])
+    rules = [{"rule_id": "a", "nl_assertion": "x"}, {"rule_id": "b", "predicate": {"op": "field.exists", "args": ["cap"]}}]
+    plan = A.align(rows, rules, judge=lambda a, t: "pass")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_yaml_keeps_odd_texts(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [("p", 'a "quoted" title: with colon', "line\none\n---\nand: two", ["x, y", "z"], 0.25), ("p", "plain", None, None, None)]
+    store.create_rules(spark.createDataFrame(rows, "policy_id string, title string, description string, tags array<string>, similarity_threshold double"))
+    store.export_yaml(f"file://{tmp_path}/yaml")
+    got = store.import_yaml(f"file://{tmp_path}/yaml")
+    assert sorted(map(str, got.collect())) == sorted(map(str, store.rules("p").collect()))
