@@ -1,9 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text gives, at any point of another text, the
-longest match with that language. Cutting a text into such longest matches counts its phrases; a
-phrase costs the logarithm of the labelled text's length, and the language whose phrases cost least
-wins. Phrases stay within a run of letters, so the counts of a word are computed once per worker.
+For each language a suffix automaton of labelled running text gives, at any point of another text,
+the longest match with that language. Cutting a text from left to right into such longest matches
+counts its phrases; a phrase costs the logarithm of the labelled text's length, and the language
+whose phrases cost least wins. Texts are normalised to lower-case runs of letters between single
+blanks and parsed as UTF-8 bytes, across words, so that common words and pairs of words count.
+
+Many texts are parsed side by side: a step takes the next byte of each through one table of all
+languages' transitions. Once few long texts are left they go on one by one from where they are.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,49 +25,54 @@ from pyspark.sql import functions as F
 from .common import fold, read, text_or_empty
 
 UNDETERMINED = "und"
-#: The labelled sample: rows of a language, lowest hash of the id first, and characters of their text.
-SAMPLE_ROWS = 200
-SAMPLE_CHARS = 80_000
-#: Shorter samples count as this long: else a phrase of a hardly known language would cost too little.
-LEAST_CHARS = 4096
-#: Words a worker remembers, and the longest word it remembers.
-CACHE_WORDS = 400_000
-CACHED_LENGTH = 64
+#: The labelled sample: whole texts of each language, lowest hash of the id first, of at most so many
+#: characters (where a language has none as short, its shortest text).
+SAMPLE_ROWS = 32
+SAMPLE_LONGEST = 4096
+#: Languages that can be learned: the most frequent values. With more than a few, each has fewer rows.
+LANGUAGES = 256
+SAMPLE_TOTAL_ROWS = 512
+#: Shorter samples count as this many bytes: else a phrase of a hardly known language would cost too little.
+LEAST_BYTES = 4096
+#: Bytes of text that are parsed side by side, and the texts times languages below which one by one is faster.
+SIDE_BY_SIDE = 8 << 20
+FEW = 96
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BITS = 40
+
+
+def normalised(text: str) -> bytes:
+    """Lower-case runs of letters, each between blanks; nothing without letters."""
+    runs = _LETTERS.findall(text.lower())
+    return f" {' '.join(runs)} ".encode() if runs else b""
 
 
 class SuffixAutomaton:
-    """All substrings of the words given to ``add``."""
+    """All substrings of a byte string."""
 
-    def __init__(self):
-        self.next: list[dict[str, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
+    def __init__(self, text: bytes):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for c in text:
+            last = self._extend(last, c)
 
-    def add(self, word: str) -> None:
+    def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
-        last = 0
-        for c in word:
-            if c in nxt[last]:  # a generalised automaton: the state may exist from an earlier word
-                q = nxt[last][c]
-                last = q if length[q] == length[last] + 1 else self._clone(last, c, q)
-                continue
-            cur = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p != -1:
-                q = nxt[p][c]
-                link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-            last = cur
-
-    def _clone(self, p: int, c: str, q: int) -> int:
+        cur = len(nxt)
+        nxt.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p != -1 and c not in nxt[p]:
+            nxt[p][c] = cur
+            p = link[p]
+        if p != -1:
+            q = nxt[p][c]
+            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+        return cur
+
+    def _clone(self, p: int, c: int, q: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         clone = len(nxt)
         nxt.append(dict(nxt[q]))
@@ -74,136 +84,164 @@ class SuffixAutomaton:
             p = link[p]
         return clone
 
-    def longest(self, text: str, start: int) -> int:
+    def longest(self, text: bytes, start: int) -> int:
         """Length of the longest match of ``text[start:]`` with a substring."""
-        state, at, nxt = 0, start, self.next
+        state, nxt = 0, self.next
         for at in range(start, len(text)):
             state = nxt[state].get(text[at], -1)
             if state < 0:
                 return at - start
         return len(text) - start
 
-    def phrases(self, text: str) -> int:
-        n = at = 0
-        while at < len(text):
-            at += max(1, self.longest(text, at))
-            n += 1
-        return n
-
-
-def _framed(run: str) -> str:
-    return f" {run.lower()} "
-
 
 class Languages:
-    """The automata of all languages and the phrase counts of words, packed into one integer each."""
-
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
-        self.names, self.automata, self.bits = [], [], []
-        for name, text in samples:
-            words = sorted({_framed(run) for run in _LETTERS.findall(text)})
-            if not words:  # a language known by name only can't be told
-                continue
-            self.names.append(name)
-            automaton = SuffixAutomaton()
-            for word in words:
-                automaton.add(word)
-            self.automata.append(automaton)
-            self.bits.append(math.log2(max(LEAST_CHARS, sum(map(len, words)))))
-        self.counts = _Counts(self)
-
-    def count(self, token: str) -> int:
-        packed = 0
-        for run in _LETTERS.findall(token):
-            framed = _framed(run)
-            for k, automaton in enumerate(self.automata):
-                packed += automaton.phrases(framed) << (_BITS * k)
-        return packed
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and a score from 0 to 1; ``und`` and 0 for a text without letters."""
-        if not text or not self.names or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        packed = sum(map(self.counts.__getitem__, text.split()))
-        if not packed:
-            return UNDETERMINED, 0.0
-        mask = (1 << _BITS) - 1
-        phrases = [packed >> (_BITS * k) & mask for k in range(len(self.names))]
-        costs = [n * b for n, b in zip(phrases, self.bits, strict=True)]
-        best = min(range(len(costs)), key=lambda k: (costs[k], self.names[k]))
-        # How much dearer the others are, relative to the winner, as a share.
-        return self.names[best], 1 / sum(math.exp(-10 * (c / costs[best] - 1)) for c in costs)
-
-
-class _Counts(dict):
-    def __init__(self, languages: Languages):
-        super().__init__()
-        self.languages = languages
+    """The automata of all languages as one table: a row a state, a column a byte that occurs, -1 for no match."""
+
+    def __init__(self, samples: tuple[tuple[str, tuple[str, ...]], ...]):
+        known = [(name, b"".join(map(normalised, texts))) for name, texts in samples]
+        known = [(name, text) for name, text in known if text]  # a language known by name only can't be told
+        self.names = [name for name, _ in known]
+        self.bits = np.array([math.log2(max(LEAST_BYTES, len(text))) for _, text in known])
+        used = np.unique(np.frombuffer(b"".join(text for _, text in known), np.uint8))
+        self.width = len(used) + 1  # the last column: bytes of no language
+        self.code = np.full(256, len(used), np.uint8)
+        self.code[used] = np.arange(len(used))
+        automata = [SuffixAutomaton(text) for _, text in known]
+        self.roots = np.cumsum([0, *(len(a.next) for a in automata)])[: len(known)].astype(np.int32)
+        self.table = np.full((sum(len(a.next) for a in automata), self.width), -1, np.int32)
+        code = self.code.tolist()
+        for root, a in zip(self.roots.tolist(), automata, strict=True):
+            rows = np.repeat(np.arange(len(a.next)), [len(n) for n in a.next]) + root
+            self.table[rows, [code[c] for n in a.next for c in n]] = np.array([t for n in a.next for t in n.values()], np.int32) + root
+        self.table = self.table.ravel()
+        # Where a text goes on after a match has ended before a byte; at the root itself the next byte begins a phrase, too.
+        start = self.table.reshape(-1, self.width)[self.roots]
+        self.after = np.where(start < 0, self.roots[:, None], start)
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """How many longest matches (or bytes without a match) each text is cut into, by language."""
+        n = len(self.names)
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        lengths = np.array([len(texts[k]) for k in order], np.int64)
+        codes = self.code[np.frombuffer(b"".join(texts[k] for k in order), np.uint8)]
+        starts = np.cumsum(lengths) - lengths
+        counts = np.zeros((n, len(texts)), np.int64)
+        state = np.repeat(self.roots[:, None], len(texts), axis=1)
+        roots, language = self.roots[:, None], np.arange(n)[:, None] * self.width
+        after, live, at = self.after.ravel(), len(texts), 0
+        falling = (-lengths).tolist()
+        while live and lengths[0] > at:
+            while live and -falling[live - 1] <= at:
+                live -= 1
+            if live * n <= FEW:
+                break
+            c = codes[starts[:live] + at]
+            s = state[:, :live]
+            t = self.table[s * self.width + c]
+            ended = t < 0
+            counts[:, :live] += ended | (s == roots)
+            state[:, :live] = np.where(ended, after[language + c], t)
+            at += 1
+        for k in range(live):
+            own = codes[starts[k] + at : starts[k] + lengths[k]].tobytes()
+            for j in range(n):
+                counts[j, k] += self._count(own, int(state[j, k]), j)
+        out = np.empty_like(counts)
+        out[:, order] = counts
+        return out
+
+    def _count(self, codes: bytes, state: int, language: int) -> int:
+        table, width, root, after = memoryview(self.table), self.width, int(self.roots[language]), self.after[language].tolist()
+        n = 0
+        for c in codes:
+            t = table[state * width + c]
+            if t < 0:
+                n += 1
+                state = after[c]
+            else:
+                n += state == root
+                state = t
+        return n
 
-    def __missing__(self, token: str) -> int:
-        found = self.languages.count(token)
-        if len(token) <= CACHED_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[token] = found
-        return found
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and a score from 0 to 1 of each text; ``und`` and 0 for a text without letters."""
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        if not self.names:
+            return out
+        todo: list[tuple[int, bytes]] = []
+        held = 0
+        for k, text in enumerate(texts):
+            norm = normalised(text) if text else b""
+            if norm:
+                todo.append((k, norm))
+                held += len(norm)
+            if held >= SIDE_BY_SIDE:
+                self._settle(todo, out)
+                todo, held = [], 0
+        self._settle(todo, out)
+        return out
+
+    def _settle(self, todo: list[tuple[int, bytes]], out: list[tuple[str, float]]) -> None:
+        if not todo:
+            return
+        costs = self.phrases([text for _, text in todo]) * self.bits[:, None]
+        by_name = sorted(range(len(self.names)), key=self.names.__getitem__)
+        best = np.array(by_name)[costs[by_name].argmin(axis=0)]
+        least = costs[best, np.arange(len(todo))]
+        # How much dearer the others are, relative to the winner, as a share.
+        score = 1 / np.exp(-10 * (costs / least - 1)).sum(axis=0)
+        for (k, _), b, x in zip(todo, best.tolist(), score.tolist(), strict=True):
+            out[k] = self.names[b], x
 
 
 @lru_cache(maxsize=2)
-def _languages(samples: tuple[tuple[str, str], ...]) -> Languages:
+def _languages(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Languages:
     return Languages(samples)
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, sample text) pairs: for each language the rows with the lowest hash of the id.
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(language, whole sample texts) pairs: for each language the rows with the lowest hash of the id.
 
-    The sample is bounded by ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters a language; about
-    twice the rows reach the driver at any input size. Rows of one id count once.
+    The sample is bounded by ``SAMPLE_ROWS`` rows of at most ``SAMPLE_LONGEST`` characters a language,
+    ``SAMPLE_TOTAL_ROWS`` in all (but one a language) and ``LANGUAGES`` languages, the most frequent
+    ones; about three times the rows reach the driver at any input size. Rows of one id count once.
     """
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    lang = F.col(lang_col).cast("string")
-    counts = labelled.select(lang.alias("lang")).filter("lang is not null").groupBy("lang").count().collect()
+    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("lang is not null and text is not null").withColumn("short", F.length("text") <= SAMPLE_LONGEST)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("fit")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return ()
-    # The hash below which a language has about twice the wanted rows: one scan serves all languages.
+    wanted = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL_ROWS // len(counts)))
+    # The hash below which a language has about three times the wanted rows: one scan serves all languages.
     span = 1 << 64
-    limits = {r["lang"]: -(1 << 63) + min(span - 1, span * 2 * SAMPLE_ROWS // r["count"]) for r in counts}
-    table = labelled.sparkSession.createDataFrame(sorted(limits.items()), "lang string, most long")  # a row a language
-    rows = labelled.select(h.alias("h"), lang.alias("lang"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text")).filter("text is not null")
-    chosen = rows.join(F.broadcast(table), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    samples = []
-    for name in sorted(limits):
-        own = sorted((r.h, r.text) for r in chosen if r.lang == name)[:SAMPLE_ROWS]
-        text, room = [], SAMPLE_CHARS
-        for _, t in own:
-            text.append(t[:room])
-            room -= len(text[-1])
-            if room <= 0:
-                break
-        samples.append((name, "\n".join(text)))
-    return tuple(samples)
-
-
-def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    limits = {r.lang: -(1 << 63) + min(span - 1, span * 3 * wanted // r.fit) for r in counts if r.fit}
+    chosen = []
+    if limits:
+        table = labelled.sparkSession.createDataFrame(sorted(limits.items()), "lang string, most long")  # LANGUAGES rows at most
+        chosen = rows.filter("short").join(F.broadcast(table), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    if missing := [r.lang for r in counts if not any(c.lang == r.lang for c in chosen)]:
+        # Only long texts, or none with so low a hash: the shortest one, then the lowest hash.
+        chosen += rows.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct(F.length("text").alias("size"), "h", "text")).alias("best")).select("lang", "best.h", "best.text").collect()
+    return tuple((name, tuple(t for _, t in sorted((c.h, c.text) for c in chosen if c.lang == name)[:wanted])) for name in sorted(r.lang for r in counts))
+
+
+def predict(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """id, the columns of ``extra``, lang_pred and score for every whole text.
 
     Defined results: ``und`` with score 0 for a null text, a text without a letter, or where no
     language was learned; equal costs go to the language first in the alphabet; repeated rows each
     get their row; an empty table gives an empty result; other columns are not read.
     """
-    source = docs.select(F.col(id_col), *(c.alias(n) for n, c in (extra or {}).items()), text_or_empty(text_col).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", lang_pred string, score double"
+    source = docs.select(F.struct(F.col(id_col).alias("id"), *(c.alias(f"c{k}") for k, c in enumerate((extra or {}).values()))).alias("kept"), text_or_empty(text_col).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = _languages(samples)
         for batch in it:
-            got = [languages.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
-            )
+            got = languages.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["kept", "lang_pred", "score"])
 
-    return source.mapInArrow(run, ddl)
+    told = source.mapInArrow(run, f"kept {source.schema['kept'].dataType.simpleString()}, lang_pred string, score double")
+    return told.select(F.col("kept.id").alias(id_col), *(F.col(f"kept.c{k}").alias(n) for k, n in enumerate(extra or {})), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
