@@ -1,14 +1,16 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A text is compared as a whole, by paragraph, by line and by sentence, since a notice may be all of a
-text or one line of it. Two sets of ``a`` and ``b`` bigrams can only reach a coefficient ``t`` if
-``a * t / (2 - t) <= b <= a * (2 - t) / t``; templates outside these bounds are never compared.
+Texts are normalised to lower-case words, so line breaks, comment marks and punctuation don't part a
+licence. Any run of consecutive words may be the licence, at any place of a text. Two sets of ``a``
+and ``b`` bigrams can only reach a coefficient ``t`` if ``a * t / (2 - t) <= b <= a * (2 - t) / t``:
+templates whose bigrams a text lacks are never compared, and runs are tried within these sizes only.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -148,8 +150,6 @@ TEMPLATES = (
 )
 
 _WORD = re.compile(r"[a-z0-9]+")
-_PARAGRAPH = re.compile(r"\n[ \t]*\n")
-_SENTENCE = re.compile(r"[.!?;][ \t]+")
 
 
 def words(text: str) -> list[str]:
@@ -165,64 +165,56 @@ def dice(a: set, b: set) -> float:
 
 
 class Templates:
-    """Templates by number of bigrams, so that the bounds are one slice."""
-
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
-        made = sorted((len(b), key, b) for key, b in ((k, bigrams(words(t))) for k, t in templates) if b)
-        self.sizes = [size for size, _, _ in made]
-        self.keys = [key for _, key, _ in made]
-        self.sets = [b for _, _, b in made]
-        self.vocabulary = {w for b in self.sets for pair in b for w in pair}
-        self.known = set().union(*self.sets)
+        made = [(key, b) for key, b in ((k, bigrams(words(t))) for k, t in templates) if b]
+        self.keys, self.sets = [key for key, _ in made], [b for _, b in made]
         self.threshold = threshold
-        self.low, self.high = threshold / (2 - threshold), (2 - threshold) / threshold
-
-    def best(self, tokens: list[str]) -> tuple[float, str] | None:
-        """The highest coefficient of at least the threshold and its template; ties by name."""
-        n = len(tokens) - 1
-        if n < 1 or not self.sizes or n < self.sizes[0] * self.low - 1e-9:
-            return None
-        own = bigrams(tokens)
-        if len(own & self.known) < len(own) * self.low - 1e-9:  # a template at the threshold shares as many
-            return None
-        first, last = bisect_left(self.sizes, len(own) * self.low - 1e-9), bisect_right(self.sizes, len(own) * self.high + 1e-9)
-        found = None
-        for k in range(first, last):
-            d = dice(own, self.sets[k])
-            if d >= self.threshold and (found is None or (-d, self.keys[k]) < (-found[0], found[1])):
-                found = d, self.keys[k]
-        return found
-
-    def unlikely(self, tokens: list[str]) -> bool:
-        """Too many distinct words that no template has: each costs a bigram of its own."""
-        distinct = set(tokens)
-        strange = len(distinct) - len(distinct & self.vocabulary)
-        return strange > (1 - self.low) * len(tokens) + 1
+        self.least = [math.ceil(len(b) * threshold / (2 - threshold) - 1e-9) for b in self.sets]
+        self.most = [math.floor(len(b) * (2 - threshold) / threshold + 1e-9) for b in self.sets]
+        self.owners: dict[tuple[str, str], list[int]] = {}
+        for k, b in enumerate(self.sets):
+            for pair in b:
+                self.owners.setdefault(pair, []).append(k)
+        self.known = frozenset(self.owners)
 
     def scan(self, text: str) -> tuple[str | None, float]:
-        found: tuple[float, str] | None = None
-        whole: list[str] = []
-        for paragraph in _PARAGRAPH.split(text):
-            of_paragraph: list[str] = []
-            for line in paragraph.split("\n"):
-                parts = [words(s) for s in _SENTENCE.split(line)]
-                of_line = [w for p in parts for w in p]
-                of_paragraph += of_line
-                if len(parts) > 1:
-                    found = self._better(found, *parts)
-                found = self._better(found, of_line)
-            whole += of_paragraph
-            found = self._better(found, of_paragraph)
-        found = self._better(found, whole)
-        return (found[1], found[0]) if found else (None, 0.0)
-
-    def _better(self, found: tuple[float, str] | None, *units: list[str]) -> tuple[float, str] | None:
-        for tokens in units:
-            if tokens and not self.unlikely(tokens):
-                got = self.best(tokens)
-                if got and (found is None or (-got[0], got[1]) < (-found[0], found[1])):
-                    found = got
-        return found
+        """The licence and coefficient of the run that explains most: by shared bigrams times coefficient, then coefficient, then name."""
+        tokens = words(text)
+        pairs = list(zip(tokens, tokens[1:]))  # noqa: B905
+        present = self.known.intersection(pairs)
+        shared = Counter(k for pair in present for k in self.owners[pair])
+        best: tuple[float, float, str] | None = None
+        places: list[int] | None = None
+        for k in [k for k, n in shared.items() if n >= self.least[k]]:
+            places = places if places is not None else [i for i, pair in enumerate(pairs) if pair in present]
+            found = self._runs(pairs, [i for i in places if pairs[i] in self.sets[k]], k)
+            if found and (best is None or (-found[0], -found[1], self.keys[k]) < (-best[0], -best[1], best[2])):
+                best = *found, self.keys[k]
+        return (best[2], best[1]) if best else (None, 0.0)
+
+    def _runs(self, pairs: list[tuple[str, str]], hits: list[int], k: int) -> tuple[float, float] | None:
+        """The best runs begin and end with a bigram of the template: other ends only add to the run."""
+        size, least, most = len(self.sets[k]), self.least[k], self.most[k]
+        best = None
+        for first, start in enumerate(hits):
+            if first + least > len(hits) or hits[first + least - 1] >= start + most:
+                continue  # too few hits within the largest run
+            own: set[tuple[str, str]] = set()
+            common: set[tuple[str, str]] = set()
+            done = start
+            for at in range(first, len(hits)):
+                end = hits[at]
+                if end >= start + most:
+                    break
+                own.update(pairs[done : end + 1])
+                common.add(pairs[end])
+                done = end + 1
+                x = len(common)
+                if x >= least and 2 * x >= self.threshold * (len(own) + size) - 1e-9:
+                    d = 2.0 * x / (len(own) + size)
+                    if best is None or (x * d, d) > best:
+                        best = x * d, d
+        return best
 
 
 @lru_cache(maxsize=4)
@@ -231,10 +223,13 @@ def _templates(templates: tuple[tuple[str, str], ...], threshold: float) -> Temp
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license and dice of every whole text: its closest template of at least the threshold.
+    """id, license and dice of every whole text: of all runs of words that reach the threshold with a template, the one that explains most.
+
+    That is the one with the most shared bigrams times coefficient: a licence's full text comes
+    before a part of it that another licence shares, and before a mention of another one.
 
-    Defined results: license is null and dice 0 without such a template, as for a null or empty
-    text; of equal coefficients the name first in the alphabet wins; repeated rows each get their
+    Defined results: license is null and dice 0 without such a run, as for a null or empty
+    text; of equal ones the name first in the alphabet wins; repeated rows each get their
     row; an empty table gives an empty result; other columns are not read.
     """
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text"))
@@ -258,22 +253,21 @@ SQL = f"""
 WITH template(license, body) AS (VALUES
 {_VALUES}),
 doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-line AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM doc),
-unit AS (
-  SELECT r, text AS unit FROM doc
-  UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) FROM doc
-  UNION ALL SELECT r, unit FROM line
-  UNION ALL SELECT r, unnest(regexp_split_to_array(unit, '[.!?;][ \\t]+')) FROM line),
-worded AS (SELECT DISTINCT r, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM unit),
-own AS (
-  SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM worded WHERE len(w) BETWEEN 2 AND 400),
+worded AS (SELECT r, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM doc),
+own AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) >= 2),
 known AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  SELECT row_number() OVER () AS k, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM (SELECT license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM template)),
-scored AS (
-  SELECT r, license, 2.0 * len(list_intersect(own.b, known.b)) / (len(own.b) + len(known.b)) AS dice
-  FROM own JOIN known ON len(list_intersect(own.b, known.b)) * 2.0 >= {THRESHOLD} * (len(own.b) + len(known.b))),
-best AS (SELECT r, license, dice FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, license) = 1)
+part AS (SELECT k, len(b) AS size, unnest(b) AS gram FROM known),
+hit AS (SELECT r, k, size, gram, p FROM (SELECT r, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS p FROM own) JOIN part USING (gram)),
+likely AS (SELECT r, k FROM hit GROUP BY r, k HAVING count(DISTINCT gram) >= any_value(size) * {THRESHOLD / (2 - THRESHOLD)} - 1e-9),
+run AS (
+  SELECT a.r, a.k, a.p AS first, z.p AS last FROM hit a JOIN likely USING (r, k) JOIN hit z ON a.r = z.r AND a.k = z.k
+  AND z.p - a.p + 1 BETWEEN a.size * {THRESHOLD / (2 - THRESHOLD)} - 1e-9 AND a.size * {(2 - THRESHOLD) / THRESHOLD} + 1e-9),
+counted AS (
+  SELECT r, license, len(b) AS size, len(list_distinct(g[first:last])) AS n, len(list_intersect(list_distinct(g[first:last]), b)) AS x
+  FROM run JOIN own USING (r) JOIN known USING (k)),
+scored AS (SELECT r, license, x, 2.0::DOUBLE * x / (n + size) AS dice FROM counted WHERE 2 * x >= {THRESHOLD} * (n + size) - 1e-9),
+best AS (SELECT r, license, dice FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY x * dice DESC, dice DESC, license) = 1)
 SELECT doc_id, license, coalesce(round(CAST(dice AS DOUBLE), 6), 0.0) AS dice FROM doc LEFT JOIN best USING (r)
 """
