@@ -3,8 +3,9 @@
 One pass over the texts finds the base entities and every other number, of one or several tokens,
 each with the words around it. The base entities are seeds. Over the small table of mentions, Spark
 then scores the graph between lexical patterns (the words around, whatever stands between them) and
-instances (the values): a pattern is as sure as the mean score of its distinct instances, an
-instance as sure as its best pattern. Sure patterns turn their unseen instances into new seeds, and
+instances (the values): a pattern is as sure as the scores of its distinct instances add up to, out
+of their number and a little more, so that few instances don't make one sure; an instance is as sure
+as its best pattern. Sure patterns turn their unseen instances into new seeds, and
 the next round scores again.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,14 +35,19 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: A run of tokens with digits is a possible identifier from this many digits on.
 LEAST_DIGITS = 5
-#: What makes a pattern sure: mean score of its distinct instances, and seeds among them.
-SURE = 0.8
-LEAST_SEEDS = 3
+#: Longer words of a context are told by their digest.
+LONGEST_WORD = 64
+#: What makes a pattern sure: the share of its distinct instances that are known, with as many unknown
+#: ones added as support, and at least so many seeds among them.
+SURE = 0.6
+SUPPORT = 2
+LEAST_SEEDS = 5
 
 #: Tokens with digits that only blanks part; a token that ends a clause ends the run.
 _TOKEN = re.compile(r"(?<!\S)\S*[0-9]\S*")
 _TOKENS = re.compile(_TOKEN.pattern + r"(?:(?<![.,;:!?])[\x20\t]+\S*[0-9]\S*)*")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -85,27 +92,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _word(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalpha())
-
-
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The two words before; the word before and the word after."""
-    before = [w for w in map(_word, text[max(0, start - 200) : start].split()) if w][-2:]
-    after = [w for w in map(_word, text[end : end + 100].split()) if w][:1]
-    out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
-    return out
+class Words:
+    """The runs of letters of a text, for the contexts of its mentions; found when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans: list[tuple[int, int]] | None = None
+        self.known: dict[tuple[int, int], str] = {}
+
+    def word(self, start: int, end: int) -> str:
+        """In lower case; long ones by their digest, so that many mentions beside one cost no more than beside a short one."""
+        found = self.known.get((start, end))
+        if found is None:
+            found = self.text[start:end].lower()
+            found = self.known[start, end] = found if len(found) <= LONGEST_WORD else _digest(found)
+        return found
+
+    def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """The two words before and the one after a mention, which may begin or end within a word."""
+        if self.spans is None:
+            self.spans = [m.span() for m in _LETTERS.finditer(self.text)]
+        k = bisect_left(self.spans, (start, 0))
+        before = [self.word(s, min(e, start)) for s, e in self.spans[max(0, k - 2) : k]]
+        k = max(0, bisect_left(self.spans, (end, 0)) - 1)
+        after = [self.word(max(s, end), e) for s, e in self.spans[k : k + 2] if e > end][:1]
+        return before, after
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The two words before; the word before and the word after."""
+        before, after = self.around(start, end)
+        out = []
+        if len(before) == 2:
+            out.append(f"{before[0]} {before[1]} _")
+        if before and after:
+            out.append(f"{before[-1]} _ {after[0]}")
+        return out
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, int, int, str, list[str]]]:
     """(kind, start, end, digest of the value, patterns) of base entities and, without a kind, of other possible identifiers."""
-    taken = sorted((s, e) for _, s, e in base)
+    taken, known = sorted((s, e) for _, s, e in base), Words(text)
     for kind, s, e in base:
-        yield kind, s, e, _digest(text[s:e]), patterns(text, s, e)
+        yield kind, s, e, _digest(text[s:e]), known.patterns(s, e)
     free = lambda s, e, k: not any(a < e and s < b for a, b in taken[k : k + 4])
     k = 0
     for m in _TOKENS.finditer(text):
@@ -122,7 +150,7 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str
             while k < len(taken) and taken[k][1] <= s:
                 k += 1
             if inner and free(s, e, k):
-                yield None, s, e, _digest(inner), patterns(text, s, e)
+                yield None, s, e, _digest(inner), known.patterns(s, e)
 
 
 def _digest(value: str) -> str:
@@ -163,23 +191,23 @@ def bootstrap(seen: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(seen.select("pattern", "value").distinct(), "edges")
     seeds = scratch.table(seen.filter("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "instances-0")
     sizes = scratch.table(edges.groupBy("pattern").agg(F.count("*").alias("size")), "sizes")
-    # Scores, and with them what is sure, only ever rise: rounds end once none does, to six places.
+    # Scores, to six places, only ever rise, and so does what is sure: rounds end once their sum stays.
     scores, before = seeds, None
     for k in itertools.count(1):
         known = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("seeds"))
-        sure = known.join(sizes, "pattern").withColumn("sureness", F.col("sum") / F.col("size")).filter((F.col("sureness") >= SURE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "kind", "sureness")
+        sure = known.join(sizes, "pattern").withColumn("sureness", F.col("sum") / (F.col("size") + SUPPORT)).filter((F.col("sureness") >= SURE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "kind", "sureness")
         sure = scratch.table(sure, f"patterns-{k}")
-        found = edges.join(sure, "pattern").groupBy("value", "kind").agg(F.max("sureness").alias("score"))
+        found = edges.join(sure, "pattern").groupBy("value", "kind").agg(F.round(F.max("sureness"), 6).alias("score"))
         found = found.join(seeds.select("value"), "value", "left_anti").select("value", "kind", "score")
         scores = scratch.table(seeds.unionByName(found), f"instances-{k}")
-        now = scores.agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("sum")).first(), sure.count()
+        now = scores.agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("sum")).first()
         if now == before:
             break
         before = now
         scratch.drop(f"patterns-{k}", *([f"instances-{k - 1}"] if k > 1 else []))
     # A value that two kinds claim goes to the one that is surer, then first in the list.
     order = F.expr("array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), kind)")
-    best = scores.filter("score < 1.0").join(seeds.select("value"), "value", "left_anti")
+    best = scores.join(seeds.select("value"), "value", "left_anti")
     return best.groupBy("value").agg(F.max_by("kind", F.struct("score", -order)).alias("kind"))
 
 
@@ -200,7 +228,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     found = bootstrap(each.select("kind", "value", F.explode("patterns").alias("pattern")), scratch)
     added = each.filter("kind is null").drop("kind").join(found, "value")
-    added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    added = scratch.table(added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")), "added")
+    scratch.keep("rows", "added")
     listed = rows.select("row", F.col("id").cast(id_type).alias(id_col), *(f"n_{k}" for k in KINDS), "base").join(added, "row", "left")
     extra = F.coalesce("added", F.expr("array()").cast("array<struct<kind:string,start:int,end:int>>"))
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[0].alias("kind"), F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end")))
