@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, text_or_empty
+from .common import Scratch, components, read, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -445,31 +445,6 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(("a", "b", "n"), out)
 
 
-def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(row, root): the smallest row of each connected component, by alternating large and small stars.
-
-    Every round joins each row's neighbours to the smallest of them; the number of rounds grows with
-    the logarithm of the longest path.
-    """
-    now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-0")
-    k = 0
-    while True:
-        # Done when every row has one link and none leads to a row that has a link itself.
-        state = now.agg(F.count("*").alias("n"), F.count_distinct("a").alias("rows")).first()
-        if state.n == state.rows and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            return now.select(F.col("a").alias("row"), F.col("b").alias("root"))
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), f"{label}-low-{k}")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = scratch.table(large, f"{label}-large-{k}")
-        least = scratch.table(large.groupBy("a").agg(F.min("b").alias("low")), f"{label}-least-{k}")
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b")))
-        now = scratch.table(small.filter("a <> b").distinct(), f"{label}-{k + 1}")
-        scratch.drop(f"{label}-{k}", f"{label}-low-{k}", f"{label}-large-{k}", f"{label}-least-{k}")
-        k += 1
-
-
 def candidate_links(signs: DataFrame, scratch: Scratch, target_recall: float) -> DataFrame:
     """Links (a, b) that connect all sets that some run leaves together in a bucket."""
     runs = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - RUN_RECALL)))
