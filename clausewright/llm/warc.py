@@ -7,8 +7,11 @@ stored once: later ones become revisit records that name the stored one.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -17,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, read
+from .common import Scratch, batches, read, small
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -51,19 +54,19 @@ def _urn(id_: str) -> str:
 
 
 def _from_urn(urn: str | None) -> str | None:
-    from urllib.parse import unquote
-
-    return unquote(urn[len("<urn:page:") : -1]) if urn else None
+    return unquote(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
 
 
 def record(id_: str | None, url: str | None, payload: bytes, n_bytes: int, digest: str, refers_to: str | None, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit keeps the HTTP head, with the payload's length, and no payload."""
+    """One WARC/1.1 record; a revisit keeps the HTTP head, with the payload's length, and no payload.
+
+    A page without id gets a record id of its own, which names no page.
+    """
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
-    if id_ is not None:
-        head.append(f"WARC-Record-ID: {_urn(id_)}")
+    head.append(f"WARC-Record-ID: {_urn(id_) if id_ is not None else f'<urn:uuid:{uuid.uuid4()}>'}")
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(" " if ord(c) < 32 else c for c in url).strip())
     if revisit:
@@ -73,18 +76,26 @@ def record(id_: str | None, url: str | None, payload: bytes, n_bytes: int, diges
 
 
 def parse(data: bytes) -> tuple:
-    """The fields of ``_RECORDS`` from one record's bytes."""
+    """The fields of ``_RECORDS`` from one record's bytes.
+
+    Length and digest of a stored payload are those of the payload as read; if the headers say
+    otherwise the archive is damaged. A revisit has but its headers.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    kind = fields["WARC-Type"]
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if kind == "response":
+        told, (length, digest) = (length, digest), (len(payload), hashlib.sha256(payload).hexdigest())
+        if told != (length, digest):
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} has {length} bytes and digest {digest}, not {told[0]} and {told[1]}")
     return (
-        _from_urn(fields.get("WARC-Record-ID")),
+        _from_urn(fields["WARC-Record-ID"]),
         kind,
         length,
-        fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+        digest,
         _from_urn(fields.get("WARC-Refers-To")),
         fields.get("WARC-Target-URI"),
         payload if kind == "response" else None,
@@ -142,8 +153,15 @@ def unarchive(stream) -> Iterator[bytes]:
         rest = rest or stream.read(1 << 20)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's full URI as Spark understands it: without a scheme it is in the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    scheme, _, rest = uri.partition(":")
+    return pa.fs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -152,19 +170,24 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Only archives named in the result count. A task that is run again writes under another name.
 
     Defined results: a null html is an empty payload; a null url gives a record without target; a
-    null id gives a record without id, never referred to; rows that repeat the smallest id of a
+    null id gives a record that names no page and is never referred to; rows that repeat the smallest id of a
     payload are all stored; an empty table gives no archive; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "warc_keepers")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    shared = rows.filter(F.col("n_bytes") >= LEAST_SHARED_BYTES).groupBy("digest").agg(F.min("id").alias("keeper"), F.count("*").alias("k"))
+    long = F.col("n_bytes") >= LEAST_SHARED_BYTES
+    shared = rows.filter(long).groupBy("digest").agg(F.min("id").alias("keeper"), F.count("*").alias("k"))
     shared = scratch.table(shared.filter("k > 1").select("digest", "keeper"), "keepers")
-    rows = rows.join(shared, "digest", "left")
+    # Short payloads, the empty one above all, have no keeper and don't meet in the join.
+    short = rows.filter(~long).withColumn("keeper", F.lit(None).cast(pages.schema[id_col].dataType))
+    rows = rows.filter(long).join(small(shared, "digest"), "digest", "left").select(short.columns).unionByName(short)
     refers = F.when(~F.col("keeper").eqNullSafe(F.col("id")), F.col("keeper")).cast("string")
     rows = rows.select(F.col("id").cast("string"), "url", "payload", "n_bytes", "digest", refers.alias("refers_to"))
     rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
+    folder = qualified(pages.sparkSession, folder)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)

@@ -1,33 +1,69 @@
 import hashlib
 import io
 import re
+from collections import Counter
 
 import pytest
 import zstandard
-from clausewright.llm import decontaminate, warc
+from clausewright.llm import common, decontaminate, warc
 from clausewright.llm.common import Scratch
 
 
-def shingles(text):
+def shingles(text, k=5):
     w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def brute_contamination(docs, items):
+    """Counts of (doc_id, item_id, n_shared, n_shingles), row by row."""
+    out = Counter()
+    for item, text in items:
+        k = min(5, len(re.findall(r"[^\W_]+", (text or "").lower())))
+        s = shingles(text, k) if k else set()
+        for doc, whole in docs:
+            have = len(s & shingles(whole, k)) if s else 0
+            if s and have >= 0.8 * len(s) - 1e-9:
+                out[doc, item, have, len(s)] += 1
+    return out
 
 
 def test_contamination_matches_brute_force(spark, documents):
     rows = documents.collect()
     long = next(r.text for r in rows if r.text and len(r.text.split()) > 5000).split()
-    items = [(1, " ".join(long[100:140])), (2, " ".join(long[300:330]).upper()), (3, " ".join([*long[500:540], "not", "there"])), (4, " ".join([*long[600:612], *["absent"] * 9])), (5, "too short"), (6, None), (7, ""), (None, rows[0].text), (1, " ".join(long[100:140]))]
-    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.find_contamination(documents, spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")).collect()}
-    docs = {}
-    for r in rows:
-        docs.setdefault(r.doc_id, set()).update(shingles(r.text))
-    wanted = {}
-    for item, text in items:
-        s = shingles(text)
-        for doc, have in docs.items():
-            if s and len(s & have) >= 0.8 * len(s):
-                wanted[doc, item] = round(len(s & have) / len(s), 6)
-    assert got == wanted and len(wanted) >= 3
+    items = [(1, " ".join(long[100:140])), (2, " ".join(long[300:330]).upper()), (3, " ".join([*long[500:540], "not", "there"])), (4, " ".join([*long[600:612], *["absent"] * 9])), (5, "too short"), (6, None), (7, ""), (None, rows[0].text), (1, " ".join(long[100:140])), (8, "two three four"), (9, long[0]), (10, " ".join(long[1000:5000])), (None, None)]
+    got = decontaminate.find_contamination(documents, spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")).collect()
+    want = brute_contamination([(r.doc_id, r.text) for r in rows], items)
+    assert Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got) == want
+    assert {i for _, i, _, _ in want} == {1, 2, 3, 8, 9, 10, None}
+
+
+def test_short_items_are_found(spark):
+    docs = spark.createDataFrame([(1, "say four short words here and more"), (2, "four short words apart here"), (3, "four short words here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Four short words here")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_contamination(docs, items).collect()) == [1, 3]
+
+
+def test_rows_with_null_or_equal_ids_are_apart(spark):
+    """An item whose shingles are spread over rows of one id is in none of them."""
+    docs = spark.createDataFrame([(None, "one two three four five"), (None, "two three four five six"), (7, "one two three four five"), (7, "two three four five six"), (7, "zero one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert [(r.doc_id, r.n_shared) for r in decontaminate.find_contamination(docs, items).collect()] == [(7, 2)]
+
+
+@pytest.mark.parametrize("bound", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_contamination_without_broadcasts(spark, documents, monkeypatch, bound):
+    rows = documents.collect()
+    items = [(k, r.text) for k, r in enumerate(rows[:30])]
+    monkeypatch.setattr(common, bound, -1)
+    got = decontaminate.find_contamination(documents, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got) == brute_contamination([(r.doc_id, r.text) for r in rows], items)
+
+
+def test_documents_keep_only_hashes_that_an_item_of_their_size_can_reach(spark):
+    sketches = spark.createDataFrame([(10, 5), (12, 90), (100, 7)], "n_shingles long, h long")
+    bounds = decontaminate.signature_bounds(sketches, 0.8)
+    assert bounds[:3] == [None] * 3 and bounds[3:6] == [90] * 3 and bounds[6:] == [90] * 26
+    assert decontaminate.signature_bounds(sketches.filter("n_shingles = 100"), 0.8)[5:8] == [None, 7, 7]
 
 
 def test_contamination_of_nothing(spark, documents, no_documents):
@@ -76,6 +112,24 @@ def test_archive_format():
         zstandard.ZstdDecompressor().decompressobj().decompress(data[8 + size :])
 
 
+def test_damaged_payloads_are_noticed():
+    good = warc.record("1", "u", b"<html>", 6, hashlib.sha256(b"<html>").hexdigest(), None, "2024-01-01T00:00:00Z")
+    assert warc.parse(good)[:4] == ("1", "response", 6, hashlib.sha256(b"<html>").hexdigest())
+    for bad in (good.replace(b"<html>", b"<htmm>"), good.replace(b"<html>", b"<htm>\r")):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+
+
+def test_records_without_page_have_an_id():
+    data = warc.record(None, None, b"", 0, hashlib.sha256(b"").hexdigest(), None, "2024-01-01T00:00:00Z")
+    assert b"WARC-Record-ID: <urn:uuid:" in data and warc.parse(data)[0] is None
+
+
+def test_folders_are_resolved_as_spark_does(spark, tmp_path):
+    assert warc.qualified(spark, f"{tmp_path}/a") == f"file:{tmp_path}/a"
+    assert warc._filesystem(f"file:{tmp_path}/a")[1] == warc._filesystem(f"file://{tmp_path}/a")[1] == f"{tmp_path}/a"
+
+
 def test_archives_of_nothing(spark):
     scratch = Scratch(spark, "test_warc")
     none = spark.createDataFrame([], "page_id long, url string, html string")
