@@ -2,6 +2,7 @@
 
 import decimal
 import math
+import sys
 
 import duckdb
 import pytest
@@ -40,3 +41,13 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("missing", ["clausewright.llm", "corpus_pipeline", "zstandard"])
+def test_the_engine_works_without_what_is_optional(monkeypatch, missing):
+    for name in [m for m in sys.modules if m == missing or m.startswith(("clausewright.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    with pytest.warns(UserWarning):
+        made, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(plans.QUERIES) <= set(made) and set(plans.SQL) <= set(sql) and "pipeline" not in made
