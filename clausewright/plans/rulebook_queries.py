@@ -14,7 +14,7 @@ from ..operators import align as A
 from ..operators import context, mining
 from ..sources import office
 from ..sources.store import Store, shared_folder
-from . import views
+from . import service, views
 from .queries import _CENTROID, _FINDINGS_SQL, _LONG, _RULES, _field_values, _rule_rows, conversation_clauses, conversation_contexts, findings, op, query, r6, read
 
 # ---------------------------------------------------------------- store
@@ -24,7 +24,7 @@ def _store(spark) -> Store:
     return Store(spark, shared_folder(spark, "store"))
 
 
-@query("""SELECT r_name AS name, CASE WHEN r_regionkey = 2 THEN 'described later' ELSE 'region ' || r_regionkey END AS description, 'draft' AS status, 1 AS version FROM region""")
+@query("""SELECT r_name AS name, CASE WHEN r_regionkey = 2 THEN 'described later' ELSE 'region ' || r_regionkey END AS description, 'draft' AS status, CASE WHEN r_regionkey = 2 THEN 2 ELSE 1 END AS version FROM region""")
 def store_policies(spark, sf_dir):
     """A policy a region, created one by one, one of them described again, listed by status."""
     store = _store(spark)
@@ -376,3 +376,47 @@ SELECT field, k AS distinct_values, CASE WHEN k <= 12 THEN string_agg(value, ','
 def field_enums(spark, sf_dir):
     """The values of fields that have twelve at most."""
     return views.field_enums(_field_values(spark, sf_dir), "field", "value").withColumn("enum_values", F.array_join("enum_values", ","))
+
+
+# ---------------------------------------------------------------- application calls
+
+
+@query("""WITH a AS (SELECT conv_id AS agreement_id, max(CASE WHEN turn = 0 THEN 1 END) IS NOT NULL AS first_turn FROM conversations GROUP BY 1),
+r AS (SELECT unnest(['Length :: First', 'Length :: Other', 'Length :: Either']) AS title)
+SELECT agreement_id::VARCHAR AS agreement_id, title, CASE WHEN title <> 'Length :: Other' AND first_turn THEN 'pass' ELSE 'fail' END AS outcome, '3 rules from rules.xlsx' AS description FROM a, r""")
+def import_run_record(spark, sf_dir):
+    """A rulebook imported, activated, run over all conversations, and its findings read from the store."""
+    rows = [["Topic", "Subtopic", "Prompt Question", "Answer Type", "Deployment Logic"]]
+    rows += [["Length", name, "Is it there?", "Yes; No", f"IF {logic} IS SET --> Answer = Yes"] for name, logic in (("First", "first_turn"), ("Other", "second_turn"), ("Either", "second_turn OR first_turn"))]
+    path = shared_folder(spark, "service") + "/rules.xlsx"
+    office.write_workbook(spark, path, {"Rules": rows})
+    store = _store(spark)
+    policy_id = service.import_policy(store, path, "Lengths", "2024-01-01")
+    store.set_status(store.rules(policy_id), "active", "2024-01-02")
+    found = service.run(store, policy_id, conversation_contexts(spark, sf_dir), "run", "2024-01-03")
+    named = found.join(store.rules(policy_id).select("rule_id", "title"), "rule_id")
+    return named.join(service.policy(store, policy_id).select("description"), F.lit(True)).select("agreement_id", "title", "outcome", "description")  # one policy
+
+
+@query("""SELECT conv_id AS agreement_id, row_number() OVER (ORDER BY turn) - 1 AS place, conv_id || ':' || turn AS id, role AS label, text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)""")
+def contract_view(spark, sf_dir):
+    contexts = conversation_contexts(spark, sf_dir)
+    return views.contract(contexts, contexts.agg(F.min("agreement_id")).first()[0])
+
+
+@query(f"""WITH {_LONG}, f AS (SELECT field, count(value) AS n, count(DISTINCT doc_id) FILTER (value IS NOT NULL) AS have FROM v WHERE field IN ('quality', 'toxic') GROUP BY 1),
+c AS (SELECT field, value, count(*) AS c FROM v WHERE value IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY c DESC, value) AS place FROM c)
+SELECT f.field AS field_id, n, round(have * 100.0 / (SELECT count(DISTINCT doc_id) FROM documents), 6) AS coverage_pct, string_agg(t.value, ',' ORDER BY place) AS examples FROM f JOIN t ON f.field = t.field AND place <= 5 GROUP BY 1, 2, 3""")
+def cluster_fields(spark, sf_dir):
+    """The fields that come from labels, as one cluster's."""
+    v = _field_values(spark, sf_dir).filter("value is not null").select(F.col("field").alias("field_id"), F.col("doc_id").alias("agreement_id"), "value")
+    fields = spark.createDataFrame([("quality", "labels"), ("toxic", "labels"), ("lang", "documents"), ("n_chars", "documents")], "field_id string, cluster_id string")
+    got = views.cluster_fields(fields, v, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("agreement_id")), "labels")
+    return got.select("field_id", "n", r6(F.col("coverage_pct")).alias("coverage_pct"), F.array_join("examples", ",").alias("examples"))
+
+
+@query(f"""WITH {_LONG}, b AS (SELECT field, count(*) AS n, list_sort(list(value::DOUBLE)) AS v, median(value::DOUBLE) AS median FROM v WHERE value IS NOT NULL AND field <> 'lang' GROUP BY 1)
+SELECT field, n, v[CAST(floor(0.1::DOUBLE * (n - 1)) AS BIGINT) + 1] AS lo, v[CAST(floor(0.9::DOUBLE * (n - 1)) AS BIGINT) + 1] AS hi, median FROM b""")
+def field_ranges(spark, sf_dir):
+    """Ranges of the fields that turn out to be numeric."""
+    return views.field_ranges(_field_values(spark, sf_dir), "field", "value")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import severity_rank
+from ..functions.ranks import quantile_band
+from ..functions.scalars import money, severity_rank
+from ..operators.mining import detect_types
 
 # What a review column holds beside its drafts.
 REVIEW_CONFIDENCE = 0.85
@@ -147,6 +149,25 @@ def field_enums(values: DataFrame, key: str, value: str, most: int = 12) -> Data
     return k.join(listed, key, "left")
 
 
+def contract(contexts: DataFrame, agreement_id) -> DataFrame:
+    """One agreement's clauses in order: agreement_id, place, id, label, text."""
+    one = contexts.filter(F.col("agreement_id") == agreement_id)
+    return one.select("agreement_id", F.posexplode("clauses").alias("place", "c")).select("agreement_id", "place", "c.id", "c.label", "c.text")
+
+
+def cluster_fields(fields: DataFrame, extractions: DataFrame, agreements: DataFrame, cluster) -> DataFrame:
+    """``field_rollup`` of the fields of one cluster. ``fields``: field_id, cluster_id."""
+    own = fields.filter(F.col("cluster_id") == cluster).select("field_id")
+    return field_rollup(own, extractions.join(own, "field_id", "left_semi"), agreements)
+
+
+def field_ranges(values: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, lo, hi, median of the fields whose values are numbers, amounts of money and percentages too."""
+    numeric = detect_types(values, key, value).filter("data_type = 'numeric'").select(key)
+    numbers = values.join(numeric, key, "left_semi").withColumn("__number", money(F.col(value)))
+    return quantile_band(numbers, [key], "__number")
+
+
 def redline(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Failed findings beside the language the rule prefers and who to ask."""
     r = rules.select("rule_id", "title", "preferred_language", F.col("escalation_owner").alias("owner"))

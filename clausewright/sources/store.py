@@ -73,13 +73,13 @@ class Store:
         return row.first().policy_id
 
     def describe(self, policy_id: str, description: str, at: str) -> None:
-        """A new row of the policy with another description; the latest row counts."""
-        now = self.policy(policy_id).withColumn("description", F.lit(description)).withColumn("updated_at", F.lit(at).cast("timestamp"))
+        """The policy's next version, a row with another description; the latest row counts."""
+        now = self.policy(policy_id).withColumn("description", F.lit(description)).withColumn("updated_at", F.lit(at).cast("timestamp")).withColumn("version", F.col("version") + 1)
         self.append("policies", now)
 
     def _latest(self) -> DataFrame:
         got = self.table("policies")
-        return got.groupBy("policy_id").agg(F.max_by(F.struct(*got.columns), "updated_at").alias("p")).select("p.*")
+        return got.groupBy("policy_id").agg(F.max_by(F.struct(*got.columns), F.struct("updated_at", "version")).alias("p")).select("p.*")
 
     def policy(self, policy_id: str) -> DataFrame:
         return self._latest().filter(F.col("policy_id") == policy_id)
