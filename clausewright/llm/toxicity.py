@@ -118,12 +118,29 @@ def _scales(positive: Rows, unlabelled: Rows, prior: float, size: int) -> np.nda
     return np.log((toxic + least) / (clean + least))
 
 
-def train(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the bias: Adam over mini-batches of the non-negative risk.
+def risk(positive: Rows, unlabelled: Rows, prior: float, w: np.ndarray) -> tuple[float, float]:
+    """``prior * R_p(+1)`` and the corrected ``R_u(-1) - prior * R_p(-1)``, for weights with the bias last.
 
-    The loss is the sigmoid one, ``l(+1) = 1 - g`` and ``l(-1) = g`` for the score ``g``; the result
-    is the mean over the later half of the epochs.
+    The loss is the sigmoid one: ``l(+1) = 1 - g`` and ``l(-1) = g`` for the score ``g``.
     """
+    gp, gu = _sigmoid(positive.dot(w) + w[-1]).mean(), _sigmoid(unlabelled.dot(w) + w[-1]).mean()
+    return prior * (1 - gp), gu - prior * gp
+
+
+def step(positive: Rows, unlabelled: Rows, prior: float, w: np.ndarray) -> np.ndarray:
+    """The gradient to go down along: of the whole risk or, where its corrected part is negative, of that part's negative."""
+    gp, gu = _sigmoid(positive.dot(w) + w[-1]), _sigmoid(unlabelled.dot(w) + w[-1])
+    slope_p, slope_u = gp * (1 - gp) / len(gp), gu * (1 - gu) / len(gu)
+    if gu.mean() - prior * gp.mean() < 0:  # the corrected risk can't be negative: step back up
+        to_p, to_u = prior * slope_p, -slope_u
+    else:
+        to_p, to_u = -2 * prior * slope_p, slope_u
+    size = len(w) - 1
+    return np.append(positive.spread(to_p, size) + unlabelled.spread(to_u, size), to_p.sum() + to_u.sum())
+
+
+def train(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the bias: Adam over mini-batches of the non-negative risk; the mean over the later half of the epochs."""
     if not len(positive) or not len(unlabelled):
         return np.zeros(BUCKETS), math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     used, seen = np.unique(np.concatenate([positive.columns, unlabelled.columns]), return_counts=True)
@@ -141,14 +158,7 @@ def train(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 60, rate
         for pi, ui in zip(ps, us, strict=True):
             if not len(pi) or not len(ui):
                 continue
-            p, u = positive.take(pi), unlabelled.take(ui)
-            gp, gu = _sigmoid(p.dot(w) + w[-1]), _sigmoid(u.dot(w) + w[-1])
-            slope_p, slope_u = gp * (1 - gp) / len(gp), gu * (1 - gu) / len(gu)
-            if gu.mean() - prior * gp.mean() < 0:  # the corrected risk can't be negative: step back up
-                to_p, to_u = prior * slope_p, -slope_u
-            else:
-                to_p, to_u = -2 * prior * slope_p, slope_u
-            grad = np.append(p.spread(to_p, size) + u.spread(to_u, size), to_p.sum() + to_u.sum())
+            grad = step(positive.take(pi), unlabelled.take(ui), prior, w)
             grad[:-1] += decay * w[:-1]
             t += 1
             m = 0.9 * m + 0.1 * grad
@@ -166,20 +176,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Trains on a bounded sample of confirmed toxic rows and of rows without a label.
 
     ``prior`` is the share of toxic texts; if not given, that of the labelled rows. Without toxic
-    rows or without unlabelled ones the model is the prior alone.
+    rows or without unlabelled ones the model is the prior alone. Of rows that repeat an id, or are
+    labelled more than once, one counts; toxic if any label says so.
     """
     h = F.xxhash64(F.col(id_col).cast("string"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     if prior is None:
         prior = marks.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0] or 0.0
     positive = marks.filter("y = 1").select("id").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(POSITIVE_ROWS)
-    unlabelled = docs.select(F.col(id_col).alias("id")).filter("id is not null").join(marks.select("id"), "id", "left_anti").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(UNLABELLED_ROWS)
-    chosen = [(r.id, True) for r in positive.collect()] + [(i, False) for i in dict.fromkeys(r.id for r in unlabelled.collect())]
+    unlabelled = docs.select(F.col(id_col).alias("id")).filter("id is not null").join(marks.select("id"), "id", "left_anti").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(UNLABELLED_ROWS)
+    chosen = [(r.id, True) for r in positive.collect()] + [(r.id, False) for r in unlabelled.collect()]
     id_type = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
     sample = spark.createDataFrame(chosen, f"id {id_type}, positive boolean")
     # At most POSITIVE_ROWS + UNLABELLED_ROWS rows of an id and a flag: safe to broadcast.
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").select("positive", "text")
+    # Of rows that repeat an id the smallest text counts, so that the sample keeps its bound.
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy("id", "positive").agg(F.min("text").alias("text")).select("positive", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import pytest
 from clausewright.llm import language_id as L
 from clausewright.llm import toxicity as T
 from pyspark.sql import functions as F
@@ -20,15 +23,54 @@ def speakers(spark, n=240):
 
 
 def test_longest_matches_of_the_automaton():
-    rng, words = random.Random(2), ["banana", "bandana", "ananas", "nab"]
-    a = L.SuffixAutomaton()
-    for w in words:
-        a.add(w)
-    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    rng, text = random.Random(2), b"banana bandana ananas nab"
+    a = L.SuffixAutomaton(text)
     for _ in range(500):
-        t = "".join(rng.choice("abnds") for _ in range(10))
+        t = bytes(rng.choice(b"abnds ") for _ in range(10))
         at = rng.randrange(10)
-        assert a.longest(t, at) == max((n for n in range(1, 11 - at) if t[at : at + n] in parts), default=0)
+        assert a.longest(t, at) == max((n for n in range(1, 11 - at) if t[at : at + n] in text), default=0)
+
+
+def brute_phrases(text, known):
+    n = at = 0
+    while at < len(text):
+        at += max([1, *(k for k in range(1, len(text) - at + 1) if text[at : at + k] in known)])
+        n += 1
+    return n
+
+
+def test_parses_match_brute_force(monkeypatch):
+    """Side by side and one by one, texts of all lengths, with bytes that no language has."""
+    rng = random.Random(4)
+    samples = tuple((lang, (speak(rng, lang, 40), speak(rng, lang, 25))) for lang in SYLLABLES)
+    known = {name: b"".join(map(L.normalised, texts)) for name, texts in samples}
+    texts = [speak(rng, rng.choice(list(SYLLABLES)), rng.randint(1, 30)) + rng.choice(["", " ж", " kabereau", " 12 x-ÿ"]) for _ in range(60)] + ["ж", speak(rng, "aa", 150), None, "", "1 2", "é"]
+    want = []
+    for t in texts:
+        norm = L.normalised(t or "")
+        costs = {name: brute_phrases(norm, k) * math.log2(max(L.LEAST_BYTES, len(k))) for name, k in known.items()}
+        want.append(min(costs, key=lambda n: (costs[n], n)) if norm else "und")
+    for few, side_by_side in ((0, 1 << 20), (96, 1 << 20), (10**6, 1 << 20), (12, 300)):
+        monkeypatch.setattr(L, "FEW", few)
+        monkeypatch.setattr(L, "SIDE_BY_SIDE", side_by_side)
+        languages = L.Languages(samples)
+        assert [g[0] for g in languages.predict(texts)] == want
+        some = [L.normalised(t) for t in texts if t and L.normalised(t)]
+        assert languages.phrases(some).T.tolist() == [[brute_phrases(t, known[n]) for n in languages.names] for t in some]
+    assert len(set(want)) == 4
+
+
+def test_samples_are_whole_texts_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 3)
+    monkeypatch.setattr(L, "SAMPLE_LONGEST", 100)
+    rng = random.Random(6)
+    rows = [(k, "x" * 90 + str(k), "aa") for k in range(50)] + [(100 + k, "y " * (200 + k), "bb") for k in range(9)] + [(200, None, "cc"), (201, "z", None)]
+    rng.shuffle(rows)
+    got = dict(L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(got) == {"aa", "bb"} and len(got["aa"]) == 3 and got["bb"] == ("y " * 200,)
+    assert set(got["aa"]) <= {t for _, t, _ in rows}
+    monkeypatch.setattr(L, "LANGUAGES", 1)
+    assert [name for name, _ in L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == ["aa"]
 
 
 def test_languages_are_told_on_the_held_out_fold(spark):
@@ -77,6 +119,50 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.05 * len(clean)
 
 
+def some_rows(rng, n, size, toxic):
+    columns = [np.array(sorted(rng.choice(size, 6, replace=False)) if not toxic else sorted(rng.choice(size // 2, 6, replace=False))) for _ in range(n)]
+    return T.Rows(columns, [rng.random(6) + 0.5 for _ in columns])
+
+
+@pytest.mark.parametrize("shift", [-2.0, 3.0])
+def test_the_step_is_the_gradient_of_the_risk(shift):
+    """Numerically, in both cases: the corrected part positive, and negative, where the step goes up along it."""
+    rng = np.random.default_rng(1)
+    positive, unlabelled = some_rows(rng, 40, 20, True), some_rows(rng, 60, 20, False)
+    w, prior = np.append(rng.normal(0, 0.5, 20) + (shift > 0) * np.repeat([1.0, -2.0], 10), shift if shift < 0 else 0.0), 0.2 if shift < 0 else 0.95
+    of_risk = lambda v: (lambda r: r[0] + r[1] if r[1] >= 0 else -r[1])(T.risk(positive, unlabelled, prior, v))
+    assert (T.risk(positive, unlabelled, prior, w)[1] < 0) == (shift > 0)
+    got = T.step(positive, unlabelled, prior, w)
+    for k in range(21):
+        up, down = w.copy(), w.copy()
+        up[k], down[k] = w[k] + 1e-6, w[k] - 1e-6
+        assert got[k] == pytest.approx((of_risk(up) - of_risk(down)) / 2e-6, abs=1e-6)
+
+
+def test_training_lowers_the_risk_below_that_of_its_start():
+    rng = np.random.default_rng(2)
+    positive = some_rows(rng, 300, 40, True)
+    mixed = [some_rows(rng, 1, 40, rng.random() < 0.2) for _ in range(1500)]
+    unlabelled = T.Rows([m.columns for m in mixed], [m.values for m in mixed])
+    whole = lambda w: sum(max(0.0, x) for x in T.risk(positive, unlabelled, 0.2, w))
+    at_start, bias = T.train(positive, unlabelled, 0.2, epochs=2, rate=0.0)
+    trained, trained_bias = T.train(positive, unlabelled, 0.2)
+    start, end = whole(np.append(at_start, bias)), whole(np.append(trained, trained_bias))
+    assert end < 0.8 * start
+    none, none_bias = T.train(T.Rows([], []), unlabelled, 0.2)
+    assert not none.any() and none_bias < 0
+
+
+def test_rows_that_repeat_an_id_are_one_of_the_sample(spark, monkeypatch):
+    docs, labels = toxic_corpus(spark, 200)
+    many = docs.unionByName(docs.filter("doc_id = 7").crossJoin(spark.range(50)).drop("id"))
+    seen = []
+    monkeypatch.setattr(T, "train", lambda p, u, prior: seen.append((len(p), len(u))))
+    T.learn(docs, labels)
+    T.learn(many, labels)
+    assert seen[0] == seen[1]
+
+
 def test_toxicity_without_labels(spark, documents, no_documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.score(no_documents, T.learn(no_documents, none)).collect() == []
