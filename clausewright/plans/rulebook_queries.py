@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import align as A
+from ..operators import associations as S
 from ..operators import context, mining
 from ..sources import office
 from ..sources.store import Store, shared_folder
 from . import service, views
-from .queries import _CENTROID, _FINDINGS_SQL, _LONG, _RULES, _field_values, _rule_rows, conversation_clauses, conversation_contexts, findings, op, query, r6, read
+from .queries import _CENTROID, _FINDINGS_SQL, _LONG, _RULES, _SPARSE, _field_values, _order_types, _rule_rows, conversation_clauses, conversation_contexts, findings, op, query, r6, read
 
 # ---------------------------------------------------------------- store
 
@@ -24,14 +25,16 @@ def _store(spark) -> Store:
     return Store(spark, shared_folder(spark, "store"))
 
 
-@query("""SELECT r_name AS name, CASE WHEN r_regionkey = 2 THEN 'described later' ELSE 'region ' || r_regionkey END AS description, 'draft' AS status, CASE WHEN r_regionkey = 2 THEN 2 ELSE 1 END AS version FROM region""")
+@query("""SELECT r_name AS name, CASE WHEN r_regionkey = 2 THEN 'described later' ELSE 'region ' || r_regionkey END AS description, 'draft' AS status, CASE WHEN r_regionkey = 2 THEN 2 ELSE 1 END AS version FROM region WHERE r_regionkey <> 4""")
 def store_policies(spark, sf_dir):
-    """A policy a region, created one by one, one of them described again, listed by status."""
+    """A policy a region, created one by one, one of them described again and one archived, listed without the latter."""
     store = _store(spark)
     made = {r.r_regionkey: store.create_policy(r.r_name, f"region {r.r_regionkey}", at="2024-01-01") for r in read(spark, sf_dir, "region").orderBy("r_regionkey").collect()}
     if 2 in made:
-        store.describe(made[2], "described later", "2024-01-02")
-    return store.policies("draft", archived=False).select("name", "description", "status", "version")
+        store.describe(made[2], "2024-01-02", "described later")
+    if 4 in made:
+        store.describe(made[4], "2024-01-03", status="archived")
+    return store.policies(archived=False).select("name", "description", "status", "version")
 
 
 def _stored_rules(spark, sf_dir) -> DataFrame:
@@ -107,6 +110,23 @@ def rules_yaml(spark, sf_dir):
     return store.import_yaml(folder).select("title", "predicate", "status", F.array_join("tags", ",").alias("tags"))
 
 
+@query(f"WITH {_STORED} SELECT title, status FROM s")
+def rules_json(spark, sf_dir):
+    """Rules exported as JSON and read again."""
+    folder = shared_folder(spark, "json")
+    _filled(spark, sf_dir).export_rules(folder, "p")
+    return spark.read.schema("title string, status string").json(folder)
+
+
+@query(_FINDINGS_SQL + "SELECT agreement_id::VARCHAR AS agreement_id, rule_id, severity, outcome FROM f WHERE outcome = 'fail'")
+def findings_csv(spark, sf_dir):
+    """A run's findings exported as CSV and read again."""
+    store, folder = _store(spark), shared_folder(spark, "csv")
+    store.record(findings(spark, sf_dir).filter("outcome = 'fail'").withColumn("run_id", F.lit("one")), "2024-01-01")
+    store.export_findings(folder, "one")
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(folder).select("agreement_id", "rule_id", "severity", "outcome")
+
+
 # ---------------------------------------------------------------- importers
 
 
@@ -165,6 +185,28 @@ def import_paired(spark, sf_dir):
     return office.import_rules(spark, path, "p").select("title", "nl_assertion", "reference_text", "walkaway_language", "similarity_threshold")
 
 
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name FROM nation)
+SELECT n_name, 1 AS branch, '{"op":"and","args":[{"op":"or","args":[{"op":"field.exists","args":["A_' || k || '"]},{"op":"field.exists","args":["B"]}]},{"op":"field.exists","args":["C"]}]}' AS predicate, 'Standard ' || k AS answer, false AS is_else FROM n
+UNION ALL SELECT n_name, 2, '{"op":"field.exists","args":["D"]}', 'Other', false FROM n WHERE k % 2 = 0
+UNION ALL SELECT n_name, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END, '{"op":"and","args":[]}', 'None', true FROM n""")
+def rule_logic_branches(spark, sf_dir):
+    """Logic texts with parentheses, wildcards, a line of another form and an Else branch."""
+    from ..sources.rule_logic import branches
+
+    k = F.col("n_nationkey").cast("string")
+    second = F.when(F.col("n_nationkey") % 2 == 0, "\n2) if D is set -> answer = Other").otherwise("\nsee the notes")
+    logic = F.concat(F.lit("1) IF (A_"), k, F.lit(":* OR B) AND C IS SET --> Answer = Standard "), k, second, F.lit("\nElse --> Answer = None"))
+    return branches(read(spark, sf_dir, "nation").select("n_name", logic.alias("logic")), "logic").drop("logic")
+
+
+@query("""SELECT n_name, 'if (not (' || n_name || ' = yes)) then ((cap between ' || n_nationkey || ' and ' || (n_nationkey + 10) || ') or (has clause ' || n_name || ') or (field.gte(cap, 5)))' AS text FROM nation""")
+def predicate_texts(spark, sf_dir):
+    """Trees as lines of text; a rulebook's worth, on the driver."""
+    tree = lambda n: op("if_then", op("not", op("field.eq", n.n_name, "yes")), op("any_of", op("field.between", "cap", n.n_nationkey, n.n_nationkey + 10), op("clause.classified_as", n.n_name), op("field.gte", "cap", 5)))
+    rows = [(n.n_name, P.describe(tree(n))) for n in read(spark, sf_dir, "nation").collect()]
+    return spark.createDataFrame(rows, "n_name string, text string")
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -240,6 +282,19 @@ def align_similarity_of_clauses(spark, sf_dir):
     return got.select("agreement_id", "outcome", r6(F.col("deviation")).alias("deviation"))
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), good AS (SELECT e AS g FROM e WHERE vec_id = 0), bad AS (SELECT e AS b FROM e WHERE vec_id = 1),
+s AS (SELECT vec_id, list_dot_product(e, g) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(g, g)) + 1e-9) AS near, list_dot_product(e, b) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(b, b)) + 1e-9) AS bad FROM e, good, bad),
+d AS (SELECT vec_id, least(2.0, greatest(0.0, 1 - near) + 0.5 * greatest(0.0, bad)) AS away FROM s)
+SELECT vec_id AS agreement_id, CASE WHEN away > 1 - 0.1::DOUBLE THEN 'fail' ELSE 'pass' END AS outcome, round(away, 6) AS deviation FROM d""")
+def align_walkaway(spark, sf_dir):
+    """A similarity rule that also counts nearness to an undesirable text against a clause."""
+    e = read(spark, sf_dir, "embeddings")
+    vectors = {r.vec_id: r.embedding for r in e.filter("vec_id < 2").collect()}
+    rules = [{"rule_id": "s1", "severity": "info", "reference_embedding": vectors[0], "walkaway_embedding": vectors[1], "walkaway_weight": 0.5, "similarity_threshold": 0.1}]
+    got = A.align(e.select(F.col("vec_id").alias("agreement_id"), F.col("embedding").alias("target")), rules, target_col="target", ctx=P.Context())
+    return got.select("agreement_id", "outcome", r6(F.col("deviation")).alias("deviation"))
+
+
 @query(_FINDINGS_SQL + """, t AS (SELECT conv_id AS agreement_id, string_agg(DISTINCT role, ',' ORDER BY role) FILTER (turn % 3 <> 2) AS clause_types, round(avg(1.0::DOUBLE / (1 + turn)) FILTER (turn % 3 <> 2), 6) AS mean_confidence,
 count(*) AS paragraphs_total, count(*) FILTER (turn % 3 <> 2) AS paragraphs_processed FROM conversations GROUP BY 1),
 v AS (SELECT agreement_id, count(*) AS findings, count(*) FILTER (outcome = 'fail') AS violations FROM f GROUP BY 1)
@@ -300,6 +355,20 @@ def numeric_bounds_registry(spark, sf_dir):
     return p.select("p_partkey", "field", mining.in_bounds(F.col("field"), F.col("v")).alias("plausible"))
 
 
+@query(f"""WITH {_SPARSE}, l AS (SELECT list(item ORDER BY item) AS l FROM b GROUP BY basket), z AS (SELECT l, unnest(range(1, 1 << len(l))) AS mask FROM l),
+f AS (SELECT list_filter(l, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items, count(*) AS k FROM z GROUP BY 1), q AS (SELECT * FROM f, n WHERE k >= 0.05 * n.n),
+x AS (SELECT q.*, unnest(items) AS consequent FROM q WHERE len(items) > 1), y AS (SELECT x.*, list_filter(items, lambda i: i <> consequent) AS antecedent FROM x)
+SELECT array_to_string(antecedent, ',') AS antecedent, consequent, array_to_string(list_sort(list_distinct(list_transform(antecedent, lambda i: i[1]))), ',') AS antecedent_clauses, consequent[1] AS consequent_clauses, round(y.k::DOUBLE / a.k, 6) AS confidence
+FROM y JOIN q a ON a.items = antecedent JOIN q c ON c.items = [consequent] WHERE y.k::DOUBLE / a.k >= 0.2 AND y.k::DOUBLE / a.k / (c.k::DOUBLE / y.n) >= 0.5 AND NOT list_contains(list_transform(antecedent, lambda i: i[1]), consequent[1])""")
+def cross_clause_sets(spark, sf_dir):
+    """Rules of several part types, whose first letters are their clause types."""
+    baskets = _order_types(spark, sf_dir)
+    types = read(spark, sf_dir, "part").select(F.col("p_type").alias("item"), F.substring("p_type", 1, 1).alias("clause_type"))
+    got = S.cross_clause_sets(S.itemset_rules(baskets, "basket", "item", 0.05, 0.2), types, confidence=0.2, lift=0.5)
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return got.select(joined("antecedent"), joined("consequent"), joined("antecedent_clauses"), joined("consequent_clauses"), r6(F.col("confidence")).alias("confidence"))
+
+
 # ---------------------------------------------------------------- read models of rules
 
 
@@ -378,6 +447,25 @@ def field_enums(spark, sf_dir):
     return views.field_enums(_field_values(spark, sf_dir), "field", "value").withColumn("enum_values", F.array_join("enum_values", ","))
 
 
+@query("SELECT source, string_agg(lang || '=' || n, ',' ORDER BY lang) AS frequencies FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def frequency_maps(spark, sf_dir):
+    counts = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("frequencies")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return views.frequency_map(counts, ["source"], "lang").select("source", shown.alias("frequencies"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_size % 5 AS k, p_size FROM part) SELECT p_partkey, CASE k WHEN 0 THEN 12.0 WHEN 1 THEN p_size WHEN 2 THEN 20.0 END::DOUBLE AS number,
+CASE k WHEN 1 THEN p_size * 1000 WHEN 4 THEN p_size + 0.5 END::DOUBLE AS amount, k <> 3 AS plain FROM w""")
+def number_texts(spark, sf_dir):
+    """Numbers in words, amounts of money, and texts that words speak against."""
+    from ..functions.scalars import mentions_none, money, word_number
+
+    k, size = F.col("p_size") % 5, F.col("p_size").cast("string")
+    words = F.when(k == 0, "Twelve").when(k == 1, size).when(k == 2, " twenty ").when(k == 3, "shall NOT count")
+    amounts = F.when(k == 1, F.concat(F.lit("$"), size, F.lit(",000"))).when(k == 3, "about 5").when(k == 4, F.concat(size, F.lit(".5%")))
+    return read(spark, sf_dir, "part").select("p_partkey", word_number(words).alias("number"), money(amounts).alias("amount"), mentions_none(words, ["not", "never"]).alias("plain"))
+
+
 # ---------------------------------------------------------------- application calls
 
 

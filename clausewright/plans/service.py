@@ -16,7 +16,7 @@ def import_policy(store: Store, path: str, name: str, at: str) -> str:
     policy_id = store.create_policy(name, source_file=path, at=at)
     store.create_rules(office.import_rules(store.spark, path, policy_id))
     rules = store.rules(policy_id)
-    store.describe(policy_id, f"{rules.count()} rules from {path.rsplit('/', 1)[-1]}", at)
+    store.describe(policy_id, at, f"{rules.count()} rules from {path.rsplit('/', 1)[-1]}")
     labelled = rules.selectExpr("rule_id", "get(tags, 0) as label")
     store.add_bindings(office.bindings(labelled))
     return policy_id

@@ -70,6 +70,11 @@ def shares(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> Data
     return counts.withColumn("pct", F.col(n) * 100.0 / F.sum(n).over(w)).withColumn("is_mode", first)
 
 
+def frequency_map(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+    """keys, frequencies: a map from each value to how often it occurs; for columns of few values."""
+    return counts.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(value, n))).alias("frequencies"))
+
+
 def scale_position(value: Column, low: Column, high: Column) -> Column:
     """Where a value lies between two others, in percent; equal ends count as a span of one."""
     return (value - low) / F.when(high == low, 1.0).otherwise(high - low) * 100

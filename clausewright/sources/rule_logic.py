@@ -5,8 +5,12 @@ Parentheses group and AND binds tighter than OR. An ``Else`` branch always holds
 
 from __future__ import annotations
 
+import json
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _ARROW = re.compile(r"-{2,}>|→|->")
 _ANSWER = re.compile(r"^\s*answer\s*=\s*(.*)$", re.IGNORECASE | re.DOTALL)
 _HEAD = re.compile(r"^\s*(?:\d+\)\s*)?(?:(else)|if\s+(.+?)\s+is\s+set)\s*$", re.IGNORECASE | re.DOTALL)
@@ -29,6 +33,18 @@ def parse(text: str | None) -> list[dict]:
     return out
 
 
+def branches(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with a row for each branch of the logic in ``text``: branch (from 1), predicate (JSON), answer, is_else."""
+
+    @F.pandas_udf("array<struct<branch:int,predicate:string,answer:string,is_else:boolean>>")
+    def parsed(texts):
+        import pandas as pd
+
+        return pd.Series([[{"branch": k, "predicate": json.dumps(b["predicate"], separators=(",", ":")), "answer": b["answer"], "is_else": b["is_else"]} for k, b in enumerate(parse(t), 1)] for t in texts])
+
+    return rows.select("*", F.inline(parsed(F.col(text))))
+
+
 def to_predicate(expression: str) -> dict:
     """A tree of ``or``, ``and`` and ``field.exists``; a missing closing parenthesis is forgiven."""
     parts = _PART.findall(expression)

@@ -72,9 +72,12 @@ class Store:
         self.append("policies", row)
         return row.first().policy_id
 
-    def describe(self, policy_id: str, description: str, at: str) -> None:
-        """The policy's next version, a row with another description; the latest row counts."""
-        now = self.policy(policy_id).withColumn("description", F.lit(description)).withColumn("updated_at", F.lit(at).cast("timestamp")).withColumn("version", F.col("version") + 1)
+    def describe(self, policy_id: str, at: str, description: str | None = None, status: str | None = None) -> None:
+        """The policy's next version, a row with another description or status; the latest row counts."""
+        if status is not None and status not in POLICY_STATUS:
+            raise ValueError(status)
+        told = {"description": F.coalesce(F.lit(description), "description"), "status": F.coalesce(F.lit(status), "status")}
+        now = self.policy(policy_id).withColumns(told).withColumn("updated_at", F.lit(at).cast("timestamp")).withColumn("version", F.col("version") + 1)
         self.append("policies", now)
 
     def _latest(self) -> DataFrame:
