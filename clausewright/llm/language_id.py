@@ -29,9 +29,10 @@ UNDETERMINED = "und"
 #: characters (where a language has none as short, its shortest text).
 SAMPLE_ROWS = 32
 SAMPLE_LONGEST = 4096
-#: Languages that can be learned: the most frequent values. With more than a few, each has fewer rows.
-LANGUAGES = 256
-SAMPLE_TOTAL_ROWS = 512
+#: Languages that can be learned: the most frequent values. All samples together have at most so many
+#: bytes, shared evenly, but for the one text that each language has: they bound the table in a worker.
+LANGUAGES = 64
+SAMPLE_BYTES = 384 << 10
 #: Shorter samples count as this many bytes: else a phrase of a hardly known language would cost too little.
 LEAST_BYTES = 4096
 #: Bytes of text that are parsed side by side, and the texts times languages below which one by one is faster.
@@ -203,15 +204,15 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(language, whole sample texts) pairs: for each language the rows with the lowest hash of the id.
 
     The sample is bounded by ``SAMPLE_ROWS`` rows of at most ``SAMPLE_LONGEST`` characters a language,
-    ``SAMPLE_TOTAL_ROWS`` in all (but one a language) and ``LANGUAGES`` languages, the most frequent
-    ones; about three times the rows reach the driver at any input size. Rows of one id count once.
+    ``SAMPLE_BYTES`` in all and ``LANGUAGES`` languages, the most frequent ones; about three times the
+    rows reach the driver at any input size. Rows of one id count once.
     """
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang is not null and text is not null").withColumn("short", F.length("text") <= SAMPLE_LONGEST)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("fit")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return ()
-    wanted = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL_ROWS // len(counts)))
+    wanted, room = SAMPLE_ROWS, SAMPLE_BYTES // len(counts)
     # The hash below which a language has about three times the wanted rows: one scan serves all languages.
     span = 1 << 64
     limits = {r.lang: -(1 << 63) + min(span - 1, span * 3 * wanted // r.fit) for r in counts if r.fit}
@@ -222,7 +223,12 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if missing := [r.lang for r in counts if not any(c.lang == r.lang for c in chosen)]:
         # Only long texts, or none with so low a hash: the shortest one, then the lowest hash.
         chosen += rows.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct(F.length("text").alias("size"), "h", "text")).alias("best")).select("lang", "best.h", "best.text").collect()
-    return tuple((name, tuple(t for _, t in sorted((c.h, c.text) for c in chosen if c.lang == name)[:wanted])) for name in sorted(r.lang for r in counts))
+    out = []
+    for name in sorted(r.lang for r in counts):
+        texts = [t for _, t in sorted((c.h, c.text) for c in chosen if c.lang == name)[:wanted]]
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        out.append((name, tuple(texts[: max(1, int((ends <= room).sum()))])))
+    return tuple(out)
 
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:

@@ -69,6 +69,8 @@ def test_samples_are_whole_texts_and_bounded(spark, monkeypatch):
     got = dict(L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
     assert set(got) == {"aa", "bb"} and len(got["aa"]) == 3 and got["bb"] == ("y " * 200,)
     assert set(got["aa"]) <= {t for _, t, _ in rows}
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 400)
+    assert [(name, len(texts)) for name, texts in L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == [("aa", 2), ("bb", 1)]
     monkeypatch.setattr(L, "LANGUAGES", 1)
     assert [name for name, _ in L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == ["aa"]
 
