@@ -64,6 +64,15 @@ def cross_clause(rules: DataFrame, types: DataFrame, **thresholds) -> DataFrame:
     return kept.withColumn("rule_id", F.concat(F.lit("XC"), F.substring(F.sha2(F.concat_ws("|", "antecedent", "consequent"), 256), 1, 8)))
 
 
+def cross_clause_sets(rules: DataFrame, types: DataFrame, **thresholds) -> DataFrame:
+    """``cross_clause`` for rules of several items, as ``itemset_rules`` gives them: arrays of items."""
+    kinds = types.select("item", "clause_type").distinct()
+    made = rules.withColumn("rule_id", F.concat(F.lit("XC"), F.substring(F.sha2(F.concat_ws("|", F.array_join(F.array_sort("antecedent"), ","), F.array_join(F.array_sort("consequent"), ",")), 256), 1, 8)))
+    side = lambda name, out: made.select("rule_id", F.explode(name).alias("item")).join(kinds, "item").groupBy("rule_id").agg(F.sort_array(F.collect_set("clause_type")).alias(out))
+    both = made.join(side("antecedent", "antecedent_clauses"), "rule_id").join(side("consequent", "consequent_clauses"), "rule_id")
+    return strong(both.filter(F.size(F.array_except("consequent_clauses", "antecedent_clauses")) > 0), **(CROSS_CLAUSE | thresholds))
+
+
 def cluster_names(shares: DataFrame, overall: DataFrame, cluster: str, item: str, least: float = 0.3, k: int = 3) -> DataFrame:
     """cluster, name: the items most over-represented in a cluster, joined; ties by item."""
     both = shares.filter(F.col("share") >= least).join(overall.withColumnRenamed("share", "g"), item, "left")
