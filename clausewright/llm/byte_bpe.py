@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from .common import batches, read, text_or_empty
 
 #: Most pieces a worker remembers the encoding of; beyond, it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
+#: Most pairs of tokens whose border a worker remembers.
+CACHE_PAIRS = 500_000
 #: Longer pieces are encoded each time.
 CACHED_LENGTH = 64
 #: Characters of text that are split and encoded together.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 
 
 class Vocabulary:
@@ -121,7 +123,7 @@ class Vocabulary:
     def extend(self, data: bytes, last: list[int], start: int, stop: int) -> None:
         """Fill ``last[start:stop]``: the last token of each prefix's encoding, by the prefix's end."""
         pairs, endings = self._pairs, self.endings
-        if len(pairs) > 2_000_000:
+        if len(pairs) > CACHE_PAIRS:
             pairs.clear()
         for end in range(start, stop):
             node, at, found = endings, end, []

@@ -36,7 +36,7 @@ SAMPLE_BYTES = 384 << 10
 #: Shorter samples count as this many bytes: else a phrase of a hardly known language would cost too little.
 LEAST_BYTES = 4096
 #: Bytes of text that are parsed side by side, and the texts times languages below which one by one is faster.
-SIDE_BY_SIDE = 8 << 20
+SIDE_BY_SIDE = 2 << 20
 FEW = 96
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -107,14 +107,16 @@ class Languages:
         self.width = len(used) + 1  # the last column: bytes of no language
         self.code = np.full(256, len(used), np.uint8)
         self.code[used] = np.arange(len(used))
-        automata = [SuffixAutomaton(text) for _, text in known]
-        self.roots = np.cumsum([0, *(len(a.next) for a in automata)])[: len(known)].astype(np.int32)
-        self.table = np.full((sum(len(a.next) for a in automata), self.width), -1, np.int32)
-        code = self.code.tolist()
-        for root, a in zip(self.roots.tolist(), automata, strict=True):
-            rows = np.repeat(np.arange(len(a.next)), [len(n) for n in a.next]) + root
-            self.table[rows, [code[c] for n in a.next for c in n]] = np.array([t for n in a.next for t in n.values()], np.int32) + root
-        self.table = self.table.ravel()
+        code, tables, at = self.code.tolist(), [], 0
+        self.roots = np.zeros(len(known), np.int32)
+        for k, (_, text) in enumerate(known):  # one after the other: an automaton is many small objects
+            nxt = SuffixAutomaton(text).next
+            table = np.full((len(nxt), self.width), -1, np.int32)
+            table[np.repeat(np.arange(len(nxt)), [len(n) for n in nxt]), [code[c] for n in nxt for c in n]] = np.array([t for n in nxt for t in n.values()], np.int32) + at
+            self.roots[k] = at
+            at += len(nxt)
+            tables.append(table)
+        self.table = np.concatenate([t.ravel() for t in tables] or [np.empty(0, np.int32)])
         # Where a text goes on after a match has ended before a byte; at the root itself the next byte begins a phrase, too.
         start = self.table.reshape(-1, self.width)[self.roots]
         self.after = np.where(start < 0, self.roots[:, None], start)
@@ -195,7 +197,7 @@ class Languages:
             out[k] = self.names[b], x
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _languages(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Languages:
     return Languages(samples)
 

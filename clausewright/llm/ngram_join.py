@@ -51,11 +51,11 @@ SETTLED_PLACES = 48
 #: Groups of more sets are split by a shuffle, not within a task.
 GROUP_SETS = 100_000
 #: Bounds of a block of sets; a family is compared in pairs of blocks.
-BLOCK_SETS = 2048
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1 << 19
 #: Similar sets are of the same or of neighbouring size classes: their sizes differ by a factor of 1.25 at most.
 SIZE_CLASS = 1.26
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.random.default_rng(1).integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -37,9 +37,9 @@ def brute_force():
                 if x and a < b and len(x & y) >= 0.8 * len(x | y) - 1e-9:
                     root[a] = root[b] = min(root[a], root[b])
     docs = [(i, t) for i, t in docs if root[i] == i]
-    grams = lambda t: {tuple(w[k : k + 5]) for w in [words(t)] for k in range(len(w) - 4)}
-    bad = [grams(t) for _, t in items]
-    docs = [(i, t) for i, t in docs if not any(s and len(s & grams(t)) >= 0.8 * len(s) for s in bad)]
+    grams = lambda t, n: {tuple(w[k : k + n]) for w in [words(t)] for k in range(len(w) - n + 1)}
+    bad = [(k, grams(t, k)) for _, t in items if t and (k := min(5, len(words(t))))]
+    docs = [(i, t) for i, t in docs if not any(len(s & grams(t, n)) >= 0.8 * len(s) for n, s in bad)]
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -65,6 +65,16 @@ def test_stages_take_messy_documents(spark, documents, tmp_path):
     assert all(texts) and len({re.sub(r"\s", "", t) for t in texts}) == len(texts)
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["score", "lang_pred", "__row", "__row_", "row", "kept", "id", "first", "text_sha256", "__kept", "item", "n_shingles", "best"]
+    rows = [(k, f"some plain words of document number {'abcdefgh'[k]} that nobody repeats", "en", "s", 9, *[f"{n}{k}" for n in names]) for k in range(6)] + [(9, None, None, None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(tuple, docs.collect())) == sorted(rows[:6])
+    assert corpus_pipeline.tokenize(spark, docs, SF).count() == 6
+
+
 def test_contaminated_rows_leave_others_of_their_id(spark):
     """Null and repeated ids: a row goes by its own text, and an item spread over rows isn't in any of them."""
     item = next(t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id").fetchall() if len(t.split()) >= 20)
