@@ -9,43 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
-from clausewright.llm.common import Scratch, fold, read
+from clausewright.llm.common import Scratch, fold, read, small
 
-ROW = "__row"
-
-
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with a number for each row, stored so that the numbers hold."""
-    return Scratch(docs.sparkSession, name).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, stored so that the numbers hold, and the number's column, a name of no other."""
+    row, taken = "__row", {c.lower() for c in docs.columns}
+    while row in taken:
+        row += "_"
+    return Scratch(docs.sparkSession, name).table(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, or no letter in it) go."""
     samples = language_id.learn(docs.filter(fold("doc_id", 4) != 2))
-    told = language_id.predict(docs, samples, extra={c: F.col(c) for c in docs.columns if c != "doc_id"})
-    return told.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    told = language_id.predict(docs, samples, extra={"__kept": F.struct(*docs.columns)})
+    return told.filter(F.col("lang_pred") != language_id.UNDETERMINED).select("__kept.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the longest stays."""
-    rows = _numbered(docs, "drop_copies")
-    kept = exact_dedup.exact_dedup(rows, row_col=ROW).filter("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    rows, row = _numbered(docs, "drop_copies")
+    kept = exact_dedup.exact_dedup(rows, row_col=row).filter("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that chains of similar pairs connect, the one with the smallest id stays."""
-    rows = _numbered(docs, "drop_near_copies")
-    kept = ngram_join.similar_documents(rows, row_col=ROW).filter("first").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    rows, row = _numbered(docs, "drop_near_copies")
+    kept = ngram_join.similar_documents(rows, row_col=row).filter("first").select(row)
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark go, each row by its own text."""
-    rows = _numbered(docs, "drop_contaminated_rows")
-    found = decontaminate.find_contamination(rows, read(spark, sf_dir, "benchmark"), id_col=ROW).select(ROW).distinct()
-    found = decontaminate.small(Scratch(spark, "drop_contaminated").table(found, "found"))
-    return rows.join(found, ROW, "left_anti").select(docs.columns)
+    rows, row = _numbered(docs, "drop_contaminated_rows")
+    found = decontaminate.find_contamination(rows, read(spark, sf_dir, "benchmark"), row_col=row).select(row).distinct()
+    found = small(Scratch(spark, "drop_contaminated").table(found, "found"))
+    return rows.join(found, row, "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
