@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import batches, read, text_or_empty
 
 #: Most pieces a worker remembers the encoding of; beyond, it starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Most pairs of tokens whose border a worker remembers.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 250_000
 #: Longer pieces are encoded each time.
 CACHED_LENGTH = 64
 #: Characters of text that are split and encoded together.

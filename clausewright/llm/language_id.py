@@ -27,12 +27,12 @@ from .common import fold, read, text_or_empty
 UNDETERMINED = "und"
 #: The labelled sample: whole texts of each language, lowest hash of the id first, of at most so many
 #: characters (where a language has none as short, its shortest text).
-SAMPLE_ROWS = 32
+SAMPLE_ROWS = 16
 SAMPLE_LONGEST = 4096
 #: Languages that can be learned: the most frequent values. All samples together have at most so many
 #: bytes, shared evenly, but for the one text that each language has: they bound the table in a worker.
 LANGUAGES = 64
-SAMPLE_BYTES = 384 << 10
+SAMPLE_BYTES = 192 << 10
 #: Shorter samples count as this many bytes: else a phrase of a hardly known language would cost too little.
 LEAST_BYTES = 4096
 #: Bytes of text that are parsed side by side, and the texts times languages below which one by one is faster.
