@@ -509,7 +509,8 @@ def _block_pairs(family: DataFrame, scratch: Scratch) -> DataFrame:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, class_id, n_links, copies, first.
 
-    With ``row_col``, a column of distinct longs, that column comes first in the result.
+    With ``row_col``, a column of distinct longs, that column comes first in the result, and ``docs``
+    is read as it is, several times: it should be a stored table.
 
     ``n_links`` counts the other rows whose shingle sets have a Jaccard similarity of at least 0.8
     with this row's, rows with the same set included; ``copies`` counts the rows with the same set,
@@ -523,7 +524,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     not read.
     """
     scratch = Scratch(docs.sparkSession, "ngram_join")
-    base = scratch.table(docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "base")
+    base = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    base = base if row_col else scratch.table(base, "base")
     signed = scratch.table(base.select("row", "text").mapInArrow(_sign, "row long, k1 long, k2 long, n_shingles long, sign binary"), "signed")
     worded = signed.filter("sign is not null")
     sets = scratch.table(worded.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles")), "sets")
