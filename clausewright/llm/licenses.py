@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import read, text_or_empty
 
 THRESHOLD = 0.9
@@ -147,6 +148,14 @@ TEMPLATES = (
     ("MIT", _MIT[2]),
     ("MIT", " ".join(_MIT)),
     ("MIT", " ".join(_MIT[:2])),
+    ("0BSD", " ".join((_ISC[0].split(", provided that")[0] + ".", _ISC[1]))),
+    ("Zlib", " ".join(license_texts.ZLIB)),
+    ("Zlib", " ".join(license_texts.ZLIB[1:])),
+    ("BSL-1.0", license_texts.BOOST[0]),
+    ("BSL-1.0", " ".join(license_texts.BOOST)),
+    ("Unlicense", " ".join(license_texts.UNLICENSE[:3])),
+    ("Unlicense", " ".join(license_texts.UNLICENSE)),
+    ("Apache-2.0", " ".join(license_texts.APACHE_TERMS)),
 )
 
 _WORD = re.compile(r"[a-z0-9]+")

@@ -3,7 +3,7 @@ import random
 import re
 import time
 
-from clausewright.llm import licenses, pii
+from clausewright.llm import license_texts, licenses, pii
 
 
 def brute(t):
@@ -230,5 +230,10 @@ def test_licences_amid_other_text():
     assert known.scan("some words before it is Licensed under the Apache\nLicense, Version 2.0. and some after it") == ("Apache-2.0", 1.0)
     bsd = "\n".join(licenses._BSD)
     assert known.scan(code + bsd + "\nReleased under the MIT License." + code)[0] == "BSD-3-Clause"
+    terms, zlib = license_texts.APACHE_TERMS, license_texts.ZLIB
+    assert known.scan(code + "TERMS AND CONDITIONS\n" + "\n\n   ".join(terms).replace(" the ", "\n the ") + "\nEND" + code) == ("Apache-2.0", 1.0)
+    assert known.scan(" ".join(terms[:8] + terms[9:]))[0] == "Apache-2.0"
+    assert known.scan(code + "\n * ".join(zlib).replace("acknowledgment", "acknowledgement"))[0] == "Zlib"
+    assert known.scan("\n".join(license_texts.UNLICENSE))[0] == "Unlicense" and known.scan("\n".join(license_texts.BOOST))[0] == "BSL-1.0"
     assert known.scan("Licensed under the Apache License, Version 2.0. " * 60)[0] == "Apache-2.0"
     assert known.scan("the license of the software is provided as it is without any text " * 3000) == (None, 0.0)
