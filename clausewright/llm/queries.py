@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, ngram_join, pii, substring_dedup, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, ngram_join, pii, sharding, substring_dedup, toxicity, tree_join, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_sharding": sharding.op11_sharding,
+    "op13_hot_key_join": tree_join.op13_hot_key_join,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -23,4 +25,6 @@ SQL = {
     "op8_decontamination": decontaminate.SQL,
     "op9_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_sharding": sharding.SQL,
+    "op13_hot_key_join": tree_join.SQL,
 }
