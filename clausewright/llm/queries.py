@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, licenses, ngram_join, pii, sharding, substring_dedup, toxicity, tree_join, warc
+from . import byte_bpe, conversation_repair, decontaminate, exact_dedup, language_id, licenses, ngram_join, pii, sharding, substring_dedup, toxicity, tree_join, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_sharding": sharding.op11_sharding,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_hot_key_join": tree_join.op13_hot_key_join,
 }
 SQL = {
