@@ -4,6 +4,7 @@ Texts are normalised to lower-case words, so line breaks, comment marks and punc
 licence. Any run of consecutive words may be the licence, at any place of a text. Two sets of ``a``
 and ``b`` bigrams can only reach a coefficient ``t`` if ``a * t / (2 - t) <= b <= a * (2 - t) / t``:
 templates whose bigrams a text lacks are never compared, and runs are tried within these sizes only.
+Sizes are of sets: a run of many words with few different bigrams is a small one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,40 +194,73 @@ class Templates:
         pairs = list(zip(tokens, tokens[1:]))  # noqa: B905
         present = self.known.intersection(pairs)
         shared = Counter(k for pair in present for k in self.owners[pair])
+        # What a template can explain at most: a run of nothing but the bigrams it shares with the text.
+        likely = sorted(((2.0 * n * n / (n + len(self.sets[k])), k) for k, n in shared.items() if n >= self.least[k]), reverse=True)
         best: tuple[float, float, str] | None = None
-        places: list[int] | None = None
-        for k in [k for k, n in shared.items() if n >= self.least[k]]:
-            places = places if places is not None else [i for i, pair in enumerate(pairs) if pair in present]
-            found = self._runs(pairs, [i for i in places if pairs[i] in self.sets[k]], k)
+        places: _Places | None = None
+        for most, k in likely:
+            if best is not None and most < best[0] - 1e-9:
+                break
+            places = places or _Places(pairs)
+            found = self._runs(places, k)
             if found and (best is None or (-found[0], -found[1], self.keys[k]) < (-best[0], -best[1], best[2])):
                 best = *found, self.keys[k]
         return (best[2], best[1]) if best else (None, 0.0)
 
-    def _runs(self, pairs: list[tuple[str, str]], hits: list[int], k: int) -> tuple[float, float] | None:
-        """The best runs begin and end with a bigram of the template: other ends only add to the run."""
+    def _runs(self, places: _Places, k: int) -> tuple[float, float] | None:
+        """The best run for a template. Among the best ones is one that begins with a bigram of the template
+        which the run has only there, and ends so too: other ends can go without a shared bigram going.
+
+        So a start only reaches to the next place of its bigram, and all starts together look at each
+        place once for each bigram of the template at most. A run's bigrams are the places whose last
+        place lies before its start; it has ``most`` of them at most.
+        """
         size, least, most = len(self.sets[k]), self.least[k], self.most[k]
+        before, after, ids = places.before, places.after, places.ids
+        wanted = np.zeros(places.distinct, bool)
+        wanted[[i for i in map(places.number.get, self.sets[k]) if i is not None]] = True
+        hit = wanted[ids]
+        starts = np.flatnonzero(hit)
         best = None
-        for first, start in enumerate(hits):
-            if first + least > len(hits) or hits[first + least - 1] >= start + most:
-                continue  # too few hits within the largest run
-            own: set[tuple[str, str]] = set()
-            common: set[tuple[str, str]] = set()
-            done = start
-            for at in range(first, len(hits)):
-                end = hits[at]
-                if end >= start + most:
-                    break
-                own.update(pairs[done : end + 1])
-                common.add(pairs[end])
-                done = end + 1
-                x = len(common)
-                if x >= least and 2 * x >= self.threshold * (len(own) + size) - 1e-9:
-                    d = 2.0 * x / (len(own) + size)
-                    if best is None or (x * d, d) > best:
-                        best = x * d, d
+        for start in starts[: len(starts) - least + 1].tolist():
+            end = int(after[start])
+            new = np.flatnonzero(before[start : min(end, start + 2 * most)] < start)[:most]
+            if len(new) < most and end > start + 2 * most:
+                new = np.flatnonzero(before[start:end] < start)[:most]
+            n = np.flatnonzero(hit[start + new])  # the run's shared bigrams, by how many bigrams it has before them
+            if len(n) < least:
+                continue
+            x = np.arange(least, len(n) + 1)
+            d = 2.0 * x / (n[least - 1 :] + 1 + size)
+            score = np.where(d >= self.threshold - 1e-9, x * d, -1.0)
+            at = int(score.argmax())
+            if score[at] > 0:
+                top = float(score[at])
+                ties = np.flatnonzero(score == top)
+                got = top, float(d[ties].max())
+                if best is None or got > best:
+                    best = got
+                if x[at] == size and got[1] == 1.0:
+                    break  # the template itself
         return best
 
 
+class _Places:
+    """Where the bigrams of a text stand: each place's bigram as a number, and the bigram's last place before and next one after it."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.number: dict[tuple[str, str], int] = {}
+        number = self.number
+        self.ids = np.fromiter((number.setdefault(p, len(number)) for p in pairs), np.int64, len(pairs))
+        self.distinct = len(number)
+        order = np.argsort(self.ids, kind="stable")
+        same = self.ids[order][1:] == self.ids[order][:-1]
+        self.before = np.full(len(pairs), -1, np.int64)
+        self.after = np.full(len(pairs), len(pairs), np.int64)
+        self.before[order[1:][same]] = order[:-1][same]
+        self.after[order[:-1][same]] = order[1:][same]
+
+
 @lru_cache(maxsize=4)
 def _templates(templates: tuple[tuple[str, str], ...], threshold: float) -> Templates:
     return Templates(templates, threshold)
@@ -268,11 +303,14 @@ known AS (
   SELECT row_number() OVER () AS k, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM (SELECT license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM template)),
 part AS (SELECT k, len(b) AS size, unnest(b) AS gram FROM known),
-hit AS (SELECT r, k, size, gram, p FROM (SELECT r, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS p FROM own) JOIN part USING (gram)),
+hit AS (
+  SELECT r, k, size, gram, p, lag(p) OVER w AS before, lead(p) OVER w AS after
+  FROM (SELECT r, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS p FROM own) JOIN part USING (gram) WINDOW w AS (PARTITION BY r, k, gram ORDER BY p)),
 likely AS (SELECT r, k FROM hit GROUP BY r, k HAVING count(DISTINCT gram) >= any_value(size) * {THRESHOLD / (2 - THRESHOLD)} - 1e-9),
+-- a run whose first or last bigram it has twice scores the same without it
 run AS (
   SELECT a.r, a.k, a.p AS first, z.p AS last FROM hit a JOIN likely USING (r, k) JOIN hit z ON a.r = z.r AND a.k = z.k
-  AND z.p - a.p + 1 BETWEEN a.size * {THRESHOLD / (2 - THRESHOLD)} - 1e-9 AND a.size * {(2 - THRESHOLD) / THRESHOLD} + 1e-9),
+  AND z.p - a.p + 1 >= a.size * {THRESHOLD / (2 - THRESHOLD)} - 1e-9 AND (a.after IS NULL OR z.p < a.after) AND (z.before IS NULL OR z.before < a.p)),
 counted AS (
   SELECT r, license, len(b) AS size, len(list_distinct(g[first:last])) AS n, len(list_intersect(list_distinct(g[first:last]), b)) AS x
   FROM run JOIN own USING (r) JOIN known USING (k)),

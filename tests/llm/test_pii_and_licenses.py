@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 import time
-
+import pytest
 from clausewright.llm import license_texts, licenses, pii
 
 
@@ -189,19 +189,18 @@ def test_usual_wordings_headers_and_full_texts():
 
 
 def brute_license(text, templates, threshold):
-    """Every run of words whose number of bigrams the size bounds allow, against every template."""
+    """Every run of words against every template."""
     w = licenses.words(text)
     best = (0, 0, "")
     for key, body in templates:
         b = licenses.bigrams(licenses.words(body))
         for i in range(len(w)):
             for n in range(1, len(w) - i):
-                if len(b) * threshold / (2 - threshold) - 1e-9 <= n <= len(b) * (2 - threshold) / threshold + 1e-9:
-                    run = licenses.bigrams(w[i : i + n + 1])
-                    x = len(run & b)
-                    d = 2 * x / (len(run) + len(b))
-                    if d >= threshold - 1e-9 and (x * d, d) > best[:2]:
-                        best = x * d, d, key
+                run = licenses.bigrams(w[i : i + n + 1])
+                x = len(run & b)
+                d = 2 * x / (len(run) + len(b))
+                if d >= threshold - 1e-9 and (x * d, d) > best[:2]:
+                    best = x * d, d, key
     return (best[2], best[1]) if best[2] else (None, 0.0)
 
 
@@ -237,3 +236,23 @@ def test_licences_amid_other_text():
     assert known.scan("\n".join(license_texts.UNLICENSE))[0] == "Unlicense" and known.scan("\n".join(license_texts.BOOST))[0] == "BSL-1.0"
     assert known.scan("Licensed under the Apache License, Version 2.0. " * 60)[0] == "Apache-2.0"
     assert known.scan("the license of the software is provided as it is without any text " * 3000) == (None, 0.0)
+
+
+@pytest.mark.parametrize("kind", ["whole", "changed", "mixed"])
+def test_a_megabyte_of_licence_text_takes_seconds(kind):
+    """Runs are bounded by their bigrams, not by their places, and each place is looked at a bounded number of times."""
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    terms = " ".join(license_texts.APACHE_TERMS)
+    rng = random.Random(1)
+    words = terms.split()
+    if kind == "changed":  # never quite the template
+        words = [w if rng.random() > 0.01 else f"new{rng.randrange(10**6)}" for _ in range(120) for w in words]
+    elif kind == "mixed":
+        words = words + (licenses._MIT[0] + " " + "the license of the software ").split() * 1500
+    else:
+        words = words * 120
+    text = " ".join(words)
+    began = time.thread_time()
+    got = known.scan(text)
+    assert got[0] == "Apache-2.0" and got[1] > 0.9 and (kind == "changed" or got[1] == 1.0)
+    assert len(text) > 500_000 and time.thread_time() - began < 20 * len(text) / 1e6
