@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 
 SHARDS = 40
 #: Ranges of all shards together in which slots are counted; a shard has at least one.
@@ -86,6 +86,7 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
         F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         place(F.col(id_col), weights).alias("shard"), place(F.col(id_col), grown).alias("grown_shard"),
     )
+    placed = Scratch(docs.sparkSession, "sharding").table(placed, "placed")  # few bytes a row: texts are read once
     return numbered(placed, "shard", len(weights)).select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
