@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 
 #: A key with more pairs, or with more rows on one side, is hot.
-PAIRS = 10_000
+PAIRS = 4096
 ROWS = 10_000
 #: Rows of a sublist, on average.
 LIST = 10_000
@@ -47,7 +47,7 @@ class TreeJoin:
         hot = counts.filter((F.col("n_left") * F.col("n_right") > pairs) | (F.greatest("n_left", "n_right") > rows))
         self.hot = self.scratch.table(hot, "hot")
         salted = self.hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        told = both.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["key", "salt"], "left")
+        told = both.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted.hint("shuffle_hash"), ["key", "salt"], "left")
         lonely = F.col("key").isNull() | (F.when(F.col("is_left"), F.col("n_right")).otherwise(F.col("n_left")) == 0)
         kind = F.when(lonely, "alone").when(F.col("n_left").isNotNull(), "hot").otherwise("cold")
         own = F.when(F.col("is_left"), F.col("n_left")).otherwise(F.col("n_right"))
@@ -79,13 +79,13 @@ class TreeJoin:
 
     def cold(self) -> DataFrame:
         """key, l, r: the full outer join of rows without a hot key."""
-        return self.of("cold", True).select("key", "l").join(self.of("cold", False).select("key", "r"), "key", "full")
+        return self.of("cold", True).select("key", "l").join(self.of("cold", False).select("key", "r").hint("merge"), "key", "full")
 
     def rows(self, how: str = "inner") -> DataFrame:
         """key, l, r: the joined rows; ``how`` is inner, left, right or full."""
-        left = self.of("hot", True).select("key", F.col("sub").alias("i"), "l").join(self.leaves, ["key", "i"])
-        right = self.of("hot", False).select("key", F.col("sub").alias("j"), "r").join(self.leaves, ["key", "j"])
-        met = left.join(right, ["key", "i", "j"]).select("key", "l", "r")
+        left = self.of("hot", True).select("key", F.col("sub").alias("i"), "l").join(self.leaves.hint("shuffle_hash"), ["key", "i"])
+        right = self.of("hot", False).select("key", F.col("sub").alias("j"), "r").join(self.leaves.hint("shuffle_hash"), ["key", "j"])
+        met = left.join(right.hint("merge"), ["key", "i", "j"]).select("key", "l", "r")
         out = met.unionByName(self.cold()).unionByName(self.placed.filter("kind = 'alone'").select("key", "l", "r"))
         needed = {"inner": ("l", "r"), "left": ("l",), "right": ("r",), "full": ()}[how]
         return out.filter(" and ".join(f"{c} is not null" for c in needed)) if needed else out
@@ -108,8 +108,8 @@ class TreeJoin:
         parts = [self.cold().select(F.explode(F.array_compact(F.array(pair(True, "l", "r"), pair(False, "r", "l")))).alias("s")).select("s.*")]
         for is_left, c, d, own, other in ((True, "l", "r", "i", "j"), (False, "r", "l", "j", "i")):
             lists = self.of("hot", not is_left).groupBy("key", F.col("sub").alias(other)).agg(F.count("*").alias("n"), F.sum(f"{d}.{measure}").alias("total"))
-            given = self.leaves.join(lists, ["key", other]).groupBy("key", own).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-            met = self.of("hot", is_left).withColumn(own, F.col("sub")).join(given, ["key", own])
+            given = self.leaves.join(lists.hint("shuffle_hash"), ["key", other]).groupBy("key", own).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            met = self.of("hot", is_left).withColumn(own, F.col("sub")).join(given.hint("shuffle_hash"), ["key", own])
             parts.append(met.select(side(is_left, c, F.col("n"), F.col("total"), zero, 1).alias("s")).select("s.*"))
             parts.append(self.of("cold", is_left).select(side(is_left, c, zero, zero, zero, 1).alias("s")).select("s.*"))
             parts.append(self.of("alone", is_left).select(side(is_left, c, zero, zero, F.lit(1), 1).alias("s")).select("s.*"))
