@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 #: Value ranges a group is cut into; only those that hold a wanted rank are sorted.
 RANGES = 1024
 
@@ -17,9 +19,10 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     Repeated values are counted before anything is ordered. Each group's values fall into
     ``RANGES`` ranges, equal in the logarithm of their distance from zero, so that a few far values
     don't crowd all others into one range; cumulative counts over these tell which range holds a
-    rank, and only that range's distinct values are put in order.
+    rank, and only that range's distinct values are put in order. The counts are stored, so the input is
+    read once.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counted = stored(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c")), "ranks")
     spans = counted.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__c").alias("n"))
     scaled = lambda c: F.signum(F.col(c).cast("double")) * F.log1p(F.abs(F.col(c).cast("double")))  # noqa: E731  never falls as the value rises
     width = F.when(scaled("__high") > scaled("__low"), (scaled("__v") - scaled("__low")) / (scaled("__high") - scaled("__low"))).otherwise(F.lit(0.0))

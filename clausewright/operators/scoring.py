@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import order_statistics
+from ..functions.stored import sent, stored
+from .itemsets import contained
 
 # Weights, multipliers and tiers of the deviation score.
 WEIGHTS = {"missing_arm_consequent": 3.0, "missing_expected": 2.0, "unexpected_clause": 1.5, "rare_combination": 1.0}
@@ -24,6 +26,37 @@ def missing_expected(present: DataFrame, expected: DataFrame, document: str, gro
     return wanted.join(present.select(document, label).distinct(), [document, label], "left_anti")
 
 
+def unexpected(present: DataFrame, shares: DataFrame, document: str, group: str, label: str, rare: float = 0.2) -> DataFrame:
+    """One flag per document and label it has although few of its group's documents do.
+
+    ``shares``: group, label, share. The rarer the label, the larger ``prevalence_gap``.
+    """
+    few = shares.filter(F.col("share") < rare).select(group, label, (1 - F.col("share")).alias("prevalence_gap"))
+    return present.select(document, group, label).distinct().join(few, [group, label])
+
+
+def missing_consequents(present: DataFrame, rules: DataFrame, document: str, group: str, label: str) -> DataFrame:
+    """One flag per document and label that association rules of its group let expect and it lacks.
+
+    ``rules``: group, rule_id, antecedent and consequent (arrays of labels), confidence, lift. A rule
+    speaks where all its antecedents are present; of several that miss the same label the one with the
+    highest lift, then confidence, then the first id is named.
+    """
+    rules = stored(rules, "rules")
+    held = contained(present, rules.select(group, F.col("rule_id").alias("set_id"), F.col("antecedent").alias("items")), group, document, label)
+    due = held.withColumnRenamed("set_id", "rule_id").join(sent(rules), [group, "rule_id"]).select(document, group, "rule_id", "confidence", "lift", F.explode("consequent").alias(label))
+    absent = due.join(present.select(document, group, label).distinct(), [document, group, label], "left_anti")
+    ranked = absent.groupBy(document, group, label).agg(F.min(F.struct((-F.col("lift")).alias("l"), (-F.col("confidence")).alias("c"), "rule_id")).alias("best"))
+    return ranked.select(document, group, label, "best.rule_id", (-F.col("best.c")).alias("confidence"), (-F.col("best.l")).alias("lift"))
+
+
+def rare_combinations(present: DataFrame, pairs: DataFrame, document: str, group: str, label: str) -> DataFrame:
+    """One flag per document and pair of labels it has together. ``pairs``: group, antecedent, consequent, lift, as ``pair_rules`` gives them; each pair in either order once."""
+    told = stored(pairs.filter("antecedent < consequent").select(group, F.concat_ws("\x1f", "antecedent", "consequent").alias("set_id"), F.array("antecedent", "consequent").alias("items"), "lift"), "pairs")
+    held = contained(present, told.select(group, "set_id", "items"), group, document, label)
+    return held.join(sent(told.select(group, "set_id", "items", "lift")), [group, "set_id"]).select(document, group, "items", "lift")
+
+
 def deviation_score(flags: DataFrame, document: str) -> DataFrame:
     """document, score, tier. ``flags``: document, kind, prevalence_gap, confidence, lift (each may be null).
 
@@ -52,17 +85,18 @@ def severity_buckets(scores: DataFrame) -> DataFrame:
 def top_outliers(scores: DataFrame, document: str, share: float = 0.1) -> DataFrame:
     """The documents with the highest scores, ``share`` of all, ties at the border by id (a number).
 
-    The border's score and, among its ties, the last id come from order statistics; then the rows are
-    a filter, and nothing is sorted as a whole.
+    The scores are stored once. The border's score and, among its ties, the last id are order statistics
+    and come back as two numbers; then the rows are a filter, and nothing is sorted as a whole.
     """
+    scores = stored(scores, "scores")
     place = lambda n: n - F.ceil(n * F.lit(share) - 1e-9)
-    border = order_statistics(scores.select(F.lit(0).alias("one"), "score"), ["one"], "score", {"border": place}).select("n", "border")
-    above = scores.crossJoin(F.broadcast(border)).agg(F.count_if(F.col("score") > F.col("border")).alias("above"))  # one row each
-    line = border.crossJoin(above).withColumn("room", F.ceil(F.col("n") * F.lit(share) - 1e-9) - F.col("above"))
-    ties = scores.crossJoin(F.broadcast(line)).filter(F.col("score") == F.col("border"))
-    ids = ties.groupBy("room", "border", F.col(document).alias("id")).agg(F.count("*").alias("__n"))
-    last = order_statistics(ids.withColumn("at", F.col("room")), ["border", "room"], "id", {"last": lambda n: F.least(F.col("room"), n) - 1}).select("border", "last")
-    return scores.crossJoin(F.broadcast(last)).filter((F.col("score") > F.col("border")) | ((F.col("score") == F.col("border")) & (F.col(document) <= F.col("last")))).drop("border", "last")
+    border = order_statistics(scores.select(F.lit(0).alias("one"), "score"), ["one"], "score", {"border": place}).select("border", F.ceil(F.col("n") * F.lit(share) - 1e-9).alias("wanted")).first()
+    if border is None:
+        return scores.limit(0)
+    room = border.wanted - scores.filter(F.col("score") > border.border).count()
+    ties = scores.filter(F.col("score") == border.border).select(F.lit(0).alias("one"), F.col(document).alias("id"))
+    last = order_statistics(ties, ["one"], "id", {"last": lambda n: F.least(F.lit(room), n) - 1}).first().last
+    return scores.filter((F.col("score") > border.border) | ((F.col("score") == border.border) & (F.col(document) <= last)))
 
 
 def most_missing(flags: DataFrame, label: str, k: int = 10) -> DataFrame:

@@ -695,4 +695,4 @@ def redline(spark, sf_dir):
     return views.redline(findings(spark, sf_dir), rules).select("agreement_id", "rule_id", "clause", "title")
 
 
-from . import rulebook_queries  # noqa: E402, F401  registers its queries; it needs what is defined above
+from . import portfolio_queries, rulebook_queries  # noqa: E402, F401  register their queries; they need what is defined above
