@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stored import stored
 from ..operators import associations as S
-from ..operators import itemsets, mining, scoring
-from .queries import query, r6, read
+from ..operators import clustering, itemsets, mining, rebinding, scoring
+from .queries import QUERIES, query, r6, read
 
 SUPPORT, CONFIDENCE = 0.05, 0.4
 PAIR_LIFT, PAIR_SHARE = 0.9, 0.3
@@ -112,3 +112,34 @@ def deviation_of_all_kinds(spark, sf_dir):
     flags = stored(deviations(spark, sf_dir), "flags").withColumnsRenamed({"kind": "about_kind", "flag": "kind"})
     kinds = flags.groupBy("sale_id").agg(F.count_distinct("kind").alias("kinds"))
     return scoring.deviation_score(flags, "sale_id").join(kinds, "sale_id").select("sale_id", "kinds", F.round("score", 5).alias("score"), "tier")
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def vector_clusters(spark, sf_dir):
+    """Eight macro clusters of the vectors, each split in two where that makes it more coherent, and again. SQL can't iterate so; tests hold it against plain rounds."""
+    vectors = read(spark, sf_dir, "embeddings")
+    fitted = clustering.fit(vectors, "vec_id", "embedding", 8, levels=2, least=20, cohesive=0.9)
+    return clustering.assign(vectors, fitted, "vec_id", "embedding").select("vec_id", F.split("path", r"\.")[0].cast("int").alias("macro"), F.col("path").alias("micro"), r6(F.col("distance")).alias("distance"))
+
+
+QUERIES["vector_clusters"] = vector_clusters
+
+
+@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)
+SELECT a.label, CAST((1 + sqrt(1 + 8 * count(*))) / 2 AS BIGINT) AS n, round(avg(list_dot_product(a.u, b.u)), 5) AS cohesion FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
+def cluster_cohesion(spark, sf_dir):
+    """The mean cosine of all pairs of a cluster's vectors, without forming pairs."""
+    return clustering.cohesion(read(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("cohesion", F.round("cohesion", 5))
+
+
+@query("""WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+x AS (SELECT a.vec_id AS binding_id, b.vec_id AS cluster_id, list_dot_product(a.u, b.u) AS cos FROM u a, u b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0)
+SELECT binding_id, arg_max(cluster_id, cos) AS cluster_id, round(max(cos), 5) AS confidence, max(cos) >= 0.4 AS rebound FROM x GROUP BY 1""")
+def rebind_by_index(spark, sf_dir):
+    """Every twentieth vector is a binding, the others are clusters: the nearest one through the index, and the exact way beyond it."""
+    e = read(spark, sf_dir, "embeddings")
+    bindings = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("binding_id"), F.col("embedding").alias("label_embedding"))
+    clusters = e.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("cluster_id"), "embedding")
+    return rebinding.rebind(bindings, clusters, 0.4).withColumn("confidence", F.round("confidence", 5))
