@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 from .common import fold, read, text_or_empty
 
 UNDETERMINED = "und"
-#: The labelled sample: whole texts of each language, lowest hash of the id first, of at most so many
+#: The labelled sample: so many rows of each language, lowest hash of the id first, of at most so many
 #: characters (where a language has none as short, its shortest text).
 SAMPLE_ROWS = 16
 SAMPLE_LONGEST = 4096
-#: Languages that can be learned: the most frequent values. All samples together have at most so many
-#: bytes, shared evenly, but for the one text that each language has: they bound the table in a worker.
-LANGUAGES = 64
-SAMPLE_BYTES = 192 << 10
+#: Characters of all samples together, shared evenly among the languages, whatever their number: they bound
+#: the table in a worker. Where the share is smaller than a text, an excerpt of the text is the sample.
+SAMPLE_CHARS = 192 << 10
 #: Shorter samples count as this many bytes: else a phrase of a hardly known language would cost too little.
 LEAST_BYTES = 4096
 #: Bytes of text that are parsed side by side, and the texts times languages below which one by one is faster.
@@ -43,8 +42,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def normalised(text: str) -> bytes:
-    """Lower-case runs of letters, each between blanks; nothing without letters."""
+    """Lower-case runs of letters, each between blanks; nothing without letters. Numerals such as fractions are no letters."""
     runs = _LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
     return f" {' '.join(runs)} ".encode() if runs else b""
 
 
@@ -203,32 +204,40 @@ def _languages(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Languages:
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """(language, whole sample texts) pairs: for each language the rows with the lowest hash of the id.
+    """(language, sample texts) pairs: for each language the rows with the lowest hash of the id.
 
-    The sample is bounded by ``SAMPLE_ROWS`` rows of at most ``SAMPLE_LONGEST`` characters a language,
-    ``SAMPLE_BYTES`` in all and ``LANGUAGES`` languages, the most frequent ones; about three times the
-    rows reach the driver at any input size. Rows of one id count once.
+    The sample is bounded by ``SAMPLE_ROWS`` rows of at most ``SAMPLE_LONGEST`` characters a language and
+    ``SAMPLE_CHARS`` in all, of which every language gets the same share; about three times that reaches the
+    driver at any input size, and a count per language. Rows of one id count once.
     """
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang is not null and text is not null").withColumn("short", F.length("text") <= SAMPLE_LONGEST)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("fit")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count_if("short").alias("fit")).collect()
     if not counts:
         return ()
-    wanted, room = SAMPLE_ROWS, SAMPLE_BYTES // len(counts)
+    room = max(64, SAMPLE_CHARS // len(counts))
+    wanted = min(SAMPLE_ROWS, max(1, room // 64))
+    excerpt = F.substring("text", 1, room).alias("text")
     # The hash below which a language has about three times the wanted rows: one scan serves all languages.
     span = 1 << 64
     limits = {r.lang: -(1 << 63) + min(span - 1, span * 3 * wanted // r.fit) for r in counts if r.fit}
     chosen = []
     if limits:
-        table = labelled.sparkSession.createDataFrame(sorted(limits.items()), "lang string, most long")  # LANGUAGES rows at most
-        chosen = rows.filter("short").join(F.broadcast(table), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    if missing := [r.lang for r in counts if not any(c.lang == r.lang for c in chosen)]:
+        table = labelled.sparkSession.createDataFrame(sorted(limits.items()), "lang string, most long")  # a row a language
+        chosen = rows.filter("short").join(table, "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", excerpt).collect()
+    told = {c.lang for c in chosen}
+    if missing := [r.lang for r in counts if r.lang not in told]:
         # Only long texts, or none with so low a hash: the shortest one, then the lowest hash.
-        chosen += rows.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct(F.length("text").alias("size"), "h", "text")).alias("best")).select("lang", "best.h", "best.text").collect()
+        table = labelled.sparkSession.createDataFrame([(m,) for m in missing], "lang string")
+        shortest = rows.join(table, "lang").groupBy("lang").agg(F.min(F.struct(F.length("text").alias("size"), "h", excerpt)).alias("best"))
+        chosen += shortest.select("lang", "best.h", "best.text").collect()
+    by_lang: dict[str, list[tuple[int, str]]] = {}
+    for c in chosen:
+        by_lang.setdefault(c.lang, []).append((c.h, c.text))
     out = []
-    for name in sorted(r.lang for r in counts):
-        texts = [t for _, t in sorted((c.h, c.text) for c in chosen if c.lang == name)[:wanted]]
-        ends = np.cumsum([len(t.encode()) for t in texts])
+    for name in sorted(by_lang):
+        texts = [t for _, t in sorted(by_lang[name])[:wanted]]
+        ends = np.cumsum([len(t) for t in texts])
         out.append((name, tuple(texts[: max(1, int((ends <= room).sum()))])))
     return tuple(out)
 

@@ -69,10 +69,26 @@ def test_samples_are_whole_texts_and_bounded(spark, monkeypatch):
     got = dict(L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
     assert set(got) == {"aa", "bb"} and len(got["aa"]) == 3 and got["bb"] == ("y " * 200,)
     assert set(got["aa"]) <= {t for _, t, _ in rows}
-    monkeypatch.setattr(L, "SAMPLE_BYTES", 400)
-    assert [(name, len(texts)) for name, texts in L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == [("aa", 2), ("bb", 1)]
-    monkeypatch.setattr(L, "LANGUAGES", 1)
-    assert [name for name, _ in L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == ["aa"]
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 400)  # each has half of it: two texts fit, or an excerpt of one that doesn't
+    got = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [(name, len(texts), len(texts[0])) for name, texts in got] == [("aa", 2, len(got[0][1][0])), ("bb", 1, 200)]
+
+
+def test_numerals_are_no_letters():
+    known = L.Languages((("fr", ("une demi et deux",)), ("en", ("one half and two",))))
+    told = known.predict(["½ ² ③", "①②", "x²", "two½two", "Ⅷ ٣", None])
+    assert [lang for lang, _ in told[:2]] == ["und", "und"] and told[4] == ("und", 0.0) and told[5] == ("und", 0.0)
+    assert L.normalised("x²y ½") == b" x y " and L.normalised("two½Two") == b" two two "
+
+
+def test_any_number_of_languages_can_be_learned(spark):
+    rng = random.Random(9)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(rng.randint(2, 7))) for _ in range(40)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(list(words) * 8)]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    held = [r for r in got if r.held_out]
+    assert {r.lang_pred for r in got} == set(words) and sum(r.lang_pred == want[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
 def test_languages_are_told_on_the_held_out_fold(spark):
