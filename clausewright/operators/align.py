@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Context, compile_predicate
 from ..functions.scalars import cosine
+from .judging import JudgeMemo
 
 #: A rule without a threshold fails only below this similarity.
 DEFAULT_SIMILARITY = 0.15
@@ -90,10 +91,11 @@ def _rule_struct(rule: dict, ctx: Context, target: Column | None, scope: str) ->
     )
 
 
-def align(contexts: DataFrame, rules: list[dict], judge: Callable[[str, str], str] | None = None, target_col: str | None = None, ctx: Context | None = None, scope: str = "document", run_id: str = "run", embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+def align(contexts: DataFrame, rules: list[dict], judge: Callable[[str, str], str] | None = None, target_col: str | None = None, ctx: Context | None = None, scope: str = "document", run_id: str = "run", embed: Callable[[list[str]], list[list[float]]] | None = None, memo: JudgeMemo | None = None) -> DataFrame:
     """One finding per agreement and active rule.
 
-    ``judge`` takes (assertion, evidence) and returns pass, fail or anything else for undecided.
+    ``judge`` takes (assertion, evidence) and returns pass, fail or anything else for undecided; with a
+    ``memo`` it is asked once for each distinct pair of these, in this run and later ones.
     ``target_col`` is an embedding of the text that similarity rules compare; without it ``embed``
     makes one of the first three clauses' texts. With ``scope='bound'`` a rule sees only the clauses
     that its kind and bindings leave it.
@@ -126,6 +128,8 @@ def align(contexts: DataFrame, rules: list[dict], judge: Callable[[str, str], st
         found = found.unionByName(p)
     if judge is None:
         found = found.withColumn("judged", F.lit(None).cast("string"))
+    elif memo is not None:
+        found = memo.judged(found, judge)
     else:
 
         @F.pandas_udf("string")

@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions.stored import stored
+from ..operators import align as A
 from ..operators import associations as S
-from ..operators import clustering, itemsets, mining, rebinding, scoring
-from .queries import QUERIES, query, r6, read
+from ..operators import clustering, composites, itemsets, mining, rebinding, scoring
+from ..operators.judging import JudgeMemo
+from ..sources.store import shared_folder
+from .queries import QUERIES, RULES, SQL, conversation_contexts, document_context, document_fields, op, query, r6, read
 
 SUPPORT, CONFIDENCE = 0.05, 0.4
 PAIR_LIFT, PAIR_SHARE = 0.9, 0.3
@@ -143,3 +147,42 @@ def rebind_by_index(spark, sf_dir):
     bindings = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("binding_id"), F.col("embedding").alias("label_embedding"))
     clusters = e.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("cluster_id"), "embedding")
     return rebinding.rebind(bindings, clusters, 0.4).withColumn("confidence", F.round("confidence", 5))
+
+
+# ---------------------------------------------------------------- composites and the judge's memo
+
+COMPOSITES = [
+    {"name": "grade", "combine": "choose", "when": op("field.gte", "exposure", 3), "then": "exposure", "otherwise": "size"},
+    {"name": "exposure", "combine": "sum", "parts": ["risk", "labels", "size"]},
+    {"name": "risk", "combine": "sum", "parts": ["toxic", "quality"], "weights": [5, -1]},
+    {"name": "labels", "combine": "count", "parts": ["toxic", "quality"]},
+    {"name": "size", "combine": "sum", "parts": ["n_chars"], "weights": [0.001], "missing": "null"},
+    {"name": "name", "combine": "join", "parts": ["lang", "source"], "separator": "/"},
+]
+
+
+@query("""WITH l1 AS (
+  SELECT d.doc_id, CASE WHEN toxic IS NULL THEN -quality WHEN quality IS NULL THEN 5 * toxic ELSE 5 * toxic - quality END::DOUBLE AS risk,
+         (toxic IS NOT NULL)::INT + (quality IS NOT NULL)::INT AS labels, n_chars * 0.001::DOUBLE AS size, concat_ws('/', lang, source) AS name FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+l2 AS (SELECT *, coalesce(risk, 0) + labels + coalesce(size, 0) AS exposure FROM l1), l3 AS (SELECT *, CASE WHEN exposure >= 3 THEN exposure ELSE size END AS grade FROM l2)
+SELECT doc_id, round(risk, 6) AS risk, round(exposure, 6) AS exposure, round(grade, 6) AS grade, name, CASE WHEN grade >= 1.5 THEN 'pass' ELSE 'fail' END AS outcome FROM l3""")
+def composite_cascade(spark, sf_dir):
+    """Three levels of composites, and a rule about the last."""
+    rows, ctx = composites.attach(document_fields(spark, sf_dir), COMPOSITES, document_context())
+    holds = P.compile_predicate(op("field.gte", "grade", 1.5), ctx).verdict()
+    return rows.select("doc_id", *(r6(F.col(f"composite_{c}.d")).alias(c) for c in ("risk", "exposure", "grade")), F.col("composite_name.s").alias("name"), F.when(holds, "pass").otherwise("fail").alias("outcome"))
+
+
+def align_judge_memo(spark, sf_dir):
+    """``align_judge`` with a memo, twice: the second run finds every answer."""
+    rules = [r for r in RULES if r["rule_id"] == "r2"] + [
+        {"rule_id": "j1", "severity": "info", "nl_assertion": "even"},
+        {"rule_id": "j2", "severity": "info", "nl_assertion": "even", "predicate": op("or", op("clause.absent", "system"), op("no.such.operator"))},
+    ]
+    memo = JudgeMemo(spark, shared_folder(spark, "memo"))
+    A.align(conversation_contexts(spark, sf_dir), rules, judge=lambda assertion, text: "pass" if len(text) % 2 == 0 else "fail", memo=memo)
+    got = A.align(conversation_contexts(spark, sf_dir), rules, judge=lambda assertion, text: 1 / 0, memo=memo)
+    return got.select("agreement_id", "rule_id", "outcome")
+
+
+QUERIES["align_judge_memo"], SQL["align_judge_memo"] = align_judge_memo, SQL["align_judge"]
