@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 #: Rows of the small side of a join that may be sent to every executor.
 SENT_ROWS = 20_000
+#: Has Spark remove a query's shuffle files when it has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """The frame, written and read back: its lineage ends here, and what reads it several times computes it once."""
+    """The frame, written and read back: its lineage ends here, and what reads it several times computes it once.
+
+    The shuffle files behind it go at once; nothing will read them again.
+    """
     from ..sources.store import shared_folder
 
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sent(df: DataFrame) -> DataFrame:

@@ -75,21 +75,34 @@ def rules_of(itemsets: DataFrame, group: str, confidence: float = 0.0, lift: flo
     return rules.filter((F.col("confidence") >= confidence - 1e-9) & (F.col("lift") >= lift - 1e-9))
 
 
-def contained(baskets: DataFrame, sets: DataFrame, group: str, basket: str, item: str) -> DataFrame:
-    """basket, group, set_id: the sets of a basket's group of which it holds every item.
+def contents(baskets: DataFrame, group: str, basket: str, item: str, vocabulary: DataFrame) -> DataFrame:
+    """group, basket, has: what each basket has of its group's ``vocabulary`` (group, item), sorted; stored.
+
+    Baskets with equal contents are judged once, so what follows works on the distinct contents, which are
+    no longer than the vocabulary, and comes back to the baskets by a join.
+    """
+    words = stored(vocabulary.select(F.col("group"), F.col("item")).distinct(), "vocabulary")
+    rows = baskets.select(F.col(group).alias("group"), F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().join(sent(words), ["group", "item"], "left_semi")
+    return stored(rows.groupBy("group", "basket").agg(F.sort_array(F.collect_set("item")).alias("has")), "contents")
+
 
-    ``sets``: group, set_id, items (not empty). A set is looked up by its rarest item alone, so an item
-    that most baskets have brings up only sets of nothing rarer; the other items are then checked.
+def held(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """group, has, set_id: for each distinct content the sets of its group of which it has every item; stored.
+
+    ``sets``: group, set_id, items (not empty). A set is looked up by its rarest item alone, so an item that
+    most contents have brings up only sets of nothing rarer.
     """
-    rows = stored(baskets.select(F.col(group).alias("group"), F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct(), "baskets")
-    parts = stored(sets.select(F.col(group).alias("group"), "set_id", F.explode(F.array_distinct("items")).alias("item")), "sets")
-    counts = rows.groupBy("group", "item").agg(F.count("*").alias("n"))
-    rarity = parts.join(counts, ["group", "item"], "left").groupBy("group", "set_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("rarest"), F.count("*").alias("size"))
-    keys = stored(rarity.select("group", "set_id", "size", F.col("rarest.item").alias("item")), "keys")
-    likely = rows.join(sent(keys), ["group", "item"]).select("group", "basket", "set_id", "size", "item")
-    single = likely.filter("size = 1").select("group", "basket", "set_id")
-    # The rest of each likely set's items, met by the basket's own.
-    others = parts.join(sent(keys.filter("size > 1").select("group", "set_id", "size", F.col("item").alias("key"))), ["group", "set_id"]).filter("item <> key").select("group", "set_id", "item")
-    asked = likely.filter("size > 1").drop("item").join(sent(stored(others, "others")), ["group", "set_id"])
-    held = asked.join(rows, ["group", "basket", "item"]).groupBy("group", "basket", "set_id", "size").agg(F.count("*").alias("met")).filter("met = size - 1")
-    return single.unionByName(held.select("group", "basket", "set_id")).select(F.col("basket").alias(basket), F.col("group").alias(group), "set_id")
+    distinct = stored(lists.select("group", "has").distinct(), "distinct")
+    each = distinct.select("group", "has", F.explode("has").alias("item"))
+    counts = each.groupBy("group", "item").agg(F.count("*").alias("n"))
+    parts = sets.select("group", "set_id", "items", F.explode("items").alias("item"))
+    rarest = parts.join(counts, ["group", "item"], "left").groupBy("group", "set_id", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("rarest"))
+    keys = stored(rarest.select("group", "set_id", "items", F.col("rarest.item").alias("item")), "keys")
+    return stored(each.join(sent(keys), ["group", "item"]).filter(F.size(F.array_except("items", "has")) == 0).select("group", "has", "set_id"), "held")
+
+
+def contained(baskets: DataFrame, sets: DataFrame, group: str, basket: str, item: str) -> DataFrame:
+    """basket, group, set_id: the sets of a basket's group of which it holds every item. ``sets``: group, set_id, items (not empty)."""
+    sets = stored(sets.select(F.col(group).alias("group"), "set_id", "items"), "sets")
+    lists = contents(baskets, group, basket, item, sets.select("group", F.explode("items").alias("item")))
+    return lists.join(held(lists, sets), ["group", "has"]).select(F.col("basket").alias(basket), F.col("group").alias(group), "set_id")

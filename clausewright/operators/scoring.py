@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import order_statistics
 from ..functions.stored import sent, stored
-from .itemsets import contained
+from .itemsets import contents, held
 
 # Weights, multipliers and tiers of the deviation score.
 WEIGHTS = {"missing_arm_consequent": 3.0, "missing_expected": 2.0, "unexpected_clause": 1.5, "rare_combination": 1.0}
@@ -42,23 +42,26 @@ def missing_consequents(present: DataFrame, rules: DataFrame, document: str, gro
     speaks where all its antecedents are present; of several that miss the same label the one with the
     highest lift, then confidence, then the first id is named.
     """
-    rules = stored(rules, "rules")
-    held = contained(present, rules.select(group, F.col("rule_id").alias("set_id"), F.col("antecedent").alias("items")), group, document, label)
-    due = held.withColumnRenamed("set_id", "rule_id").join(sent(rules), [group, "rule_id"]).select(document, group, "rule_id", "confidence", "lift", F.explode("consequent").alias(label))
-    absent = due.join(present.select(document, group, label).distinct(), [document, group, label], "left_anti")
-    ranked = absent.groupBy(document, group, label).agg(F.min(F.struct((-F.col("lift")).alias("l"), (-F.col("confidence")).alias("c"), "rule_id")).alias("best"))
-    return ranked.select(document, group, label, "best.rule_id", (-F.col("best.c")).alias("confidence"), (-F.col("best.l")).alias("lift"))
+    rules = stored(rules.select(F.col(group).alias("group"), "rule_id", "antecedent", "consequent", "confidence", "lift"), "rules")
+    vocabulary = rules.select("group", F.explode(F.concat("antecedent", "consequent")).alias("item"))
+    lists = contents(present, group, document, label, vocabulary)
+    speaking = held(lists, rules.select("group", F.col("rule_id").alias("set_id"), F.col("antecedent").alias("items")))
+    due = speaking.withColumnRenamed("set_id", "rule_id").join(sent(rules), ["group", "rule_id"]).select("group", "has", "rule_id", "confidence", "lift", F.explode("consequent").alias("label"))
+    best = due.filter(~F.array_contains("has", F.col("label"))).groupBy("group", "has", "label").agg(F.min(F.struct((-F.col("lift")).alias("l"), (-F.col("confidence")).alias("c"), "rule_id")).alias("best"))
+    flags = lists.join(sent(stored(best, "best")), ["group", "has"])
+    return flags.select(F.col("basket").alias(document), F.col("group").alias(group), F.col("label").alias(label), "best.rule_id", (-F.col("best.c")).alias("confidence"), (-F.col("best.l")).alias("lift"))
 
 
 def rare_combinations(present: DataFrame, pairs: DataFrame, document: str, group: str, label: str) -> DataFrame:
     """One flag per document and pair of labels it has together. ``pairs``: group, antecedent, consequent, lift, as ``pair_rules`` gives them; each pair in either order once."""
-    told = stored(pairs.filter("antecedent < consequent").select(group, F.concat_ws("\x1f", "antecedent", "consequent").alias("set_id"), F.array("antecedent", "consequent").alias("items"), "lift"), "pairs")
-    held = contained(present, told.select(group, "set_id", "items"), group, document, label)
-    return held.join(sent(told.select(group, "set_id", "items", "lift")), [group, "set_id"]).select(document, group, "items", "lift")
+    told = stored(pairs.filter("antecedent < consequent").select(F.col(group).alias("group"), F.concat_ws("\x1f", "antecedent", "consequent").alias("set_id"), F.array("antecedent", "consequent").alias("items"), "lift"), "pairs")
+    lists = contents(present, group, document, label, told.select("group", F.explode("items").alias("item")))
+    found = stored(held(lists, told.select("group", "set_id", "items")).join(sent(told), ["group", "set_id"]).select("group", "has", "items", "lift"), "combinations")
+    return lists.join(sent(found), ["group", "has"]).select(F.col("basket").alias(document), F.col("group").alias(group), "items", "lift")
 
 
-def deviation_score(flags: DataFrame, document: str) -> DataFrame:
-    """document, score, tier. ``flags``: document, kind, prevalence_gap, confidence, lift (each may be null).
+def deviation_score(flags: DataFrame, document: str, *more: Column) -> DataFrame:
+    """document, score, the aggregates ``more``, tier. ``flags``: document, kind, prevalence_gap, confidence, lift (each may be null).
 
     A flag adds its kind's weight times one plus the weighted evidence it carries; this formula is
     ours, since the weights are all that is given.
@@ -69,7 +72,7 @@ def deviation_score(flags: DataFrame, document: str) -> DataFrame:
     evidence = F.lit(1.0)
     for name, m in MULTIPLIERS.items():
         evidence = evidence + m * F.coalesce(F.col(name), F.lit(0.0))
-    got = flags.groupBy(document).agg(F.sum(weight * evidence).alias("score"))
+    got = flags.groupBy(document).agg(F.sum(weight * evidence).alias("score"), *more)
     return got.withColumn("tier", tier(F.col("score")))
 
 

@@ -12,7 +12,7 @@ from ..functions import predicates as P
 from ..functions.stored import stored
 from ..operators import align as A
 from ..operators import associations as S
-from ..operators import clustering, composites, itemsets, mining, rebinding, scoring
+from ..operators import clustering, composites, itemsets, keywords, mining, rebinding, scoring, segments
 from ..operators.judging import JudgeMemo
 from ..sources.store import shared_folder
 from .queries import QUERIES, RULES, SQL, conversation_contexts, document_context, document_fields, op, query, r6, read
@@ -113,9 +113,9 @@ def deviation_flags(spark, sf_dir):
 SELECT sale_id, kinds, round(score, 5) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2.5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS tier FROM sc""")
 def deviation_of_all_kinds(spark, sf_dir):
     """Scores to which all four kinds of flags add."""
-    flags = stored(deviations(spark, sf_dir), "flags").withColumnsRenamed({"kind": "about_kind", "flag": "kind"})
-    kinds = flags.groupBy("sale_id").agg(F.count_distinct("kind").alias("kinds"))
-    return scoring.deviation_score(flags, "sale_id").join(kinds, "sale_id").select("sale_id", "kinds", F.round("score", 5).alias("score"), "tier")
+    flags = deviations(spark, sf_dir).withColumnRenamed("flag", "kind")
+    got = scoring.deviation_score(flags, "sale_id", F.size(F.collect_set("kind")).cast("long").alias("kinds"))
+    return got.select("sale_id", "kinds", F.round("score", 5).alias("score"), "tier")
 
 
 # ---------------------------------------------------------------- vectors
@@ -186,3 +186,43 @@ def align_judge_memo(spark, sf_dir):
 
 
 QUERIES["align_judge_memo"], SQL["align_judge_memo"] = align_judge_memo, SQL["align_judge"]
+
+
+# ---------------------------------------------------------------- texts
+
+_ABOVE = " || ".join(
+    f"CASE WHEN level >= {k} AND coalesce(a{k} > greatest(-1, {', '.join(f'coalesce(a{j}, -1)' for j in range(1, k)) or '-1'}), false) THEN ' > ' || n{k} ELSE '' END" for k in range(1, segments.LEVELS + 1)
+)
+_LAST = ", ".join(f"max(pos) FILTER (level = {k}) OVER w AS a{k}, arg_max(number, pos) FILTER (level = {k}) OVER w AS n{k}" for k in range(1, segments.LEVELS + 1))
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+m AS (SELECT doc_id, pos, length(line) + 1 AS size, length(text) AS whole, regexp_extract(line, '{segments.ARTICLE}', 1) AS x1, regexp_extract(line, '{segments.DECIMAL}', 1) AS x2,
+  regexp_extract(line, '{segments.LETTER}', 1) AS x3, regexp_extract(line, '{segments.ROMAN}', 1) AS x4 FROM l),
+p AS (SELECT doc_id, pos, whole, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  CASE WHEN x1 <> '' THEN 1 WHEN x2 <> '' THEN least(1 + len(string_split(x2, '.')), 8) WHEN x3 <> '' THEN 9 WHEN x4 <> '' THEN 10 END AS level, CASE WHEN x1 <> '' THEN x1 WHEN x2 <> '' THEN x2 WHEN x3 <> '' THEN x3 ELSE x4 END AS number FROM m),
+h AS (SELECT doc_id, pos, whole, start, coalesce(level, 0) AS level, number FROM p WHERE level IS NOT NULL OR (pos = 0 AND whole > 0)),
+a AS (SELECT *, {_LAST} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT doc_id, row_number() OVER o - 1 AS ordinal, level, substr({_ABOVE}, 4) AS path, CAST(start AS BIGINT) AS start, CAST(coalesce(lead(start) OVER o, whole) - start AS BIGINT) AS length FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT s.doc_id, ordinal, level, path, start, s.length, md5(substr(text, start + 1, s.length)) AS clause_md5 FROM s JOIN documents d ON s.doc_id = d.doc_id""")
+def document_clauses(spark, sf_dir):
+    """Every whole text cut at its numbered headings, with the path of headings above each clause."""
+    return segments.clauses(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").withColumn("clause_md5", F.md5("clause")).drop("clause")
+
+
+@query(r"""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[\p{L}]{3,}')) AS word FROM documents WHERE source IS NOT NULL), c AS (SELECT source, word, count(*) AS n FROM w GROUP BY 1, 2),
+t AS (SELECT source, sum(n) AS words FROM c GROUP BY 1), o AS (SELECT word, sum(n) AS o FROM c GROUP BY 1)
+SELECT source, word, n, round(n::DOUBLE / words * ln(1 + (SELECT avg(words) FROM t) / o), 9) AS weight FROM c JOIN t USING (source) JOIN o USING (word)""")
+def keyword_weights(spark, sf_dir):
+    """Class-based TF-IDF of every word of whole texts by source."""
+    counts = keywords.word_counts(read(spark, sf_dir, "documents"), "source", "text")
+    return keywords.weights(counts, "source").withColumn("weight", F.round("weight", 9))
+
+
+def cluster_keywords(spark, sf_dir):
+    """Five keywords a source, chosen by maximal marginal relevance; tests hold the choice against brute force."""
+    counts = keywords.word_counts(read(spark, sf_dir, "documents"), "source", "text")
+    return keywords.keywords(keywords.weights(counts, "source"), "source").withColumn("weight", F.round("weight", 9))
+
+
+QUERIES["cluster_keywords"] = cluster_keywords
