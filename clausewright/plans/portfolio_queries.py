@@ -226,3 +226,24 @@ def cluster_keywords(spark, sf_dir):
 
 
 QUERIES["cluster_keywords"] = cluster_keywords
+
+
+# ---------------------------------------------------------------- revisions
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS rule_id, p_partkey AS k, p_name AS title, p_size AS n FROM part)
+SELECT rule_id, 1 AS version, title, '{"op":"field.gte","args":["size",' || n || ']}' AS predicate FROM p
+UNION ALL SELECT rule_id, 2, title, '{"op":"not","args":[{"op":"field.gte","args":["size",' || n + 1 || ']}]}' FROM p WHERE k % 3 = 0
+UNION ALL SELECT rule_id, 3, title || ' (again)', '{"op":"not","args":[{"op":"field.gte","args":["size",' || n + 1 || ']}]}' FROM p WHERE k % 9 = 0""")
+def rule_revisions(spark, sf_dir):
+    """Parts as rules: a third are revised, a ninth twice; every version comes back from the diffs."""
+    from ..sources import revisions
+    from ..sources.store import Store
+
+    store = Store(spark, shared_folder(spark, "store"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_partkey").alias("k"), F.col("p_name").alias("title"), F.col("p_size").alias("n"))
+    tree = lambda n: F.concat(F.lit('{"op":"field.gte","args":["size",'), n.cast("string"), F.lit("]}"))
+    store.create_rules(parts.select("rule_id", "title", tree(F.col("n")).alias("predicate")))
+    revisions.revise(store, parts.filter("k % 3 = 0").select("rule_id", F.concat(F.lit('{"op":"not","args":['), tree(F.col("n") + 1), F.lit("]}")).alias("predicate")), "reviewer", "turned round", "2024-02-01 00:00:00")
+    revisions.revise(store, parts.filter("k % 9 = 0").select("rule_id", F.concat("title", F.lit(" (again)")).alias("title")), "reviewer", "named anew", "2024-03-01 00:00:00")
+    return revisions.history(store).select("rule_id", "version", F.get_json_object("document", "$.title").alias("title"), F.get_json_object("document", "$.predicate").alias("predicate"))

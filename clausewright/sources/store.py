@@ -101,11 +101,13 @@ class Store:
         self.append("policy_rules", rules)
 
     def rules(self, policy_id: str | None = None) -> DataFrame:
-        """Rules with their current status, by title."""
+        """Rules in their latest version, with their current status, by title."""
         latest = self.table("rule_events").groupBy("rule_id").agg(F.max_by("status", "at").alias("latest"))
         got = self.table("policy_rules")
         if policy_id is not None:
             got = got.filter(F.col("policy_id") == policy_id)
+        revised = self.table("rule_revisions").groupBy("rule_id").agg(F.max("revision_no").alias("revised"))
+        got = got.join(revised, "rule_id", "left").filter("coalesce(version, 1) = coalesce(revised, coalesce(version, 1))").drop("revised")
         got = got.join(latest, "rule_id", "left").withColumn("status", F.coalesce("latest", "status")).drop("latest")
         return got.orderBy("title", "rule_id")
 
