@@ -247,3 +247,23 @@ def rule_revisions(spark, sf_dir):
     revisions.revise(store, parts.filter("k % 3 = 0").select("rule_id", F.concat(F.lit('{"op":"not","args":['), tree(F.col("n") + 1), F.lit("]}")).alias("predicate")), "reviewer", "turned round", "2024-02-01 00:00:00")
     revisions.revise(store, parts.filter("k % 9 = 0").select("rule_id", F.concat("title", F.lit(" (again)")).alias("title")), "reviewer", "named anew", "2024-03-01 00:00:00")
     return revisions.history(store).select("rule_id", "version", F.get_json_object("document", "$.title").alias("title"), F.get_json_object("document", "$.predicate").alias("predicate"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("""WITH v AS (SELECT client_id, seq, unnest(['segment', 'city']) AS name, unnest([segment, city]) AS value FROM client_changes WHERE client_id IS NOT NULL),
+w AS (SELECT client_id, name, value FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id, name ORDER BY seq DESC NULLS LAST, value DESC) = 1)
+SELECT client_id, max(value) FILTER (name = 'segment') AS segment, max(value) FILTER (name = 'city') AS city FROM w GROUP BY 1 HAVING count(*) = 2""")
+def streamed_contexts(spark, sf_dir):
+    """Clients' contexts from their changes as a stream: the last one that went out of each client that is complete."""
+    from ..streaming import contexts
+
+    changes = read(spark, sf_dir, "client_changes")
+    stream = spark.readStream.schema(changes.schema).parquet(f"{sf_dir}/client_change[s].parquet")
+    values = stream.select(F.col("client_id").alias("agreement_id"), F.col("seq").alias("ordinal"), F.expr("stack(2, 'segment', segment, 'city', city) as (name, value)"))
+    folder = shared_folder(spark, "contexts")
+    emitted = contexts.context_stream(values, ["segment", "city"]).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    emitted.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = contexts.latest(spark.read.schema("agreement_id long, revision int, fields map<string,string>").parquet(f"{folder}/out"))
+    return got.select(F.col("agreement_id").alias("client_id"), F.col("fields.segment").alias("segment"), F.col("fields.city").alias("city"))
