@@ -33,6 +33,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Bounds of the dictionary and of the archive's records it is built from.
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20
+#: Bytes of archives that a task reads.
+READ_BYTES = 256 << 20
 
 _MANIFEST = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 _RECORDS = pa.schema(
@@ -218,8 +220,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives that ``manifest`` (a stored table) names."""
-    n = max(1, manifest.count())
+    """Every record of the archives that ``manifest`` (a stored table, as ``write_archives`` gives it) names.
+
+    A task reads about ``READ_BYTES`` of archives, less where the cluster has idle cores.
+
+    Defined results: an empty manifest gives no records; an archive that is damaged, or doesn't begin with
+    its dictionary, is an error; an archive that is named twice is read twice; other columns are not read.
+    """
+    total = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(total.n, max(2 * cores, -(-total.bytes // READ_BYTES))))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -236,13 +246,25 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     return manifest.select("archive").repartition(n).mapInArrow(run, _RECORDS_DDL)
 
 
+def unfounded(records: DataFrame) -> DataFrame:
+    """refers_to, payload_bytes, payload_digest, n: what revisits claim that no response bears out.
+
+    A revisit has no payload of its own: its length and digest have to be those of the response that it names.
+    Revisits that claim the same are one row before they meet the responses, however many they are.
+    """
+    claims = records.filter("record_type = 'revisit'").groupBy("refers_to", "payload_bytes", "payload_digest").agg(F.count("*").alias("n"))
+    stored = records.filter("record_type = 'response' and record_id is not null").select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    return claims.join(stored, ["refers_to", "payload_bytes", "payload_digest"], "left_anti")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, scratch = read(spark, sf_dir, "pages"), Scratch(spark, "warc")
     manifest = scratch.table(write_archives(pages, scratch.path("archives")), "manifest")
     id_type = pages.schema["page_id"].dataType
-    return read_archives(manifest, with_payload=False).select(
-        F.col("record_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to")
-    )
+    records = scratch.table(read_archives(manifest, with_payload=False).drop("payload"), "records")
+    if (wrong := unfounded(records).first()) is not None:
+        raise ValueError(f"revisits of {wrong.refers_to} claim a payload that it has not")
+    return records.select(F.col("record_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
 
 
 SQL = """

@@ -135,3 +135,23 @@ def test_archives_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     manifest = scratch.table(warc.write_archives(none, scratch.path("archives")), "manifest")
     assert warc.read_archives(manifest).collect() == []
+
+
+def test_revisits_are_borne_out_by_their_responses(spark):
+    rows = [("1", "response", 200, "a", None), ("2", "revisit", 200, "a", "1"), ("3", "revisit", 200, "a", "1"), ("4", "revisit", 200, "b", "1"), ("5", "revisit", 100, "a", "1"), ("6", "revisit", 200, "a", "9"), ("7", "revisit", 200, "a", "2"), (None, "response", 5, "c", None)]
+    records = spark.createDataFrame(rows, "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string")
+    got = {(r.refers_to, r.payload_bytes, r.payload_digest): r.n for r in warc.unfounded(records).collect()}
+    assert got == {("1", 200, "b"): 1, ("1", 100, "a"): 1, ("9", 200, "a"): 1, ("2", 200, "a"): 1}
+    assert warc.unfounded(records.limit(0)).collect() == []
+
+
+def test_archives_are_read_by_bytes(spark, monkeypatch):
+    scratch = Scratch(spark, "test_warc")
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame([(k, "u", f"<html>{k}" * 60) for k in range(120)], "page_id long, url string, html string").repartition(2)
+    manifest = scratch.table(warc.write_archives(pages, scratch.path("archives")), "manifest")
+    assert manifest.count() > 20
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism  # few bytes: as many tasks as cores can use
+    monkeypatch.setattr(warc, "READ_BYTES", 500)
+    assert warc.read_archives(manifest).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert sorted(int(r.record_id) for r in warc.read_archives(manifest).collect()) == list(range(120))
