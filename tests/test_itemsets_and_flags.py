@@ -123,3 +123,14 @@ def test_the_highest_scores_and_few_scans(spark):
     got = scoring.top_outliers(spark.createDataFrame(rows, "d long, score double"), "d")
     assert sorted(r.d for r in got.collect()) == sorted(d for d, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:50])
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 5
+
+
+def test_stored_tables_are_freed_by_session(spark):
+    stored_module.clear(spark)
+    other = spark.newSession()
+    kept = stored_module.stored(other.range(3))
+    for _ in range(2):
+        stored_module.stored(spark.range(5).repartition(2))
+    assert stored_module.clear(spark) == 2 and stored_module.clear(spark) == 0
+    assert kept.count() == 3 and stored_module.clear(other) == 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
