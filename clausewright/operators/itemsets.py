@@ -9,7 +9,9 @@ a group or an item that most baskets have is summed up where it is read and is n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stored import sent, stored
@@ -32,10 +34,29 @@ def frequent_itemsets(baskets: DataFrame, group: str, basket: str, item: str, su
     limits = stored(sizes.filter(F.col("baskets") >= least_baskets).withColumn("least", F.greatest(F.ceil(F.col("baskets") * F.lit(support) - 1e-9), F.lit(least_count))), "limits")
     enough = lambda counts: counts.join(sent(limits), "group").filter(F.col("n") >= F.col("least"))
     single = stored(enough(rows.groupBy("group", "item").agg(F.count("*").alias("n"))).select("group", "item", "n", "baskets"), "single")
-    # Most frequent items first: the lists before an item are short, and many of them equal.
     placed = rows.join(sent(single.select("group", "item", "n")), ["group", "item"])
-    lists = placed.groupBy("group", "basket").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("place"), "item"))), lambda x: x["item"]).alias("items"))
-    lists = lists.groupBy("group", "items").agg(F.count("*").alias("n"))
+    lists = placed.groupBy("group", "basket").agg(_ordered())
+    return _grow(lists.groupBy("group", "items").agg(F.count("*").alias("n")), single, enough).withColumnRenamed("group", group)
+
+
+def itemsets_of(counts: DataFrame, support: float, least_baskets: int = LEAST_BASKETS, least_count: int = LEAST_COUNT) -> DataFrame:
+    """``frequent_itemsets`` of contents: group, has, n (how many baskets have just these items)."""
+    sizes = counts.groupBy("group").agg(F.sum("n").alias("baskets"))
+    limits = stored(sizes.filter(F.col("baskets") >= least_baskets).withColumn("least", F.greatest(F.ceil(F.col("baskets") * F.lit(support) - 1e-9), F.lit(least_count))), "limits")
+    enough = lambda found: found.join(sent(limits), "group").filter(F.col("n") >= F.col("least"))
+    each = counts.select("group", "has", F.col("n").alias("times"), F.explode("has").alias("item"))
+    single = stored(enough(each.groupBy("group", "item").agg(F.sum("times").alias("n"))).select("group", "item", "n", "baskets"), "single")
+    lists = each.join(sent(single.select("group", "item", "n")), ["group", "item"]).groupBy("group", "has", "times").agg(_ordered())
+    return _grow(lists.groupBy("group", "items").agg(F.sum("times").alias("n")), single, enough)
+
+
+def _ordered() -> Column:
+    """A basket's items, most frequent first: the lists before an item are short, and many of them equal."""
+    return F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("place"), "item"))), lambda x: x["item"]).alias("items")
+
+
+def _grow(lists: DataFrame, single: DataFrame, enough: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All frequent sets from ordered lists (group, items, n), the frequent items and what keeps counts that are high enough."""
     found = [single.select("group", F.array("item").alias("items"), "n", "baskets")]
     grown = stored(_conditional(lists.select("group", F.array().cast(lists.schema["items"].dataType).alias("suffix"), "items", "n")), "conditional")
     while True:
@@ -48,7 +69,7 @@ def frequent_itemsets(baskets: DataFrame, group: str, basket: str, item: str, su
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.withColumnRenamed("group", group)
+    return out
 
 
 def _conditional(lists: DataFrame, among: DataFrame | None = None) -> DataFrame:
@@ -75,17 +96,41 @@ def rules_of(itemsets: DataFrame, group: str, confidence: float = 0.0, lift: flo
     return rules.filter((F.col("confidence") >= confidence - 1e-9) & (F.col("lift") >= lift - 1e-9))
 
 
-def contents(baskets: DataFrame, group: str, basket: str, item: str, vocabulary: DataFrame) -> DataFrame:
-    """group, basket, has: what each basket has of its group's ``vocabulary`` (group, item), sorted; stored.
+def contents(baskets: DataFrame, group: str, basket: str, item: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """group, basket, has: what each basket has, or has of its group's ``vocabulary`` (group, item), sorted; stored.
 
-    Baskets with equal contents are judged once, so what follows works on the distinct contents, which are
-    no longer than the vocabulary, and comes back to the baskets by a join.
+    Baskets with equal contents are judged once: what follows works on ``counts_of`` them, and comes back to
+    the baskets by a join. A content is no longer than the vocabulary, or than the kinds of items there are.
     """
-    words = stored(vocabulary.select(F.col("group"), F.col("item")).distinct(), "vocabulary")
-    rows = baskets.select(F.col(group).alias("group"), F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().join(sent(words), ["group", "item"], "left_semi")
+    rows = baskets.select(F.col(group).alias("group"), F.col(basket).alias("basket"), F.col(item).alias("item")).dropna()
+    if vocabulary is not None:
+        rows = rows.join(sent(stored(vocabulary.select("group", "item").distinct(), "vocabulary")), ["group", "item"], "left_semi")
     return stored(rows.groupBy("group", "basket").agg(F.sort_array(F.collect_set("item")).alias("has")), "contents")
 
 
+def counts_of(lists: DataFrame) -> DataFrame:
+    """group, has, n: the distinct contents; stored."""
+    return stored(lists.groupBy("group", "has").agg(F.count("*").alias("n")), "counts")
+
+
+def shares_of(counts: DataFrame) -> DataFrame:
+    """group, item, n, share (of the group's baskets)."""
+    totals = counts.groupBy("group").agg(F.sum("n").alias("baskets"))
+    each = counts.select("group", "n", F.explode("has").alias("item")).groupBy("group", "item").agg(F.sum("n").alias("n"))
+    return each.join(totals, "group").select("group", "item", "n", (F.col("n") / F.col("baskets")).alias("share"))
+
+
+def pairs_of(counts: DataFrame) -> DataFrame:
+    """group, antecedent, consequent (the later in the alphabet), n_both, lift."""
+    shares, totals = shares_of(counts), counts.groupBy("group").agg(F.sum("n").alias("baskets"))
+    first = counts.select("group", "has", "n", F.explode("has").alias("antecedent"))
+    both = first.select("group", "n", "antecedent", F.explode(F.filter("has", lambda x: x > F.col("antecedent"))).alias("consequent"))
+    both = both.groupBy("group", "antecedent", "consequent").agg(F.sum("n").alias("n_both")).join(totals, "group")
+    for side, name in (("antecedent", "n_a"), ("consequent", "n_c")):
+        both = both.join(shares.select("group", F.col("item").alias(side), F.col("n").alias(name)), ["group", side])
+    return both.select("group", "antecedent", "consequent", "n_both", (F.col("n_both") * F.col("baskets") / (F.col("n_a") * F.col("n_c"))).alias("lift"))
+
+
 def held(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """group, has, set_id: for each distinct content the sets of its group of which it has every item; stored.
 

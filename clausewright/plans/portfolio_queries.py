@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.stored import stored
+from ..functions.stored import sent, stored
 from ..operators import align as A
-from ..operators import associations as S
-from ..operators import clustering, composites, itemsets, keywords, mining, rebinding, scoring, segments
+from ..operators import clustering, composites, itemsets, keywords, rebinding, scoring, segments
 from ..operators.judging import JudgeMemo
 from ..sources.store import shared_folder
 from .queries import QUERIES, RULES, SQL, conversation_contexts, document_context, document_fields, op, query, r6, read
@@ -49,36 +48,22 @@ def itemsets_by_cluster(spark, sf_dir):
     return got.select("status", F.array_join("items", ",").alias("items"), "n", "baskets")
 
 
-def _rules(kinds: DataFrame) -> DataFrame:
-    return itemsets.rules_of(itemsets.frequent_itemsets(kinds, "status", "sale_id", "kind", SUPPORT), "status", CONFIDENCE)
+def _contents(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sales' contents, how many sales have each, and the association rules of each status."""
+    lists = itemsets.contents(sale_kinds(spark, sf_dir), "status", "sale_id", "kind")
+    counts = itemsets.counts_of(lists)
+    return lists, counts, itemsets.rules_of(itemsets.itemsets_of(counts, SUPPORT), "group", CONFIDENCE)
 
 
 @query(f"WITH {_KINDS} SELECT status, rule_id, array_to_string(antecedent, ',') AS antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM r WHERE confidence >= {CONFIDENCE} - 1e-9")
 def itemset_rules_by_cluster(spark, sf_dir):
-    got = _rules(sale_kinds(spark, sf_dir))
-    return got.select("status", "rule_id", F.array_join("antecedent", ",").alias("antecedent"), F.col("consequent")[0].alias("consequent"), *(r6(F.col(c)).alias(c) for c in ("support", "confidence", "lift")))
-
-
-def deviations(spark, sf_dir) -> DataFrame:
-    """sale_id, kind, about, rule_id, prevalence_gap, confidence, lift: the flags of all four kinds."""
-    kinds = stored(sale_kinds(spark, sf_dir), "kinds")
-    shares = stored(mining.prevalence(kinds, "status", "sale_id", "kind").select("status", "kind", "share"), "shares")
-    none = lambda name, kind="double": F.lit(None).cast(kind).alias(name)
-    flags = [
-        scoring.missing_consequents(kinds, _rules(kinds), "sale_id", "status", "kind").select("sale_id", F.lit("missing_arm_consequent").alias("flag"), F.col("kind").alias("about"), "rule_id", none("prevalence_gap"), "confidence", "lift"),
-        scoring.missing_expected(kinds, shares.filter(F.col("share") >= 0.5), "sale_id", "status", "kind").select("sale_id", F.lit("missing_expected").alias("flag"), F.col("kind").alias("about"), none("rule_id", "string"), F.col("share").alias("prevalence_gap"), none("confidence"), none("lift")),
-        scoring.unexpected(kinds, shares, "sale_id", "status", "kind", RARE).select("sale_id", F.lit("unexpected_clause").alias("flag"), F.col("kind").alias("about"), none("rule_id", "string"), "prevalence_gap", none("confidence"), none("lift")),
-    ]
-    usual = shares.filter(F.col("share") >= PAIR_SHARE).select("status", "kind")
-    pairs = S.pair_rules(kinds, "sale_id", "kind", ("status",)).filter(F.col("lift") < PAIR_LIFT)
-    for side in ("antecedent", "consequent"):
-        pairs = pairs.join(usual.withColumnRenamed("kind", side), ["status", side], "left_semi")
-    rare = scoring.rare_combinations(kinds, pairs, "sale_id", "status", "kind")
-    flags.append(rare.select("sale_id", F.lit("rare_combination").alias("flag"), F.array_join("items", "+").alias("about"), none("rule_id", "string"), none("prevalence_gap"), none("confidence"), "lift"))
-    out = flags[0]
-    for more in flags[1:]:
-        out = out.unionByName(more)
-    return out
+    _, _, got = _contents(spark, sf_dir)
+    return got.select(F.col("group").alias("status"), "rule_id", F.array_join("antecedent", ",").alias("antecedent"), F.col("consequent")[0].alias("consequent"), *(r6(F.col(c)).alias(c) for c in ("support", "confidence", "lift")))
+
+
+def _flags(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    lists, counts, rules = _contents(spark, sf_dir)
+    return lists, scoring.content_flags(counts, rules, 0.5, RARE, PAIR_LIFT, PAIR_SHARE)
 
 
 _DEVIATIONS = f"""{_KINDS.strip()},
@@ -104,7 +89,9 @@ fl AS (
 
 @query(f"WITH {_DEVIATIONS} SELECT sale_id, flag, about, rule_id, round(prevalence_gap, 6) AS prevalence_gap, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM fl")
 def deviation_flags(spark, sf_dir):
-    return deviations(spark, sf_dir).select("sale_id", "flag", "about", "rule_id", *(r6(F.col(c)).alias(c) for c in ("prevalence_gap", "confidence", "lift")))
+    lists, flags = _flags(spark, sf_dir)
+    each = lists.join(sent(flags), ["group", "has"])
+    return each.select(F.col("basket").alias("sale_id"), F.col("kind").alias("flag"), "about", "rule_id", *(r6(F.col(c)).alias(c) for c in ("prevalence_gap", "confidence", "lift")))
 
 
 @query(f"""WITH {_DEVIATIONS}, sc AS (
@@ -113,9 +100,10 @@ def deviation_flags(spark, sf_dir):
 SELECT sale_id, kinds, round(score, 5) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2.5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS tier FROM sc""")
 def deviation_of_all_kinds(spark, sf_dir):
     """Scores to which all four kinds of flags add."""
-    flags = deviations(spark, sf_dir).withColumnRenamed("flag", "kind")
-    got = scoring.deviation_score(flags, "sale_id", F.size(F.collect_set("kind")).cast("long").alias("kinds"))
-    return got.select("sale_id", "kinds", F.round("score", 5).alias("score"), "tier")
+    lists, flags = _flags(spark, sf_dir)
+    scores = stored(scoring.deviation_score(flags, ["group", "has"], F.size(F.collect_set("kind")).cast("long").alias("kinds")), "scores")
+    got = lists.join(sent(scores), ["group", "has"])
+    return got.select(F.col("basket").alias("sale_id"), "kinds", F.round("score", 5).alias("score"), "tier")
 
 
 # ---------------------------------------------------------------- vectors

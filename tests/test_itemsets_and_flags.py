@@ -134,3 +134,18 @@ def test_stored_tables_are_freed_by_session(spark):
     assert stored_module.clear(spark) == 2 and stored_module.clear(spark) == 0
     assert kept.count() == 3 and stored_module.clear(other) == 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_contents_stand_for_their_baskets(baskets):
+    lists = itemsets.contents(baskets, "g", "b", "i")
+    assert {(r.group, r.basket): set(r.has) for r in lists.collect()} == held(baskets)
+    counts = itemsets.counts_of(lists)
+    assert counts.count() < lists.count() == sum(r.n for r in counts.collect())
+    sets = lambda df, g: {(r[g], tuple(r["items"])): (r.n, r.baskets) for r in df.collect()}
+    assert sets(itemsets.itemsets_of(counts, 0.1), "group") == sets(itemsets.frequent_itemsets(baskets, "g", "b", "i", 0.1), "g")
+    totals = Counter(g for g, _ in held(baskets))
+    want = Counter((g, i) for (g, _), items in held(baskets).items() for i in items)
+    assert {(r.group, r.item): (r.n, r.share) for r in itemsets.shares_of(counts).collect()} == {k: (n, n / totals[k[0]]) for k, n in want.items()}
+    pairs = {(r.g, r.antecedent, r.consequent): (r.n_both, r.lift) for r in associations.pair_rules(baskets.dropna(), "b", "i", ("g",)).collect() if r.antecedent < r.consequent}
+    got = {(r.group, r.antecedent, r.consequent): (r.n_both, r.lift) for r in itemsets.pairs_of(counts).collect()}
+    assert got.keys() == pairs.keys() and all(got[k] == pytest.approx(v) for k, v in pairs.items())
