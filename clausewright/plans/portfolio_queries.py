@@ -14,6 +14,7 @@ from ..operators import align as A
 from ..operators import clustering, composites, itemsets, keywords, rebinding, scoring, segments
 from ..operators.judging import JudgeMemo
 from ..sources.store import shared_folder
+from . import views
 from .queries import QUERIES, RULES, SQL, conversation_contexts, document_context, document_fields, op, query, r6, read
 
 SUPPORT, CONFIDENCE = 0.05, 0.4
@@ -255,3 +256,21 @@ def streamed_contexts(spark, sf_dir):
     emitted.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = contexts.latest(spark.read.schema("agreement_id long, revision int, fields map<string,string>").parquet(f"{folder}/out"))
     return got.select(F.col("agreement_id").alias("client_id"), F.col("fields.segment").alias("segment"), F.col("fields.city").alias("city"))
+
+
+# ---------------------------------------------------------------- texts of rules
+
+
+@query("""SELECT p_partkey::VARCHAR AS rule_id, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN 'ask a lawyer' ELSE
+'if (not (brand = ' || p_brand || ')) then ((size between ' || p_size || ' and ' || (p_size + 10) || ') or (has clause ' || p_type || ') or (field.gte(price, ' || p_size * 2 || ')))' END AS text FROM part""")
+def rule_texts(spark, sf_dir):
+    """Parts as rules: every rule's tree as a line of text, made where the rules are."""
+    p = read(spark, sf_dir, "part")
+    node = lambda name, *args: F.struct(F.lit(name).alias("op"), F.array(*args).alias("args"))
+    between = F.concat(F.lit('{"op":"field.between","args":["size",'), F.col("p_size").cast("string"), F.lit(","), (F.col("p_size") + 10).cast("string"), F.lit("]}"))
+    least = F.concat(F.lit('{"op":"field.gte","args":["price",'), (F.col("p_size") * 2).cast("string"), F.lit("]}"))
+    unless = F.concat(F.lit('{"op":"not","args":['), F.to_json(node("field.eq", F.lit("brand"), F.col("p_brand"))), F.lit("]}"))
+    either = F.concat(F.lit('{"op":"any_of","args":['), F.concat_ws(",", between, F.to_json(node("clause.classified_as", F.col("p_type"))), least), F.lit("]}"))
+    tree = F.concat(F.lit('{"op":"if_then","args":['), unless, F.lit(","), either, F.lit("]}"))
+    predicate = F.when(F.col("p_size") % 5 == 1, "ask a lawyer").when(F.col("p_size") % 5 != 0, tree)
+    return p.select(F.col("p_partkey").cast("string").alias("rule_id"), views.predicate_text(predicate).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,3 +231,22 @@ def snapshot(**parts: DataFrame) -> DataFrame:
         rows = df.select(F.to_json(F.struct(*df.columns)).alias("row")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]")).alias(name))
         out = rows if out is None else out.crossJoin(rows)  # one row each
     return out
+
+
+def predicate_text(predicate: Column) -> Column:
+    """A JSON predicate tree as a line of text, per row where the rules are; null for null, the text itself if it is no JSON."""
+    import pandas as pd
+
+    from ..functions.predicates import describe
+
+    @F.pandas_udf("string")
+    def told(trees: pd.Series) -> pd.Series:
+        def one(tree):
+            try:
+                return None if tree is None else describe(json.loads(tree))
+            except ValueError:
+                return tree
+
+        return pd.Series([one(t) for t in trees], dtype=object)
+
+    return told(predicate)
