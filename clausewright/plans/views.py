@@ -240,7 +240,7 @@ def predicate_text(predicate: Column) -> Column:
     from ..functions.predicates import describe
 
     @F.pandas_udf("string")
-    def told(trees: pd.Series) -> pd.Series:
+    def told(trees):
         def one(tree):
             try:
                 return None if tree is None else describe(json.loads(tree))
