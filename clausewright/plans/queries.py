@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions.stored import sent, stored
 from ..operators import align as A
 from ..operators import associations as S
 from ..operators import context, mining, scoring
@@ -478,8 +479,8 @@ def numeric_buckets(spark, sf_dir):
     field = lambda df, name, value: df.select(F.lit(name).alias("field"), value.cast("double").alias("v"))
     v = field(li, "quantity", F.col("l_quantity")).unionByName(field(li, "line", F.col("l_linenumber"))).unionByName(field(p, "size", F.col("p_size") * 7.5))
     v = v.unionByName(field(read(spark, sf_dir, "nation"), "nation", F.col("n_nationkey"))).unionByName(field(p, "charge", F.col("p_retailprice") / 2)).unionByName(field(read(spark, sf_dir, "orders"), "price", F.col("o_totalprice")))
-    largest = v.groupBy("field").agg(F.max("v").alias("m"))
-    return v.join(F.broadcast(largest), "field").groupBy("field", mining.bucket_start(F.col("v"), F.col("m")).alias("bucket")).agg(F.count("*").alias("n"))  # a row a field
+    largest = sent(stored(v.groupBy("field").agg(F.max("v").alias("m")), "largest"))
+    return v.join(largest, "field").groupBy("field", mining.bucket_start(F.col("v"), F.col("m")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH b AS (SELECT o_orderstatus, count(*) AS n, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY 1)
