@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Tables of at most this many rows and bytes of text are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-#: Folders of scratch tables made since the last ``clear``.
-_ROOTS: list[str] = []
+#: Folders of scratch tables made since the last ``clear``, by session.
+_ROOTS: dict[str, list[str]] = {}
 
 #: ASCII white space as the contracts define it: 0x20 and 0x09 to 0x0D.
 SPACE = r"\x20\x09-\x0D"
@@ -50,7 +50,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: set[str] = set()
-        _ROOTS.append(self.root)
+        _ROOTS.setdefault(_session(spark), []).append(self.root)
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"
@@ -79,6 +79,10 @@ class Scratch:
         self.drop(*(self.made - set(labels)))
 
 
+def _session(spark: SparkSession) -> str:
+    return str(spark._jsparkSession.sessionUUID())
+
+
 def _delete(spark: SparkSession, uri: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -86,7 +90,7 @@ def _delete(spark: SparkSession, uri: str) -> None:
 
 def clear(spark: SparkSession) -> int:
     """Frees the tables that this session's operators still hold, once their results have been read; how many folders."""
-    left, _ROOTS[:] = list(_ROOTS), []
+    left = _ROOTS.pop(_session(spark), [])
     for root in left:
         _delete(spark, root)
     return len(left)

@@ -17,6 +17,14 @@ def test_scratch_tables_are_freed(spark):
     assert common.clear(spark) == 0
 
 
+def test_other_sessions_keep_their_tables(spark):
+    common.clear(spark)
+    other = spark.newSession()
+    kept = common.Scratch(other, "test_common").table(other.range(3), "a")
+    common.Scratch(spark, "test_common").table(spark.range(3), "a")
+    assert common.clear(spark) == 1 and kept.count() == 3 and common.clear(other) == 1
+
+
 def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
     texts = spark.createDataFrame([("x" * 100,), ("y" * 50,)], "t string")
     hinted = lambda: "broadcast" in common.small(texts, "t")._jdf.queryExecution().logical().toString().lower()
