@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read, text_or_empty
+from .common import fold, read, small, text_or_empty
 
 UNDETERMINED = "und"
 #: The labelled sample: so many rows of each language, lowest hash of the id first, of at most so many
@@ -224,12 +224,12 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     chosen = []
     if limits:
         table = labelled.sparkSession.createDataFrame(sorted(limits.items()), "lang string, most long")  # a row a language
-        chosen = rows.filter("short").join(table, "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", excerpt).collect()
+        chosen = rows.filter("short").join(small(table), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", excerpt).collect()
     told = {c.lang for c in chosen}
     if missing := [r.lang for r in counts if r.lang not in told]:
         # Only long texts, or none with so low a hash: the shortest one, then the lowest hash.
         table = labelled.sparkSession.createDataFrame([(m,) for m in missing], "lang string")
-        shortest = rows.join(table, "lang").groupBy("lang").agg(F.min(F.struct(F.length("text").alias("size"), "h", excerpt)).alias("best"))
+        shortest = rows.join(small(table), "lang").groupBy("lang").agg(F.min(F.struct(F.length("text").alias("size"), "h", excerpt)).alias("best"))
         chosen += shortest.select("lang", "best.h", "best.text").collect()
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for c in chosen:
