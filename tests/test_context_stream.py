@@ -6,7 +6,6 @@ import pytest
 from clausewright.operators import context
 from clausewright.operators.align import align
 from clausewright.streaming import contexts as S
-from pyspark.sql import functions as F
 
 DDL = "agreement_id long, name string, value string, ordinal long"
 
