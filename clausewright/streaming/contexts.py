@@ -26,7 +26,7 @@ def latest_values(held: dict[str, list], rows: Iterator[tuple]) -> bool:
     for name, value, ordinal in rows:
         if value is None or name is None:
             continue
-        rank = [float("-inf") if ordinal is None else ordinal, value]
+        rank = [float("-inf") if ordinal is None or ordinal != ordinal else ordinal, value]  # a missing number comes as NaN
         if name not in held or rank > held[name]:
             won = won or name not in held or held[name][1] != value
             held[name] = rank
@@ -51,7 +51,7 @@ def context_stream(extractions: DataFrame, needed: list[str], forget: str | None
         text, revision = state.get if state.exists else ("{}", 0)
         held, won = json.loads(text), False
         for part in parts:  # batch by batch: the rows of an agreement needn't fit together
-            won |= latest_values(held, part[["name", "value", "ordinal"]].astype(object).where(part.notna(), None).itertuples(index=False, name=None))
+            won |= latest_values(held, zip(part["name"].tolist(), part["value"].tolist(), part["ordinal"].tolist(), strict=True))
         due = won and all(n in held for n in names)
         state.update((json.dumps(held), revision + due))
         if forget:
