@@ -1,6 +1,6 @@
 """Contexts of agreements whose extractions arrive in any order.
 
-State per agreement holds the value that wins so far of each field, by ordinal, then by value, so the
+State holds the value that wins so far of each field of an agreement, by ordinal, then by value, so the
 order of arrival doesn't matter. A context goes out when all fields that rules ask for have a value, and
 again whenever a later value wins: the last one of an agreement is what the batch would have built.
 """
@@ -8,16 +8,18 @@ again whenever a later value wins: the last one of an agreement is what the batc
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.context import typed_field
 
-OUT = "agreement_id {kind}, revision int, fields map<string,string>"
+OUT = "agreement_id string, revision int, fields map<string,string>"
+BUCKETS = 1 << 14
 
 
 def latest_values(held: dict[str, list], rows: Iterator[tuple]) -> bool:
@@ -33,34 +35,75 @@ def latest_values(held: dict[str, list], rows: Iterator[tuple]) -> bool:
     return won
 
 
-def context_stream(extractions: DataFrame, needed: list[str], forget: str | None = None) -> DataFrame:
+def take_in(kept: dict[str, list], parts: Iterator[Iterator[tuple]], names: list[str], until: int | None = None) -> list[str]:
+    """Takes (agreement_id, name, value, ordinal) rows into a bucket's agreements; those of which a context goes out.
+
+    ``kept`` has of each agreement its revision, what is held, and the millisecond up to which it is kept.
+    """
+    won = {}
+    for part in parts:  # batch by batch: the rows of a bucket needn't fit together
+        come = defaultdict(list)
+        for agreement, *row in part:
+            come[agreement].append(row)
+        for agreement, rows in come.items():
+            own = kept.setdefault(agreement, [0, {}, until])
+            own[2] = until
+            if latest_values(own[1], rows):
+                won[agreement] = own
+    due = [a for a, own in won.items() if all(n in own[1] for n in names)]
+    for agreement in due:
+        kept[agreement][0] += 1
+    return due
+
+
+def _by_text(kind: str, column: Column) -> tuple[Column, Column]:
+    """Ids of this type as texts that tell them apart, and back."""
+    text = F.col("agreement_id")
+    if kind == "binary":
+        return F.hex(column), F.unhex(text)
+    if kind == "timestamp":  # an hour of the clock may come twice
+        return F.unix_micros(column).cast("string"), F.timestamp_micros(text.cast("long"))
+    if kind in ("float", "double"):  # -0.0 is 0.0
+        column = F.when(column == 0, F.lit(0).cast(kind)).otherwise(column)
+    return column.cast("string"), text.cast(kind)
+
+
+def context_stream(extractions: DataFrame, needed: list[str], forget: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """agreement_id, revision (from 1), fields: a row when an agreement is complete and at each later change.
 
     ``extractions`` is a stream of agreement_id, name, value, ordinal; names outside ``needed`` and nulls are
     left out before the shuffle. With ``forget``, a duration such as ``30 days``, the state of an agreement that has
     got nothing for so long is dropped; what comes after begins a new context.
+
+    A Python call takes milliseconds whatever it does, so agreements share their calls: each belongs to one of ``buckets``
+    by a hash of its id, and a bucket's state holds its agreements. A batch writes the states of the buckets it meets:
+    streams of very many agreements in small batches want more buckets. Their number stays with the checkpoint.
     """
     names = sorted(set(needed))
     kind = extractions.schema["agreement_id"].dataType.simpleString()
-    rows = extractions.filter(F.col("name").isin(names) & F.col("value").isNotNull() & F.col("agreement_id").isNotNull()).select("agreement_id", "name", F.col("value").cast("string").alias("value"), F.col("ordinal").cast("double").alias("ordinal"))
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    as_text, back = _by_text(kind, F.col("agreement_id"))
+    rows = extractions.filter(F.col("name").isin(names) & F.col("value").isNotNull() & F.col("agreement_id").isNotNull()).select(as_text.alias("agreement_id"), "name", F.col("value").cast("string").alias("value"), F.col("ordinal").cast("double").alias("ordinal"))
+    wait = extractions.sparkSession.sql(f"SELECT unix_millis(timestamp_micros(0) + INTERVAL '{forget}')").first()[0] if forget else None
+
+    def update(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentProcessingTimeMs()
+        due = take_in(kept, (zip(*(part[c].tolist() for c in ("agreement_id", "name", "value", "ordinal")), strict=True) for part in parts), names, now + wait if wait else None)
+        if wait:
+            for agreement in [a for a, (_, _, until) in kept.items() if until < now]:
+                del kept[agreement]
+        if kept:
+            state.update((json.dumps(kept),))
+            if wait:
+                state.setTimeoutDuration(max(1, min(until for _, _, until in kept.values()) - now))
+        else:
             state.remove()
-            return
-        text, revision = state.get if state.exists else ("{}", 0)
-        held, won = json.loads(text), False
-        for part in parts:  # batch by batch: the rows of an agreement needn't fit together
-            won |= latest_values(held, zip(part["name"].tolist(), part["value"].tolist(), part["ordinal"].tolist(), strict=True))
-        due = won and all(n in held for n in names)
-        state.update((json.dumps(held), revision + due))
-        if forget:
-            state.setTimeoutDuration(forget)
         if due:
-            yield pd.DataFrame({"agreement_id": [key[0]], "revision": [revision + 1], "fields": [{n: v for n, (_, v) in sorted(held.items())}]})
+            yield pd.DataFrame({"agreement_id": due, "revision": [kept[a][0] for a in due], "fields": [{n: v for n, (_, v) in sorted(kept[a][1].items())} for a in due]})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return rows.groupBy("agreement_id").applyInPandasWithState(update, OUT.format(kind=kind), "held string, revision int", "append", timeout)
+    out = rows.withColumn("bucket", F.pmod(F.xxhash64("agreement_id"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(update, OUT, "held string", "append", timeout)
+    return out.withColumn("agreement_id", back)
 
 
 def contexts(emitted: DataFrame) -> DataFrame:
