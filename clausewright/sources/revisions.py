@@ -21,9 +21,14 @@ FIXED = ("rule_id", "policy_id", "status", "version", "created_at", "updated_at"
 COLUMNS = [c.split()[0] for c in SCHEMAS["policy_rules"].split(", ") if c.split()[0] not in FIXED]
 
 
+def _same(before: Any, after: Any) -> bool:
+    """Equal as JSON: false isn't 0, nor 1 1.0, however deep; the order of keys doesn't count."""
+    return json.dumps(before, sort_keys=True) == json.dumps(after, sort_keys=True)
+
+
 def diff(before: Any, after: Any, path: tuple = ()) -> list[dict]:
     """Edits that make ``after`` of ``before``: set (a value), drop (a key) and splice (of a list: at, drop, put)."""
-    if type(before) is type(after) and before == after:
+    if _same(before, after):
         return []
     if isinstance(before, dict) and isinstance(after, dict):
         out = [{"edit": "drop", "path": [*path, k]} for k in before if k not in after]
@@ -31,10 +36,9 @@ def diff(before: Any, after: Any, path: tuple = ()) -> list[dict]:
             out += diff(before[k], v, (*path, k)) if k in before else [{"edit": "set", "path": [*path, k], "value": v}]
         return out
     if isinstance(before, list) and isinstance(after, list):
-        same = lambda a, b: type(a) is type(b) and a == b
-        start = next((i for i, (a, b) in enumerate(zip(before, after, strict=False)) if not same(a, b)), min(len(before), len(after)))
+        start = next((i for i, (a, b) in enumerate(zip(before, after, strict=False)) if not _same(a, b)), min(len(before), len(after)))
         most = min(len(before), len(after)) - start
-        end = next((i for i in range(most) if not same(before[-1 - i], after[-1 - i])), most)
+        end = next((i for i in range(most) if not _same(before[-1 - i], after[-1 - i])), most)
         old, new = before[start : len(before) - end], after[start : len(after) - end]
         if len(old) == len(new):
             return [e for i, (a, b) in enumerate(zip(old, new, strict=True)) for e in diff(a, b, (*path, start + i))]

@@ -26,6 +26,14 @@ def test_diffs_name_only_what_changed():
     assert R.diff({"a": 1, "b": 1}, {"a": True}) == [{"edit": "drop", "path": ["b"]}, {"edit": "set", "path": ["a"], "value": True}]
 
 
+@pytest.mark.parametrize("one, other", [(False, 0), (True, 1), (1, 1.0), (0.0, -0.0)])
+@pytest.mark.parametrize("around", [lambda v: v, lambda v: [True, False, v], lambda v: {"args": [["n", v], 2]}, lambda v: [{"x": v}, {"x": v}]])
+def test_numbers_are_not_booleans_at_any_depth(around, one, other):
+    for before, after in ((around(one), around(other)), (around(other), around(one))):
+        edits = R.diff(before, after)
+        assert edits and json.dumps(R.apply(before, edits)) == json.dumps(after)
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     made = Store(spark, str(tmp_path / "store"))
